@@ -20,6 +20,15 @@ def r(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits)
 
 
+def r_mean(x: Column, digits: int = 6) -> Column:
+    """Round a mean of short decimals.
+
+    Such means often end exactly on half a unit of the last digit, where the
+    last bit of the sum would decide.  A shift far below the digit settles it.
+    """
+    return F.round(x + F.lit(3e-9), digits)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b with NULL for a zero divisor (ANSI mode would raise)."""
     return F.try_divide(a.cast("double"), b.cast("double"))

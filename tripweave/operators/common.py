@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..session import materialize, one_row
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -75,3 +77,40 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column as text, ties to the least value."""
     found = {r["column_name"]: r["v"] for r in top_values(df, columns, 1).collect()}  # a row per column
     return {c: found.get(c) for c in columns}
+
+
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a per-key table back to the rows it was made from.
+
+    The table is written first, so the optimizer knows its size: a small one is
+    broadcast and the rows stay where they are, a large one is joined by shuffle
+    with skew splitting.
+    """
+    return df.join(materialize(table, "attach"), list(keys), how)
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str, small: int = 1_000_000) -> DataFrame:
+    """0-based position in a total order, without sorting a large table in one task.
+
+    Large tables are range partitioned; a position is the place within the
+    partition plus the rows of all partitions before it.
+    """
+    cols = [q(c) for c in order]
+    df = materialize(df, "index-in")
+    if df.count() <= small:
+        return df.withColumn(name, (F.row_number().over(W.orderBy(*cols)) - 1).cast("long"))
+    local = F.monotonically_increasing_id()
+    placed = materialize(
+        df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+        .withColumn("_part", F.shiftright(local, 33)).withColumn("_pos", local.bitwiseAND(F.lit((1 << 33) - 1))),
+        "index")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per range partition, far below the data
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(
+        W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return (placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_pos"))
+            .drop("_part", "_pos", "_start"))
+
+
+def row_count(df: DataFrame) -> int:
+    return one_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]

@@ -1,6 +1,6 @@
 """Loads every query module into the registry."""
 
-from . import q_basic, q_clean  # noqa: F401
+from . import q_basic, q_clean, q_features  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,7 +27,7 @@ def build_session(app: str = "tripweave", master: str | None = None,
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
-        b = (b.master(master).config("spark.ui.enabled", "false")
+        b = (b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("TRIPWEAVE_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

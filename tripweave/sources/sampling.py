@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..operators.common import q
-from ..session import materialize, one_row
+from ..operators.common import q, row_index
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -35,26 +34,14 @@ def sample_random(df: DataFrame, size: int, key: str, seed: int = 42) -> DataFra
     return pre.withColumn("_h", h).orderBy("_h", q(key)).limit(size).drop("_h")
 
 
-def sample_systematic(df: DataFrame, size: int, key: str) -> DataFrame:
+def sample_systematic(df: DataFrame, size: int, key: str, small: int = 1_000_000) -> DataFrame:
     """Rows 0, step, 2*step ... in key order, step = rows // size, first ``size`` of them.
 
-    Positions come from range partitions: a place within the partition plus the
-    number of rows in the partitions before it.
+    Positions come from ``row_index``, which never sorts a large table in one task.
     """
-    local = F.monotonically_increasing_id()
-    placed = materialize(
-        df.repartitionByRange(q(key)).sortWithinPartitions(q(key))
-        .withColumn("_part", F.shiftright(local, 33)).withColumn("_pos", local.bitwiseAND(F.lit((1 << 33) - 1))),
-        "systematic")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per range partition, far below the data
-    starts = sizes.withColumn("_start", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-    total = one_row(sizes.agg(F.sum("_n").alias("n")))["n"] or 0
-    step = max(total // size, 1)
-    idx = F.coalesce("_start", F.lit(0)) + F.col("_pos")
-    picked = placed.join(starts.drop("_n"), "_part").withColumn("_i", idx)
-    return (picked.where((F.col("_i") % step == 0) & (F.col("_i") < F.lit(step * size)))
-            .drop("_part", "_pos", "_start", "_i"))
+    step = max(df.count() // size, 1)
+    placed = row_index(df, [key], "_i", small)
+    return placed.where((F.col("_i") % step == 0) & (F.col("_i") < F.lit(step * size))).drop("_i")
 
 
 def sample_stratified(df: DataFrame, size: int, group: str, key: str, seed: int = 42, salts: int = 64) -> DataFrame:
