@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, one_row
+from ..session import materialize, one_row, small_side
 from .common import row_index
-from .neighbours import PAIR_LIMIT, _cells, _refine, distinct_points, near, offset_array, radius_counts
+from .neighbours import (PAIR_LIMIT, SPLIT, _cells, around, cell_pairs, distinct_points, near, place_in_pairs,
+                         point_tests, radius_counts, split_pairs)
 
 NOISE = -1
 
@@ -20,34 +21,25 @@ NOISE = -1
 def _cell_edges(core: DataFrame, eps: float, pair_limit: int) -> DataFrame:
     """(u, v) pairs of cell names that hold core points within eps of each other."""
     reach, size = 2.0, eps / 2.0
-    name = "concat_ws('_', {0}y, {0}x)".format
-    a = materialize(_cells(core.select("y", "x"), size, "a"), "db-a")
-    b = materialize(_cells(core.select("y", "x", F.lit(1).cast("long").alias("n")), size, "b"), "db-b")
-    ac = a.groupBy("ay", "ax").agg(F.count("*").alias("na"))
-    bc = b.groupBy("by", "bx").agg(F.count("*").alias("nb"), F.sum("n").alias("wb"))
-    pairs = (ac.select("ay", "ax", "na", F.explode(offset_array(reach)).alias("o"))
-             .select("ay", "ax", "na", (F.col("ay") + F.col("o.dy")).alias("by"),
-                     (F.col("ax") + F.col("o.dx")).alias("bx"), F.col("o.inside").alias("inside"))
-             .where("ay < by or (ay = by and ax < bx)")
-             .join(bc, ["by", "bx"])
-             .withColumn("u", F.expr(name("a"))).withColumn("v", F.expr(name("b"))))
+    probe, points = core.select("y", "x"), core.select("y", "x", F.lit(1).cast("long").alias("n"))
+    pairs = (cell_pairs(probe, points, size, reach).where("ay < by or (ay = by and ax < bx)")
+             .withColumns({"u": F.concat_ws("_", "ay", "ax"), "v": F.concat_ws("_", "by", "bx")}))
     found = None
     for _ in range(16):
         pairs = materialize(pairs, "db-pairs")
         crowded = F.col("na") * F.col("nb") > pair_limit
-        whole = pairs.where("inside").select("u", "v")
         cut = pairs.where("not inside")
         tests = cut.where(~crowded).select("u", "v", "ay", "ax", "by", "bx")
-        left = tests.join(a.select("ay", "ax", F.col("y").alias("py"), F.col("x").alias("px")), ["ay", "ax"])
-        hit = left.join(b.select("by", "bx", "y", "x"), ["by", "bx"]).where(
-            near(F.col("py"), F.col("px"), F.col("y"), F.col("x"), eps, True)).select("u", "v")
-        step = whole.unionAll(hit).distinct()
-        found = step if found is None else found.unionAll(step)
-        found = materialize(found.distinct(), "db-edges")
-        rest = materialize(cut.where(crowded).join(found, ["u", "v"], "left_anti"), "db-rest")
-        if rest.isEmpty():
+        step = pairs.where("inside").select("u", "v").unionAll(
+            point_tests(place_in_pairs(tests, probe, size), points, size, eps, True).select("u", "v"))
+        if found is not None:
+            step = step.unionAll(found)
+        found = materialize(step.distinct(), "db-edges")
+        if cut.where(crowded).isEmpty():
             return found
-        pairs, a, b, size, reach = _refine(rest, a, b, size, reach, ("u", "v"))
+        rest = cut.where(crowded).join(found, ["u", "v"], "left_anti")
+        pairs = split_pairs(rest, probe, points, size, reach, ("u", "v"))
+        size, reach = size / SPLIT, reach * SPLIT
     raise RuntimeError("points could not be separated; coordinates must be finite")
 
 
@@ -97,11 +89,9 @@ def dbscan_places(df: DataFrame, eps: float, min_samples: int, lat: str = "latit
     cell_cluster = materialize(named.join(number, "root").select("cy", "cx", "cluster"), "db-cell-cluster")
     core = materialize(core.join(cell_cluster, ["cy", "cx"]), "db-core-cluster")
     # border places: at most min_samples - 1 of them share a cell, so the pairs stay linear
-    rim = (_cells(flagged.where("not is_core").select("y", "x"), eps / 2.0, "e")
-           .select("y", "x", "ey", "ex", F.explode(offset_array(2.0)).alias("o"))
-           .select(F.col("y").alias("py"), F.col("x").alias("px"),
-                   (F.col("ey") + F.col("o.dy")).alias("cy"), (F.col("ex") + F.col("o.dx")).alias("cx")))
-    border = (rim.join(core, ["cy", "cx"])
+    rim = around(_cells(flagged.where("not is_core").select(F.col("y").alias("py"), F.col("x").alias("px"), "y", "x"),
+                        eps / 2.0, "e").select("py", "px", "ey", "ex"), "ey", "ex", "cy", "cx", 2.0)
+    border = (rim.join(small_side(core), ["cy", "cx"])
               .where(near(F.col("py"), F.col("px"), F.col("y"), F.col("x"), eps, True))
               .groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.min("cluster").alias("cluster")))
     labels = core.select("y", "x", "cluster").unionByName(border)

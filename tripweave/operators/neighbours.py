@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize, one_row
+from ..session import materialize, small_side, spread
 
 PAIR_LIMIT = 20_000
 SPLIT = 4  # a cell splits into SPLIT x SPLIT children
@@ -43,21 +43,13 @@ def _span(dy: Column, dx: Column, reach: float) -> tuple[Column, Column]:
     return far < reach * reach * (1 - 1e-9), near > reach * reach * (1 + 1e-9)
 
 
-def _offsets(reach: float) -> list[tuple[int, int, bool]]:
-    k = int(reach) + 2
-    out = []
-    for dy in range(-k, k + 1):
-        for dx in range(-k, k + 1):
-            far = (abs(dy) + 1) ** 2 + (abs(dx) + 1) ** 2
-            near = max(abs(dy) - 1, 0) ** 2 + max(abs(dx) - 1, 0) ** 2
-            if near <= reach * reach * (1 + 1e-9):
-                out.append((dy, dx, far < reach * reach * (1 - 1e-9)))
-    return out
-
-
-def offset_array(reach: float) -> Column:
-    return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(ins).alias("inside"))
-                     for dy, dx, ins in _offsets(reach)])
+def around(cells: DataFrame, y: str, x: str, to_y: str, to_x: str, reach: float) -> DataFrame:
+    """Every cell with the cells that are not wholly out of reach; ``inside`` marks those wholly in reach."""
+    k = int(reach) + 1
+    big = (cells.withColumn(to_y, F.explode(F.sequence(F.col(y) - k, F.col(y) + k)))
+           .withColumn(to_x, F.explode(F.sequence(F.col(x) - k, F.col(x) + k))))
+    inside, outside = _span(F.col(y) - F.col(to_y), F.col(x) - F.col(to_x), reach)
+    return big.where(~outside).withColumn("inside", inside)
 
 
 def near(y1: Column, x1: Column, y2: Column, x2: Column, radius: float, inclusive: bool) -> Column:
@@ -66,41 +58,89 @@ def near(y1: Column, x1: Column, y2: Column, x2: Column, radius: float, inclusiv
     return dist <= F.lit(radius) if inclusive else dist < F.lit(radius)
 
 
+def cell_pairs(probe: DataFrame, points: DataFrame, size: float, reach: float) -> DataFrame:
+    """Occupied cells of both sides that lie close enough to matter."""
+    ac = _cells(probe, size, "a").groupBy("ay", "ax").agg(F.count("*").alias("na"))
+    bc = _cells(points, size, "b").groupBy("by", "bx").agg(F.count("*").alias("nb"), F.sum("n").alias("wb"))
+    return around(spread(ac, "ay", "ax"), "ay", "ax", "by", "bx", reach).join(
+        small_side(materialize(bc, "nb-cells")), ["by", "bx"])
+
+
+def point_tests(tests: DataFrame, points: DataFrame, size: float, radius: float,
+                inclusive: bool) -> DataFrame:
+    """Pairs of points (py, px) - (y, x, n) within the radius, for the given pairs of cells.
+
+    A pair of cells stands for at most ``pair_limit`` tests, so no join key is heavy.
+    """
+    b = _cells(points, size, "b").select("by", "bx", "y", "x", "n")
+    return tests.join(b, ["by", "bx"]).where(near(F.col("py"), F.col("px"), F.col("y"), F.col("x"), radius, inclusive))
+
+
+def place_in_pairs(pairs: DataFrame, probe: DataFrame, size: float) -> DataFrame:
+    """Pairs of cells with the probe points (py, px) of their first cell."""
+    a = _cells(probe, size, "a").select("ay", "ax", F.col("y").alias("py"), F.col("x").alias("px"))
+    return pairs.join(a, ["ay", "ax"])
+
+
+def _point_span(size: float, radius: float) -> tuple[Column, Column]:
+    """(wholly inside, wholly outside) for the cell by, bx seen from the point py, px."""
+    def ends(p: str, c: str) -> tuple[Column, Column]:
+        lo = F.col(c).cast("double") * F.lit(size)
+        a, b = F.col(p) - lo, lo + F.lit(size) - F.col(p)
+        return F.greatest(a, b), F.greatest(-a, -b, F.lit(0.0))
+
+    fy, ny = ends("py", "by")
+    fx, nx = ends("px", "bx")
+    sq = radius * radius
+    return fy * fy + fx * fx < sq * (1 - 1e-7), ny * ny + nx * nx > sq * (1 + 1e-7)
+
+
+def split_pairs(cut: DataFrame, probe: DataFrame, points: DataFrame, size: float, reach: float,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replace crowded pairs of cells by the pairs of their children."""
+    def children(pts: DataFrame, tag: str, *aggs) -> DataFrame:
+        both = _cells(_cells(pts, size, "p" + tag), size / SPLIT, tag)
+        return both.groupBy(f"p{tag}y", f"p{tag}x", f"{tag}y", f"{tag}x").agg(*aggs)
+
+    ca = children(probe, "a", F.count("*").alias("na"))
+    cb = children(points, "b", F.count("*").alias("nb"), F.sum("n").alias("wb"))
+    old = cut.select(F.col("ay").alias("pay"), F.col("ax").alias("pax"), F.col("by").alias("pby"),
+                     F.col("bx").alias("pbx"), *keep)
+    inside, outside = _span(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"), reach * SPLIT)
+    ca, cb = small_side(materialize(ca, "nb-children")), small_side(materialize(cb, "nb-children"))
+    return (spread(old, "pay", "pax", "pby", "pbx").join(ca, ["pay", "pax"]).join(cb, ["pby", "pbx"]).where(~outside)
+            .select("ay", "ax", "na", "by", "bx", inside.alias("inside"), "nb", "wb", *keep))
+
+
 def radius_counts(probe: DataFrame, points: DataFrame, radius: float, inclusive: bool = False,
                   pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(y, x, hits) for every distinct probe coordinate.
 
     ``probe`` holds distinct (y, x); ``points`` holds distinct (y, x) and their
-    number n.  ``hits`` is the summed n within the radius, the probe's own
-    coordinate included when it is among the points.
+    number n.  Both are read several times, so pass written tables.  ``hits`` is
+    the summed n within the radius, the probe's own coordinate included when it
+    is among the points.
     """
     reach = 4.0
     size = radius / reach
     parts: list[DataFrame] = []  # (y, x, hits) contributions
-    a = materialize(_cells(probe.select("y", "x"), size, "a"), "nb-probe")
-    b = materialize(_cells(points.select("y", "x", "n"), size, "b"), "nb-points")
-    ac = a.groupBy("ay", "ax").agg(F.count("*").alias("na"))
-    bc = b.groupBy("by", "bx").agg(F.count("*").alias("nb"), F.sum("n").alias("wb"))
-    pairs = (ac.select("ay", "ax", "na", F.explode(offset_array(reach)).alias("o"))
-             .select("ay", "ax", "na", (F.col("ay") + F.col("o.dy")).alias("by"),
-                     (F.col("ax") + F.col("o.dx")).alias("bx"), F.col("o.inside").alias("inside"))
-             .join(bc, ["by", "bx"]))
+    pairs = cell_pairs(probe, points, size, reach)
     for _ in range(_MAX_LEVELS):
         pairs = materialize(pairs, "nb-pairs")
         whole = pairs.where("inside").groupBy("ay", "ax").agg(F.sum("wb").alias("hits"))
-        parts.append(a.join(whole, ["ay", "ax"]).select("y", "x", "hits"))
+        parts.append(_cells(probe, size, "a").join(whole, ["ay", "ax"]).select("y", "x", "hits"))
         cut = pairs.where("not inside")
         crowded = F.col("na") * F.col("nb") > pair_limit
-        tests = cut.where(~crowded).select("ay", "ax", "by", "bx")
-        # shuffled by the pair of cells, so that the tests of one cell spread out
-        left = tests.join(a.select("ay", "ax", F.col("y").alias("py"), F.col("x").alias("px")), ["ay", "ax"])
-        hit = left.join(b.select("by", "bx", "y", "x", "n"), ["by", "bx"]).where(
-            near(F.col("py"), F.col("px"), F.col("y"), F.col("x"), radius, inclusive))
-        parts.append(hit.groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.sum("n").alias("hits")))
-        left_over = one_row(cut.agg(F.count_if(crowded).alias("n")))["n"]
-        if not left_over:
+        # seen from a single point, most of the cut cells are wholly in or out
+        placed = place_in_pairs(cut.where(~crowded).select("ay", "ax", "by", "bx", "wb"), probe, size)
+        p_in, p_out = _point_span(size, radius)
+        hit = point_tests(placed.where(~p_in & ~p_out).select("py", "px", "by", "bx"), points, size, radius, inclusive)
+        for found, w in ((placed.where(p_in), "wb"), (hit, "n")):
+            parts.append(found.groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.sum(w).alias("hits")))
+        if cut.where(crowded).isEmpty():
             break
-        pairs, a, b, size, reach = _refine(cut.where(crowded), a, b, size, reach)
+        pairs = split_pairs(cut.where(crowded), probe, points, size, reach)
+        size, reach = size / SPLIT, reach * SPLIT
     else:
         raise RuntimeError("points could not be separated; coordinates must be finite")
     total = parts[0]
@@ -111,29 +151,14 @@ def radius_counts(probe: DataFrame, points: DataFrame, radius: float, inclusive:
         "y", "x", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
-def _refine(cut: DataFrame, a: DataFrame, b: DataFrame, size: float, reach: float, keep: tuple[str, ...] = ()):
-    """Replace crowded pairs of cells by the pairs of their children."""
-    size, reach = size / SPLIT, reach * SPLIT
-    a2 = _cells(a.select("y", "x", F.col("ay").alias("pay"), F.col("ax").alias("pax")), size, "a")
-    b2 = _cells(b.select("y", "x", "n", F.col("by").alias("pby"), F.col("bx").alias("pbx")), size, "b")
-    ca = a2.groupBy("pay", "pax", "ay", "ax").agg(F.count("*").alias("na"))
-    cb = b2.groupBy("pby", "pbx", "by", "bx").agg(F.count("*").alias("nb"), F.sum("n").alias("wb"))
-    old = cut.select(F.col("ay").alias("pay"), F.col("ax").alias("pax"), F.col("by").alias("pby"),
-                     F.col("bx").alias("pbx"), *keep)
-    inside, outside = _span(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"), reach)
-    pairs = (old.join(ca, ["pay", "pax"]).join(cb, ["pby", "pbx"]).where(~outside)
-             .select("ay", "ax", "na", "by", "bx", inside.alias("inside"), "nb", "wb", *keep))
-    a3 = materialize(a2.select("y", "x", "ay", "ax"), "nb-probe")
-    b3 = materialize(b2.select("y", "x", "n", "by", "bx"), "nb-points")
-    return pairs, a3, b3, size, reach
-
-
 def density_features(df: DataFrame, radii: dict[str, float], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """For every row the number of other rows closer than each radius (NULL without a place)."""
     pts = materialize(distinct_points(df, lat, lon), "nb-distinct")
-    found = pts.select("y", "x")
+    found = None
     for name, radius in radii.items():
-        c = radius_counts(pts, pts, radius).select("y", "x", (F.col("hits") - 1).alias(name))
-        found = found.join(c, ["y", "x"])
-    per_place = materialize(found, "nb-density").withColumnsRenamed({"y": lat, "x": lon})
+        # counts of all radii are stacked and summed up in one aggregate
+        c = radius_counts(pts, pts, radius).select("y", "x", F.lit(name).alias("k"), (F.col("hits") - 1).alias("h"))
+        found = c if found is None else found.unionAll(c)
+    per_place = found.groupBy("y", "x").agg(*[F.max(F.when(F.col("k") == k, F.col("h"))).alias(k) for k in radii])
+    per_place = materialize(per_place, "nb-density").withColumnsRenamed({"y": lat, "x": lon})
     return df.join(per_place, [lat, lon], "left").select(*df.columns, *radii)

@@ -10,6 +10,7 @@ from ..functions.geo import haversine_km
 from ..functions.numbers import r, r_mean
 from ..operators import common, features, neighbours, series
 from ..schema import CENTER_LAT, CENTER_LON
+from ..session import materialize
 from . import sqltext as S
 from .registry import query
 
@@ -237,8 +238,8 @@ FROM a LEFT JOIN b ON sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)
   AND b.y BETWEEN a.y - 0.03 AND a.y + 0.03 GROUP BY 1, 2""")
 def join_range_radius(spark, d):
     t = views.trips(spark, d)
-    probe = neighbours.distinct_points(t.where("base_station = 'purchase'"))
-    points = neighbours.distinct_points(t.where("base_station = 'error'"))
+    probe = materialize(neighbours.distinct_points(t.where("base_station = 'purchase'")), "probe")
+    points = materialize(neighbours.distinct_points(t.where("base_station = 'error'")), "points")
     return neighbours.radius_counts(probe, points, 0.02).withColumnsRenamed({"y": "latitude", "x": "longitude"})
 
 

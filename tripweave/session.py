@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "tripweave", master: str | None = None,
@@ -68,6 +68,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition on ``keys`` with the session's number of shuffle partitions.
+
+    Given as a number, the partitioning is not coalesced by size: a small table
+    of cells that is about to be expanded keeps all tasks busy.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def small_side(table: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Mark a written table for broadcast when it is small, else for a shuffled hash join.
+
+    The row count comes from the file footers.  Without the mark the optimizer
+    may broadcast the other side, whose size it cannot foresee after an explode.
+    """
+    if table.count() <= max_rows:
+        return F.broadcast(table)
+    return table.hint("shuffle_hash")
+
+
 def one_row(df: DataFrame) -> dict:
     """Fetch the single row of a global aggregate as a dict."""
     row = df.first()
