@@ -89,27 +89,35 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(materialize(table, "attach"), list(keys), how)
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str, small: int = 1_000_000) -> DataFrame:
-    """0-based position in a total order, without sorting a large table in one task.
+def prefix_sums(df: DataFrame, order: Sequence[str], values: dict[str, str], small: int = 1_000_000) -> DataFrame:
+    """Running totals (own row included) in a total order, without one task for a large table.
 
-    Large tables are range partitioned; a position is the place within the
-    partition plus the rows of all partitions before it.
+    ``values`` maps a result name to the column that is summed.  Large tables are
+    range partitioned: totals run within a partition, and the totals of all
+    partitions before it, one row each, are added.
     """
     cols = [q(c) for c in order]
-    df = materialize(df, "index-in")
+    df = materialize(df, "prefix-in")
+    run = W.orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
     if df.count() <= small:
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*cols)) - 1).cast("long"))
-    local = F.monotonically_increasing_id()
+        return df.withColumns({k: F.sum(q(c)).over(run) for k, c in values.items()})
     placed = materialize(
         df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-        .withColumn("_part", F.shiftright(local, 33)).withColumn("_pos", local.bitwiseAND(F.lit((1 << 33) - 1))),
-        "index")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+        .withColumn("_part", F.spark_partition_id()), "prefix")
+    tot = placed.groupBy("_part").agg(*[F.sum(q(c)).alias(f"_t{i}") for i, c in enumerate(values.values())])
     # one row per range partition, far below the data
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(
-        W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return (placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_pos"))
-            .drop("_part", "_pos", "_start"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = tot.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(values))])
+    inner = W.partitionBy("_part").orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(starts), "_part").withColumns(
+        {k: F.sum(q(c)).over(inner) + F.col(f"_s{i}") for i, (k, c) in enumerate(values.items())})
+    return out.drop("_part", *[f"_s{i}" for i in range(len(values))])
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str, small: int = 1_000_000) -> DataFrame:
+    """0-based position in a total order."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return prefix_sums(one, order, {name: "_one"}, small).withColumn(name, q(name) - 1).drop("_one")
 
 
 def row_count(df: DataFrame) -> int:
