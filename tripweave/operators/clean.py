@@ -156,3 +156,10 @@ def clean_all(df: DataFrame) -> DataFrame:
     df = process_datetime(canonicalize(df))
     df = handle_missing(clean_coordinates(df))
     return remove_outliers_iqr(remove_duplicates(df))
+
+
+def remove_outliers_forest(df: DataFrame, columns: Sequence[str], key: str, contamination: float = 0.1) -> DataFrame:
+    """Drop the most isolated share of the rows."""
+    from .anomaly import drop_isolated
+
+    return drop_isolated(df, columns, key, contamination)

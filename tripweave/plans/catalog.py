@@ -1,6 +1,6 @@
 """Loads every query module into the registry."""
 
-from . import q_basic, q_clean, q_explore, q_features, q_metrics, q_spatial  # noqa: F401
+from . import q_basic, q_clean, q_explore, q_features, q_metrics, q_models, q_spatial  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
