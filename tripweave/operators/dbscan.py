@@ -57,7 +57,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                   .groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near_root")))
         lower = label.join(around, "node", "left").select(
             "node", F.least("root", F.coalesce("near_root", "root")).alias("root"), F.col("root").alias("old"))
-        lower = materialize(lower, "cc-lower")
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far_root"))
         nxt = materialize(lower.join(jump, "root").select("node", F.col("far_root").alias("root"), "old"), "cc-label")
         changed = one_row(nxt.agg(F.count_if(F.col("root") != F.col("old")).alias("n")))["n"]

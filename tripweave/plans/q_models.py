@@ -166,10 +166,13 @@ def train_test_split(spark, d):
 _CAND = ["l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query("select_features_corr", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(abs(corr({c}, l_quantity)), 6) AS score FROM lineitem" for c in _CAND) + ") WHERE score > 0.01")
+_CORR = ["vehicle_id", "longitude", "wait_time", "value", "event_id"]
+
+
+@query("select_features_corr", S.T + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(abs(corr({c}, latitude)), 6) AS score FROM trips" for c in _CORR) + ") WHERE score > 0.01")
 def select_features_corr(spark, d):
-    return features.rounded(encode.select_by_correlation(views.table(spark, d, "lineitem"), "l_quantity", _CAND))
+    return features.rounded(encode.select_by_correlation(views.trips(spark, d), "latitude", _CORR))
 
 
 @query("select_features_variance", "SELECT * FROM (" + " UNION ALL ".join(
