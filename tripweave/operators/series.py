@@ -69,37 +69,45 @@ def moving_average(df: DataFrame, n: int = 5, keys: Sequence[str] = (), time: st
     return m.withColumn("moving_avg", F.avg("orders").over(w))
 
 
-def ewma_final(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], time: str = "datetime",
+def ewma_parts(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], time: str = "datetime",
                alpha: float = 0.1) -> DataFrame:
-    """Last value of e = alpha*x + (1-alpha)*e per key, x > 0 only, first x as start.
+    """(keys, n, body, x1): a stretch of e = alpha*x + (1-alpha)*e per key, ready to be chained.
 
-    The recursion is linear, so a stretch of rows folds into (count, weighted
-    sum).  Rows are folded per minute first and the minutes then chained; a hot
-    key is thereby spread over as many tasks as it has minutes.
+    The recursion is linear, so n rows turn a former value e into
+    (1-alpha)^n * e + body.  Rows are folded per minute first and the minutes
+    then chained; a hot key is thereby spread over as many groups as it has
+    minutes.  Only values above 0 count.
     """
     keep = 1.0 - alpha
-    # a zero key column when there is none keeps one code path
-    key = list(keys) or ["_all"]
-    x = df.where(F.col(value) > 0)
-    if not keys:
-        x = x.withColumn("_all", F.lit(0))
-    x = x.withColumn("_m", minute_start(time))
-    down = W.partitionBy(*key, "_m").orderBy(*[F.desc(c) for c in order])
+    x = df.where(F.col(value) > 0).withColumn("_m", minute_start(time))
+    down = W.partitionBy(*keys, "_m").orderBy(*[F.desc(c) for c in order])
     # age = number of later rows within the minute
     aged = x.withColumn("_age", (F.row_number().over(down) - 1).cast("double"))
-    parts = aged.groupBy(*key, "_m").agg(
+    parts = aged.groupBy(*keys, "_m").agg(
         F.count("*").alias("n"),
         F.sum(F.pow(F.lit(keep), F.col("_age")) * F.col(value)).alias("s"),
         F.max_by(value, "_age").alias("first_x"))
-    later = W.partitionBy(*key).orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1)
     chained = parts.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)).cast("double"))
-    out = chained.groupBy(*key).agg(
+    return chained.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         (F.lit(alpha) * F.sum(F.pow(F.lit(keep), F.col("after")) * F.col("s"))).alias("body"),
         F.min_by("first_x", "_m").alias("x1"))
-    # the first value enters with weight 1 instead of alpha
-    e = F.col("body") + F.lit(keep) * F.pow(F.lit(keep), (F.col("n") - 1).cast("double")) * F.col("x1")
-    return out.select(*keys, "n", e.alias("ewma"))
+
+
+def ewma_value(alpha: float = 0.1) -> Column:
+    """Value of a stretch that starts with its first x: that one enters with weight 1, not alpha."""
+    keep = F.lit(1.0 - alpha)
+    return F.col("body") + keep * F.pow(keep, (F.col("n") - 1).cast("double")) * F.col("x1")
+
+
+def ewma_final(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], time: str = "datetime",
+               alpha: float = 0.1) -> DataFrame:
+    """(keys, n, ewma): the last smoothed value per key; no keys means one series."""
+    if not keys:
+        parts = ewma_parts(df.withColumn("_all", F.lit(0)), value, ["_all"], order, time, alpha)
+        return parts.select("n", ewma_value(alpha).alias("ewma"))
+    return ewma_parts(df, value, keys, order, time, alpha).select(*keys, "n", ewma_value(alpha).alias("ewma"))
 
 
 def cumulative_days(df: DataFrame, time: str = "datetime") -> DataFrame:
