@@ -6,3 +6,11 @@ that later turn into literals of the plan.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers travel with their code, so the package
+# need not be installed on the executors.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

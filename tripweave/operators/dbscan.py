@@ -8,6 +8,7 @@ where possible, by points only where few are involved.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, one_row, small_side
@@ -43,6 +44,50 @@ def _cell_edges(core: DataFrame, eps: float, pair_limit: int) -> DataFrame:
     raise RuntimeError("points could not be separated; coordinates must be finite")
 
 
+BLOCK = 32  # cells per side of a block
+
+
+def _block_roots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components within one block of cells: (node, local_root), root = least name."""
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in zip(pdf["u"], pdf["v"]):
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    return pd.DataFrame({"node": list(parent), "local_root": [find(x) for x in parent]})
+
+
+def cell_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) for cells named ``cy_cx``.
+
+    Edges inside a block of 32 x 32 cells are solved in one group each: such a
+    group has at most 1024 nodes whatever the data.  What is left is a graph of
+    block components, far smaller and with short paths.
+    """
+    def block(c: str):
+        part = F.split(F.col(c), "_")
+        return F.concat_ws("_", *[F.floor(part[i].cast("long") / BLOCK).cast("string") for i in (0, 1)])
+
+    e = edges.withColumns({"bu": block("u"), "bv": block("v")})
+    local = e.where("bu = bv").groupBy("bu").applyInPandas(_block_roots, "node string, local_root string")
+    local = materialize(nodes.join(local, "node", "left").select("node", F.coalesce("local_root", "node").alias("local_root")), "cc-local")
+
+    def to_root(df: DataFrame, c: str) -> DataFrame:
+        return df.join(local.select(F.col("node").alias(c), F.col("local_root").alias("r" + c)), c)
+
+    across = to_root(to_root(e.where("bu <> bv").select("u", "v"), "u"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    across = materialize(across.where("u <> v").distinct(), "cc-across")
+    tops = local.select(F.col("local_root").alias("node")).distinct()
+    roots = tops.select("node", F.col("node").alias("root")) if across.isEmpty() else connected_components(tops, across)
+    return local.join(roots.withColumnRenamed("node", "local_root"), "local_root").select("node", "root")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) with root the least node name of the component.
 
@@ -81,7 +126,7 @@ def dbscan_places(df: DataFrame, eps: float, min_samples: int, lat: str = "latit
     core = _cells(flagged.where("is_core").select("y", "x"), eps / 2.0, "c")
     cells = materialize(core.groupBy("cy", "cx").agg(F.count("*").alias("k"))
                         .withColumn("node", F.concat_ws("_", "cy", "cx")), "db-cells")
-    roots = connected_components(cells.select("node"), _cell_edges(flagged.where("is_core"), eps, pair_limit))
+    roots = cell_components(cells.select("node"), _cell_edges(flagged.where("is_core"), eps, pair_limit))
     named = materialize(cells.join(roots, "node"), "db-roots")
     first = named.groupBy("root").agg(F.min(F.struct("cy", "cx")).alias("s")).select("root", "s.cy", "s.cx")
     number = row_index(first, ["cy", "cx"], "cluster").select("root", "cluster")

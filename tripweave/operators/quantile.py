@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import one_row
 
-DIRECT_LIMIT = 5_000_000
+DIRECT_LIMIT = 1_000_000
 _ACCURACY = 10_000
 
 

@@ -97,8 +97,8 @@ def optimal_k(spark, d):
 @query("pivot_cluster_base")
 def pivot_cluster_base(spark, d):
     t = cluster.kmeans(_xy(spark, d), _LL, 8)
-    bases = [row[0] for row in t.select("base_station").distinct().orderBy("base_station").limit(1000).collect()]
-    return t.groupBy("cluster").pivot("base_station", bases).agg(F.count(F.lit(1))).na.fill(0)
+    # Spark lists the bases itself and refuses more than spark.sql.pivotMaxValues of them
+    return t.groupBy("cluster").pivot("base_station").agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("cluster_centers_mean")
