@@ -62,6 +62,7 @@ def test_samples_do_not_depend_on_partitions(spark, parts):
     st = sampling.sample_stratified(df, 20, "g", "id")
     assert {r["g"]: r["n"] for r in st.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"a": 10, "b": 10}
     assert ids(st) == ids(sampling.sample_stratified(base, 20, "g", "id"))
+    assert ids(st) == ids(sampling.sample_stratified(df, 20, "g", "id", small=10))
     assert len(ids(sampling.sample_random(df, 5000, "id"))) == 1000
 
 

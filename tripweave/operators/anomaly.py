@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import r
+from ..session import materialize, spread, spread_small
 from .common import q
 from .quantile import exact_quantiles
 
@@ -65,13 +66,16 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int
     d = df.withColumns({f"_x{i}": F.coalesce(q(c).cast("double"), F.lit(med[c][0] if med[c][0] is not None else 0.0))
                         for i, c in enumerate(columns)})
     xs = [f"_x{i}" for i in range(len(columns))]
-    # a pool that every tree can draw from without seeing all rows
+    # a pool that every tree can draw from without seeing all rows, and per tree a
+    # thin share of the pool that holds several times the rows it needs
     total = df.count()
     share = min(1.0, 4.0 * trees * sample / max(total, 1))
     pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), q(key).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    pool = d.where(pick <= share).select(q(key).alias("_k"), *xs)
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", F.xxhash64(q("_k"), F.col("tree"), F.lit(seed)))
+    pool = spread(d.where(pick <= share).select(q(key).alias("_k"), *xs))
+    draw = F.pmod(F.xxhash64(q("_k"), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
+    thin = min(1.0, 4.0 * sample / max(total * share, 1.0))
+    draws = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", draw)
+             .where(F.col("_h") <= F.lit(int(thin * (1 << 40)))))
     first = W.partitionBy("tree").orderBy("_h", "_k")
     drawn = draws.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample).select("tree", "_r", *xs)
 
@@ -103,13 +107,11 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int
             total_path += path[at]
         return pd.Series(np.power(2.0, -total_path / len(shared.value) / norm))
 
-    return d.withColumn("score", score(*xs)).drop(*xs)
+    return spread_small(d, total).withColumn("score", score(*xs)).drop(*xs)
 
 
 def isolation_flags(df: DataFrame, columns: Sequence[str], key: str, contamination: float = 0.05, **kw) -> DataFrame:
     """``score`` and ``is_anomaly``: the ``contamination`` share with the highest scores."""
-    from ..session import materialize
-
     s = materialize(isolation_scores(df, columns, key, **kw), "iforest-scores")
     cut = exact_quantiles(s, {"score": [1.0 - contamination]})["score"][0]
     return s.withColumn("is_anomaly", (F.col("score") > F.lit(cut)).cast("int"))
@@ -127,8 +129,6 @@ def reconstruction_errors(df: DataFrame, vector: str, components: int = 8, share
     With orthonormal components the lost part of a centred row is its squared norm
     minus that of its projection, so nothing is rebuilt.
     """
-    from ..session import materialize
-
     d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     model = Pipeline(stages=[
         StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False),

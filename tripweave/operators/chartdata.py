@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import equal_width_bin
 from ..functions.numbers import r
-from ..session import one_row
+from ..session import one_row, spread
 from .common import q
 from .neighbours import distinct_points
 from .quantile import exact_quantiles
@@ -101,7 +101,7 @@ def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: in
         return F.sequence(F.greatest(a, F.lit(0)), F.least(b, F.lit(nodes - 1)))
 
     pts = distinct_points(df, y, x)
-    far = (pts.withColumn("iy", F.explode(span("y", s["y0"], dy, math.sqrt(vy))))
+    far = (spread(pts, "y", "x").withColumn("iy", F.explode(span("y", s["y0"], dy, math.sqrt(vy))))
            .withColumn("ix", F.explode(span("x", s["x0"], dx, math.sqrt(vx)))))
     gy = F.lit(s["y0"]) + F.col("iy") * F.lit(dy)
     gx = F.lit(s["x0"]) + F.col("ix") * F.lit(dx)

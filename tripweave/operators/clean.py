@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import calendar as cal
 from ..functions.geo import in_city
 from ..schema import CALENDAR_COLUMNS, RAW_TIME_FORMAT, RAW_TO_CANONICAL
-from ..session import one_row
+from ..session import materialize, one_row
 from .common import keep_first, modes, numeric_columns, q
 from .quantile import exact_quantiles
 
@@ -152,10 +152,14 @@ def _typed_modes(df: DataFrame, columns: Sequence[str]) -> dict:
 
 
 def clean_all(df: DataFrame) -> DataFrame:
-    """The whole cleaning: names, time, place, gaps, repeats, wide outliers."""
-    df = process_datetime(canonicalize(df))
-    df = handle_missing(clean_coordinates(df))
-    return remove_outliers_iqr(remove_duplicates(df))
+    """The whole cleaning: names, time, place, gaps, repeats, wide outliers.
+
+    The two shuffles (one row per place, one row per time and place) are written
+    out, since medians, modes and fences read their results several times.
+    """
+    df = materialize(clean_coordinates(process_datetime(canonicalize(df))), "clean-places")
+    df = materialize(remove_duplicates(handle_missing(df)), "clean-single")
+    return remove_outliers_iqr(df)
 
 
 def remove_outliers_forest(df: DataFrame, columns: Sequence[str], key: str, contamination: float = 0.1) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import cyclic_pair
 from ..functions.numbers import r, ratio
-from ..session import materialize, one_row
+from ..session import materialize, one_row, spread_small
 from .common import tidy_stats
 
 SEED = 42
+MAX_CLUSTERS = 500
 
 
 def place_features(df: DataFrame, time: str | None = None, weight: str | None = None,
@@ -76,7 +77,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, scaled: bool = True,
 
 def cluster_columns(df: DataFrame, sizes: Sequence[int] = (5, 8, 10), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """One k-means label column per size, on raw degrees."""
-    base = materialize(df.select(lat, lon), "cluster-input")
+    base = materialize(spread_small(df.select(lat, lon)), "cluster-input")
     for k in sizes:
         df = ordered_labels(fit_kmeans(base, [lat, lon], k, False), df, False, f"cluster_{k}")
     return df
@@ -122,35 +123,36 @@ def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster")
     sq = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
     sums = materialize(d.groupBy(label).agg(
         F.count("*").alias("n"), F.sum(sq).alias("ss"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]), "cq-sums")
-    table = [row.asDict() for row in sums.orderBy(label).limit(10_001).collect()]
-    if len(table) > 10_000:
-        raise ValueError("quality indices compare every point with every cluster; at most 10000 clusters")
+    table = [row.asDict() for row in sums.orderBy(label).limit(MAX_CLUSTERS + 1).collect()]
+    if len(table) > MAX_CLUSTERS:
+        raise ValueError(f"quality indices compare every point with every cluster; at most {MAX_CLUSTERS} clusters")
     zero = d.sparkSession.range(1).select(
         F.lit(len(table)).cast("long").alias("clusters"), F.lit(0.0).alias("silhouette"),
         F.lit(0.0).alias("calinski_harabasz"), F.lit(0.0).alias("davies_bouldin"))
     if len(table) < 2:
         return zero
     dims = range(len(cols))
-    # distance of a point to the rows of cluster k, averaged: |x - m|^2 + spread of k
-    arr = F.array(*[F.struct(
-        F.lit(t[label]).alias("k"), F.lit(float(t["n"])).alias("n"),
-        F.lit(float(t["ss"] / t["n"] - sum(t[f"m{i}"] ** 2 for i in dims))).alias("v"),
-        *[F.lit(float(t[f"m{i}"])).alias(f"m{i}") for i in dims]) for t in table])
-    d = d.withColumn("_t", arr)
-
     def gap(t):
+        """Squared distance of the row to the mean of cluster t."""
         out = F.lit(0.0)
         for i, c in enumerate(cols):
-            out = out + (F.col(c) - t[f"m{i}"]) * (F.col(c) - t[f"m{i}"])
+            out = out + (F.col(c) - F.lit(float(t[f"m{i}"]))) * (F.col(c) - F.lit(float(t[f"m{i}"])))
         return out
 
-    other = F.array_min(F.transform(F.filter("_t", lambda t: t["k"] != F.col(label)), lambda t: gap(t) + t["v"]))
-    own_t = F.element_at(F.filter("_t", lambda t: t["k"] == F.col(label)), 1)
-    own_all = gap(own_t) + own_t["v"]
-    own = own_all * own_t["n"] / F.greatest(own_t["n"] - 1, F.lit(1.0))
-    s = F.when(own_t["n"] <= 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0)))
-    pts = d.select(F.col(label).alias("k"), s.alias("s"), gap(own_t).alias("w"), F.sqrt(gap(own_t)).alias("dist"))
+    def spread_of(t) -> float:
+        return float(t["ss"] / t["n"] - sum(t[f"m{i}"] ** 2 for i in dims))
+
+    # mean squared distance of a point to the rows of t is |x - m|^2 + spread of t
+    is_own = [F.col(label) == F.lit(t[label]) for t in table]
+    other = F.least(*[F.when(~o, gap(t) + spread_of(t)) for o, t in zip(is_own, table)])
+    own_gap = F.coalesce(*[F.when(o, gap(t)) for o, t in zip(is_own, table)])
+    own = F.coalesce(*[F.when(o, (gap(t) + spread_of(t)) * (t["n"] / max(t["n"] - 1.0, 1.0))) for o, t in zip(is_own, table)])
+    alone = [t[label] for t in table if t["n"] <= 1]
+    d = d.select(F.col(label).alias("k"), other.alias("oth"), own.alias("own"), own_gap.alias("w"))
+    s = F.coalesce(F.try_divide(F.col("oth") - F.col("own"), F.greatest("own", "oth")), F.lit(0.0))
+    if alone:
+        s = F.when(F.col("k").isin(alone), F.lit(0.0)).otherwise(s)
+    pts = d.select("k", s.alias("s"), "w", F.sqrt("w").alias("dist"))
     per = [row.asDict() for row in pts.groupBy("k").agg(
         F.sum("s").alias("s"), F.sum("w").alias("w"), F.avg("dist").alias("dist"), F.count("*").alias("n")).collect()]
     n = sum(p["n"] for p in per)
@@ -177,7 +179,7 @@ def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster")
 
 def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool = True, seed: int = SEED) -> DataFrame:
     """Per k: inertia and the three indices, over one prepared input."""
-    base = materialize(standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols), "kscan")
+    base = materialize(spread_small(standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols)), "kscan")
     zcols = base.columns
     out = None
     for k in ks:

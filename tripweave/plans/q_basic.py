@@ -50,12 +50,12 @@ def scan_single_file(spark, d):
 
 
 @query("scan_latest_processed", S.T + """SELECT event_id, datetime, latitude, longitude, base_station
-  FROM trips WHERE event_id % 2 = 1""")
+  FROM trips WHERE datetime >= TIMESTAMP '2024-01-16'""")
 def scan_latest_processed(spark, d):
     root = scratch_path(spark, "processed")
     t = views.trips(spark, d).select("event_id", "datetime", "latitude", "longitude", "base_station")
-    files.write_any(t.where("event_id % 2 = 0"), f"{root}/trips_20240101.parquet")
-    files.write_any(t.where("event_id % 2 = 1"), f"{root}/trips_20240201.parquet")
+    files.write_any(t.where("datetime < '2024-01-16'"), f"{root}/trips_20240101.parquet")
+    files.write_any(t.where("datetime >= '2024-01-16'"), f"{root}/trips_20240116.parquet")
     return files.read_latest(spark, root, "trips_*.parquet", t.schema)
 
 
@@ -68,10 +68,10 @@ def sink_processed(spark, d):
 
 
 @query("scan_all_sources", S.T + """SELECT 'trips' AS source, count(*) AS n FROM trips
-  UNION ALL SELECT 'other', count(*) FROM trips WHERE event_id % 3 = 0""")
+  UNION ALL SELECT 'other', count(*) FROM trips WHERE value > 50""")
 def scan_all_sources(spark, d):
     root = _raw_copy(spark, d, "all-sources")
-    other = views.trips(spark, d).where("event_id % 3 = 0").select("event_id", "base_station")
+    other = views.trips(spark, d).where("value > 50").select("event_id", "base_station")
     files.write_any(other, f"{root}/other-a.csv")
     got = files.load_all_sources(
         spark, {"trips": f"{root}/trips-raw-*.csv", "other": f"{root}/other-*.csv", "fhv": f"{root}/fhv-*.csv"},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import calendar as cal
 from ..functions.geo import haversine_km
-from ..functions.numbers import r, r_mean
+from ..functions.numbers import r_mean
 from ..operators import common, features, neighbours, series
 from ..schema import CENTER_LAT, CENTER_LON
 from ..session import materialize
@@ -142,12 +142,13 @@ def rolling_features(spark, d):
     return features.rounded(features.rolling_features(t).drop("datetime", "hour_start"))
 
 
-@query("resample_ffill", S.with_views("sparse") + """,
-g AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM sparse)
-SELECT g.hour, round((SELECT s.y FROM sparse s WHERE s.hour <= g.hour ORDER BY s.hour DESC LIMIT 1), 6) AS y FROM g""")
+@query("resample_ffill", S.with_views("trips") + """,
+m AS (SELECT vehicle_id, date_trunc('hour', datetime) AS hour, avg(value) AS y FROM trips GROUP BY 1, 2),
+g AS (SELECT vehicle_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM m GROUP BY 1)
+SELECT g.vehicle_id, g.hour, round(m.y + 3e-9, 6) AS y FROM g ASOF JOIN m ON g.vehicle_id = m.vehicle_id AND g.hour >= m.hour""")
 def resample_ffill(spark, d):
-    t = views.trips(spark, d).where("vehicle_id % 50 = 7")
-    return series.hourly_mean_ffill(t, "value").select("hour", r(F.col("y")).alias("y"))
+    h = series.hourly_mean_ffill(views.trips(spark, d), "value", ["vehicle_id"])
+    return h.select("vehicle_id", "hour", r_mean(F.col("y")).alias("y"))
 
 
 @query("moving_average_5", S.T + """SELECT base_station, minute, orders, round(avg(orders) OVER (
@@ -212,11 +213,11 @@ def join_left_hour(spark, d):
 
 
 @query("join_lookup", S.T + """SELECT t.event_id, coalesce(n, 0) AS known FROM trips t LEFT JOIN (
-    SELECT hour(datetime) AS h, isodow(datetime) AS w, count(*) AS n FROM trips WHERE vehicle_id % 7 = 0 GROUP BY 1, 2
-    HAVING count(*) > 8) ON hour(t.datetime) = h AND isodow(t.datetime) = w""")
+    SELECT hour(datetime) AS h, isodow(datetime) AS w, count(*) AS n FROM trips GROUP BY 1, 2
+    HAVING avg(wait_time) > 10) ON hour(t.datetime) = h AND isodow(t.datetime) = w""")
 def join_lookup(spark, d):
     t = views.trips(spark, d).withColumns({"h": F.hour("datetime"), "w": F.weekday("datetime")})
-    table = t.where("vehicle_id % 7 = 0").groupBy("h", "w").agg(F.count("*").alias("known")).where("known > 8")
+    table = t.groupBy("h", "w").agg(F.count("*").alias("known"), F.avg("wait_time").alias("a")).where("a > 10").drop("a")
     # at most 24 x 7 rows
     return t.join(F.broadcast(table), ["h", "w"], "left").select(
         "event_id", F.coalesce("known", F.lit(0).cast("long")).alias("known"))
@@ -243,11 +244,12 @@ def join_range_radius(spark, d):
     return neighbours.radius_counts(probe, points, 0.02).withColumnsRenamed({"y": "latitude", "x": "longitude"})
 
 
-@query("union_all_files", S.T + """SELECT event_id, base_station FROM trips WHERE event_id % 2 = 0
-  UNION ALL SELECT event_id, base_station FROM trips WHERE event_id % 3 = 0""")
+@query("union_all_files", S.T + """SELECT event_id, base_station FROM trips WHERE value > 20
+  UNION ALL SELECT event_id, base_station FROM trips WHERE wait_time <= 12""")
 def union_all_files(spark, d):
-    t = views.trips(spark, d).select("event_id", "base_station")
-    return t.where("event_id % 2 = 0").unionByName(t.where("event_id % 3 = 0").select("base_station", "event_id"))
+    t = views.trips(spark, d)
+    return t.where("value > 20").select("event_id", "base_station").unionByName(
+        t.where("wait_time <= 12").select("base_station", "event_id"))
 
 
 @query("union_distinct", S.T + """SELECT base_station, vehicle_id, pickup_area FROM trips WHERE value > 50

@@ -54,7 +54,7 @@ def dbscan_query(spark, d):
 
 @query("dbscan_summary")
 def dbscan_summary(spark, d):
-    places = dbscan.dbscan_places(_xy(spark, d).where("event_id >= 0"), 0.02, 20)
+    places = dbscan.dbscan_places(_xy(spark, d), 0.02, 20)
     return places.groupBy("cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("places"),
                                          F.count_if("is_core").alias("core_places"))
 

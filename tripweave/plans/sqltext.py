@@ -41,9 +41,6 @@ _PRED = """predictions AS (
     SELECT hour, demand::DOUBLE AS y, lag(demand, 24) OVER (ORDER BY hour)::DOUBLE AS yhat FROM hourly)
   WHERE yhat IS NOT NULL)"""
 
-_SPARSE = """sparse AS (
-  SELECT date_trunc('hour', datetime) AS hour, avg(value) AS y FROM trips
-  WHERE vehicle_id % 50 = 7 GROUP BY 1)"""
 
 _PARTS = {
     "trips": (_TRIPS, ()),
@@ -51,7 +48,6 @@ _PARTS = {
     "hourly": (_HOURLY, ("trips",)),
     "base_hourly": (_BASE_HOURLY, ("trips",)),
     "predictions": (_PRED, ("trips", "hourly")),
-    "sparse": (_SPARSE, ("trips",)),
 }
 
 

@@ -68,15 +68,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 2_000_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partition on ``keys`` with the session's number of shuffle partitions.
+    """Partition on ``keys`` (or evenly) with the session's number of shuffle partitions.
 
     Given as a number, the partitioning is not coalesced by size: a small table
-    of cells that is about to be expanded keeps all tasks busy.
+    that is about to be expanded or scored keeps all tasks busy.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def spread_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``spread`` for a small table only; a large one has enough input splits and is not shuffled."""
+    rows = df.count() if rows is None else rows
+    return spread(df) if rows <= SMALL_ROWS else df
+
+
 def small_side(table: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark a written table for broadcast when it is small, else for a shuffled hash join.
 

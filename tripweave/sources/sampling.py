@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.common import q, row_index
+from ..session import materialize, one_row
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -44,16 +45,27 @@ def sample_systematic(df: DataFrame, size: int, key: str, small: int = 1_000_000
     return placed.where((F.col("_i") % step == 0) & (F.col("_i") < F.lit(step * size))).drop("_i")
 
 
-def sample_stratified(df: DataFrame, size: int, group: str, key: str, seed: int = 42, salts: int = 64) -> DataFrame:
+def sample_stratified(df: DataFrame, size: int, group: str, key: str, seed: int = 42, small: int = 1_000_000) -> DataFrame:
     """min(group size, size // groups) rows of every group, in hash order.
 
-    Ranking runs in two steps: within salted parts of a group, then over the
-    rows that are left, so that a group with a third of all rows is split.
+    On large inputs every group is first thinned to little more than its share by
+    a hash threshold of its own, so the ranking sees few rows even of a group that
+    holds a third of the table.  Should a threshold leave too few, which is very
+    unlikely, all rows are ranked.
     """
-    groups = df.select(group).distinct().count()
-    k = size // max(groups, 1)
-    d = df.withColumn("_h", hash_order(key, seed)).withColumn("_s", F.pmod(F.xxhash64(q(key)), F.lit(salts)))
-    w1 = W.partitionBy(group, "_s").orderBy("_h", q(key))
-    w2 = W.partitionBy(group).orderBy("_h", q(key))
-    part = d.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
-    return part.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_h", "_s", "_r")
+    groups = materialize(df.groupBy(group).agg(F.count("*").alias("_n")), "strata")
+    s = one_row(groups.agg(F.count("*").alias("g"), F.sum("_n").alias("n")))
+    k = size // max(s["g"], 1)
+    d = df.withColumn("_h", hash_order(key, seed))
+    if (s["n"] or 0) > small:
+        share = F.least(F.lit(1.0), F.lit(k + 6 * math.sqrt(k) + 100.0) / F.col("_n"))
+        at = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48)
+        same = F.col(f"l.{group}").eqNullSafe(F.col(f"r.{group}"))
+        thin = d.alias("l").join(groups.alias("r"), same).where(at <= share).select("l.*", "_n")
+        thin = materialize(thin, "strata-thin")
+        kept = thin.groupBy(group).agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+        ok = one_row(kept.agg(F.count_if(F.col("_k") < F.least(F.lit(k), F.col("_n"))).alias("short"), F.count("*").alias("g")))
+        if ok["short"] == 0 and ok["g"] == s["g"]:
+            d = thin.drop("_n")
+    w = W.partitionBy(group).orderBy("_h", q(key))
+    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_h", "_r")

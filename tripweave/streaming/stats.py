@@ -24,7 +24,7 @@ def peak_orders(df: DataFrame) -> DataFrame:
 
 def active_vehicles(df: DataFrame, exact: bool = True) -> DataFrame:
     """Distinct vehicles per half hour; a stream needs the approximate count."""
-    n = F.countDistinct("vehicle_id") if exact else F.approx_count_distinct("vehicle_id", 0.01)
+    n = F.countDistinct("vehicle_id") if exact else F.approx_count_distinct("vehicle_id", 0.05)
     return df.groupBy(F.window("timestamp", "30 minutes").alias("w")).agg(n.alias("active_vehicles")).select(
         F.col("w.start").alias("window_start"), "active_vehicles")
 
