@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import cyclic_pair
 from ..functions.numbers import r, ratio
-from ..session import materialize, one_row, spread_small
+from ..session import in_parallel, materialize, one_row, spread_small
 from .common import tidy_stats
 
 SEED = 42
@@ -78,8 +79,8 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, scaled: bool = True,
 def cluster_columns(df: DataFrame, sizes: Sequence[int] = (5, 8, 10), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """One k-means label column per size, on raw degrees."""
     base = materialize(spread_small(df.select(lat, lon)), "cluster-input")
-    for k in sizes:
-        df = ordered_labels(fit_kmeans(base, [lat, lon], k, False), df, False, f"cluster_{k}")
+    for k, model in zip(sizes, in_parallel(lambda k: fit_kmeans(base, [lat, lon], k, False), sizes)):
+        df = ordered_labels(model, df, False, f"cluster_{k}")
     return df
 
 
@@ -181,14 +182,14 @@ def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool =
     """Per k: inertia and the three indices, over one prepared input."""
     base = materialize(spread_small(standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols)), "kscan")
     zcols = base.columns
-    out = None
-    for k in ks:
+
+    def one(k: int) -> DataFrame:
         model = fit_kmeans(base, zcols, k, False, seed)
         inertia = float(model.stages[-1].summary.trainingCost)
-        row = quality_indices(ordered_labels(model, base, False, "cluster"), zcols).select(
+        return quality_indices(ordered_labels(model, base, False, "cluster"), zcols).select(
             F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "clusters", "silhouette", "calinski_harabasz", "davies_bouldin")
-        out = row if out is None else out.unionByName(row)
-    return out
+
+    return reduce(DataFrame.unionByName, in_parallel(one, ks))
 
 
 def pick_k(scan: DataFrame, method: str) -> int:

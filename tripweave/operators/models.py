@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import hour_start
 from ..functions.numbers import r
-from ..session import materialize
+from ..session import in_parallel, materialize
 from .encode import hash_share, mark_test
 from .metrics import regression_aggregates
 
@@ -100,10 +101,8 @@ def compare(table: DataFrame, specs: dict[str, dict], categorical: Sequence[str]
     """Metric rows of every model that can be fitted, with its rank by test r2."""
     from pyspark.sql import Window as W
 
-    out = None
-    for name, kw in specs.items():
-        rows = train_and_measure(table, name, categorical, **kw)
-        out = rows if out is None else out.unionByName(rows)
+    rows = in_parallel(lambda spec: train_and_measure(table, spec[0], categorical, **spec[1]), specs.items())
+    out = reduce(DataFrame.unionByName, rows)
     wide = out.groupBy("model").pivot("split", ["train", "test"]).agg(
         F.first("r2").alias("r2"), F.first("rmse").alias("rmse"), F.first("mae").alias("mae"))
     return wide.withColumn("rank", F.rank().over(W.orderBy(F.desc("test_r2"))))  # a row per model
@@ -141,12 +140,13 @@ def ensemble(table: DataFrame, specs: dict[str, dict], categorical: Sequence[str
 def cross_validate(table: DataFrame, name: str, folds: int = 5, categorical: Sequence[str] = (), **kw) -> DataFrame:
     """Test r2 per fold (folds by key hash) and their mean, population std, min and max."""
     d = as_double(materialize(table.withColumn("fold", F.floor(hash_share(F.col("row_key"), 7) * folds).cast("int")), "folds"))
-    out = None
-    for k in range(folds):
+
+    def one(k: int) -> DataFrame:
         m = pipeline(regressor(name, **kw), categorical=categorical).fit(d.where(F.col("fold") != k))
         a = regression_aggregates(LABEL, "prediction")
-        one = m.transform(d.where(F.col("fold") == k)).agg(a["r2"].alias("r2")).select(F.lit(k).alias("fold"), "r2")
-        out = one if out is None else out.unionByName(one)
+        return m.transform(d.where(F.col("fold") == k)).agg(a["r2"].alias("r2")).select(F.lit(k).alias("fold"), "r2")
+
+    out = reduce(DataFrame.unionByName, in_parallel(one, range(folds)))
     s = out.agg(F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std"), F.min("r2").alias("min"), F.max("r2").alias("max"))
     tail = s.unpivot([], ["mean", "std", "min", "max"], "item", "r2")
     return out.select(F.concat(F.lit("fold"), "fold").alias("item"), "r2").unionByName(tail)

@@ -11,9 +11,11 @@ holds a product of two large groups, however the points are concentrated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize, small_side, spread
+from ..session import in_parallel, materialize, small_side, spread
 
 PAIR_LIMIT = 20_000
 SPLIT = 4  # a cell splits into SPLIT x SPLIT children
@@ -154,11 +156,10 @@ def radius_counts(probe: DataFrame, points: DataFrame, radius: float, inclusive:
 def density_features(df: DataFrame, radii: dict[str, float], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """For every row the number of other rows closer than each radius (NULL without a place)."""
     pts = materialize(distinct_points(df, lat, lon), "nb-distinct")
-    found = None
-    for name, radius in radii.items():
-        # counts of all radii are stacked and summed up in one aggregate
-        c = radius_counts(pts, pts, radius).select("y", "x", F.lit(name).alias("k"), (F.col("hits") - 1).alias("h"))
-        found = c if found is None else found.unionAll(c)
+    counts = in_parallel(lambda radius: radius_counts(pts, pts, radius), radii.values())
+    # counts of all radii are stacked and summed up in one aggregate
+    found = reduce(DataFrame.unionAll, [
+        c.select("y", "x", F.lit(name).alias("k"), (F.col("hits") - 1).alias("h")) for name, c in zip(radii, counts)])
     per_place = found.groupBy("y", "x").agg(*[F.max(F.when(F.col("k") == k, F.col("h"))).alias(k) for k in radii])
     per_place = materialize(per_place, "nb-density").withColumnsRenamed({"y": lat, "x": lon})
     return df.join(per_place, [lat, lon], "left").select(*df.columns, *radii)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -101,3 +104,13 @@ def one_row(df: DataFrame) -> dict:
     """Fetch the single row of a global aggregate as a dict."""
     row = df.first()
     return row.asDict(recursive=True) if row is not None else {}
+
+
+def in_parallel(fn: Callable, items: Iterable, threads: int = 4) -> list:
+    """Run independent Spark jobs from a few driver threads; results in order."""
+    items = list(items)
+    if len(items) < 2:
+        return [fn(x) for x in items]
+    target = inheritable_thread_target(SparkSession.getActiveSession())(fn)
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(target, items)
