@@ -103,6 +103,23 @@ def temporal_counts(df: DataFrame, time: str = "datetime") -> DataFrame:
     return g.select(kind.alias("kind"), F.coalesce(*keys).alias("k"), "n")
 
 
+def peak_rows(counts: DataFrame) -> DataFrame:
+    """Three peak and off-peak hours, busiest and quietest weekday; ties to the lower key.
+
+    ``counts`` has (kind, k, n) for hours and weekdays: at most 31 rows reach the windows.
+    """
+    from pyspark.sql import Window as W
+
+    g = counts.where(F.col("kind").isin("hour", "weekday"))
+    g = g.withColumns({"up": F.row_number().over(W.partitionBy("kind").orderBy("n", "k")),
+                       "down": F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "k"))})
+    hour, day = F.col("kind") == "hour", F.col("kind") == "weekday"
+    kinds = F.array_compact(F.array(
+        F.when(hour & (F.col("down") <= 3), F.lit("peak_hour")), F.when(hour & (F.col("up") <= 3), F.lit("off_peak_hour")),
+        F.when(day & (F.col("down") == 1), F.lit("busiest_day")), F.when(day & (F.col("up") == 1), F.lit("quietest_day"))))
+    return g.select(F.explode(kinds).alias("kind"), "k", "n")
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(item, value): rows, columns, repeated rows, distinct values per column (exact)."""
     vals = value_counts_any(df).groupBy("column_name").agg(F.count("*").alias("value"))

@@ -12,7 +12,6 @@ from ..operators.neighbours import density_features
 from ..session import materialize
 from . import sqltext as S
 from .q_basic import PEAK_LABEL_SQL
-from .q_features import peak_table
 from .registry import query
 
 _NUM = ["event_id", "latitude", "longitude", "vehicle_id", "wait_time", "value"]
@@ -118,8 +117,8 @@ _HW = f"""h AS (SELECT {S.HR} AS k, count(*) AS n FROM trips GROUP BY 1), w AS (
 
 @query("temporal_summary", S.with_views("trips") + f", {_HW} {_TEMPORAL} UNION ALL {_PEAKS}")
 def temporal_summary(spark, d):
-    t = views.trips(spark, d)
-    return explore.temporal_counts(t).unionByName(peak_table(t))
+    c = materialize(explore.temporal_counts(views.trips(spark, d)), "temporal-counts")
+    return c.unionByName(explore.peak_rows(c))
 
 
 @query("spatial_summary", S.with_views("trips") + """,
@@ -191,7 +190,8 @@ def eda_temporal(spark, d):
         F.struct(F.lit("start").alias("kind"), no_k.alias("k"), no_n.alias("n"), F.col("a").alias("at")),
         F.struct(F.lit("end").alias("kind"), no_k.alias("k"), no_n.alias("n"), F.col("b").alias("at")),
         F.struct(F.lit("days").alias("kind"), no_k.alias("k"), F.floor(secs / 86400).alias("n"), no_ts.alias("at")))).alias("s")).select("s.*")
-    counts = explore.temporal_counts(t).where("kind in ('hour', 'weekday')").unionByName(peak_table(t)).withColumn("at", no_ts)
+    c = materialize(explore.temporal_counts(t).where("kind in ('hour', 'weekday')"), "temporal-counts")
+    counts = c.unionByName(explore.peak_rows(c)).withColumn("at", no_ts)
     return span.unionByName(counts)
 
 

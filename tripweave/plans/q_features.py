@@ -8,7 +8,7 @@ from .. import views
 from ..functions import calendar as cal
 from ..functions.geo import haversine_km
 from ..functions.numbers import r_mean
-from ..operators import common, features, neighbours, series
+from ..operators import common, explore, features, neighbours, series
 from ..schema import CENTER_LAT, CENTER_LON
 from ..session import materialize
 from . import sqltext as S
@@ -280,26 +280,4 @@ UNION ALL SELECT * FROM (SELECT 'off_peak_hour', k, n FROM h ORDER BY n, k LIMIT
 UNION ALL SELECT * FROM (SELECT 'busiest_day', k, n FROM w ORDER BY n DESC, k LIMIT 1)
 UNION ALL SELECT * FROM (SELECT 'quietest_day', k, n FROM w ORDER BY n, k LIMIT 1)""")
 def nlargest_hours(spark, d):
-    return peak_table(views.trips(spark, d))
-
-
-def peak_table(df, time="datetime"):
-    """Peak and off-peak hours, busiest and quietest weekday; ties to the lower key.
-
-    One scan: hours and weekdays are counted together as grouping sets.
-    """
-    from pyspark.sql import Window as W
-
-    g = (df.select(F.hour(time).alias("h"), F.weekday(time).alias("w"))
-         .groupingSets([["h"], ["w"]], "h", "w").agg(F.count("*").alias("n"), F.grouping("h").alias("no_h")))
-    g = g.select(F.when(F.col("no_h") == 0, "hour").otherwise("day").alias("g"), F.coalesce("h", "w").alias("k"), "n")
-    # at most 31 rows reach these windows
-    up = F.row_number().over(W.partitionBy("g").orderBy("n", "k"))
-    down = F.row_number().over(W.partitionBy("g").orderBy(F.desc("n"), "k"))
-    g = g.withColumns({"up": up, "down": down})
-    kinds = F.array_compact(F.array(
-        F.when((F.col("g") == "hour") & (F.col("down") <= 3), F.lit("peak_hour")),
-        F.when((F.col("g") == "hour") & (F.col("up") <= 3), F.lit("off_peak_hour")),
-        F.when((F.col("g") == "day") & (F.col("down") == 1), F.lit("busiest_day")),
-        F.when((F.col("g") == "day") & (F.col("up") == 1), F.lit("quietest_day"))))
-    return g.select(F.explode(kinds).alias("kind"), "k", "n")
+    return explore.peak_rows(explore.temporal_counts(views.trips(spark, d)))

@@ -75,12 +75,14 @@ SMALL_ROWS = 2_000_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition on ``keys`` (or evenly) with the session's number of shuffle partitions.
+    """Partition on ``keys`` (or evenly): shuffle partitions, at most two per core.
 
     Given as a number, the partitioning is not coalesced by size: a small table
     that is about to be expanded or scored keeps all tasks busy.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2 * spark.sparkContext.defaultParallelism, 8))
+    return df.repartition(n, *keys)
 
 
 def spread_small(df: DataFrame, rows: int | None = None) -> DataFrame:

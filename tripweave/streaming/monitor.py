@@ -21,6 +21,7 @@ from .run import run_batches
 
 ALPHA = 0.1
 ALL = "*"
+SLOTS = 4
 
 
 class RideMonitor:
@@ -40,7 +41,8 @@ class RideMonitor:
     # ---- state -------------------------------------------------------------
 
     def _path(self, name: str, version: int) -> str:
-        return f"{self.out}/{name}/v={version}"
+        # versions rotate over a few slots, so storage does not grow with the run
+        return f"{self.out}/{name}/slot={version % SLOTS}"
 
     def _read(self, name: str, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path(name, version))
