@@ -338,3 +338,4 @@ def test_empty_tables(spark):
     assert dbscan.dbscan(df.select("latitude", "longitude"), 0.01, 5).count() == 0
     assert quality.summary_statistics(df).where("n = 0").count() == 6
     assert chartdata.hexbin(df).count() == 0
+    assert chartdata.kde_grid(df).count() == 0

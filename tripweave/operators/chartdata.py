@@ -92,6 +92,9 @@ def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: in
         F.count("*").alias("n"), F.var_samp(y).alias("vy"), F.var_samp(x).alias("vx"), F.covar_samp(y, x).alias("c"),
         F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1")))
     n = s["n"]
+    if n < 3 or not s["vy"] or not s["vx"]:
+        # no spread, no kernel
+        return df.limit(0).select(F.lit(0).alias("iy"), F.lit(0).alias("ix"), F.lit(0.0).alias("density"))
     h2 = n ** (-1.0 / 3.0)  # squared Scott factor in two dimensions: n^(-1/6) squared
     vy, vx, c = s["vy"] * h2, s["vx"] * h2, s["c"] * h2
     det = vy * vx - c * c
