@@ -16,7 +16,7 @@ from .common import as_bytes, chunks, groups, mix
 GRAM = 40  # bytes of an anchor
 PERIOD = 31  # of the difference cover
 BLOCK = 1 << 20  # bytes of suffix text that one block sorts
-HOT = 4096  # occurrences from which an anchor's windows are spread over the cluster
+HOT = 8192  # distinct surroundings from which an anchor's windows are spread over the cluster
 SEGMENT = 1 << 22  # longer texts are cut in overlapping segments
 
 
@@ -278,7 +278,7 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     ``docs`` has ``__tid`` (a digest of the text), ``__id`` and ``__text``.  Equal texts count once here; the caller
     knows their number.  Steps: anchors of all windows; anchors that occur at two places; the texts around these; equal
     surroundings count once and are repeats as a whole; the windows of the rest are sorted in blocks of whole anchor
-    groups.  Windows of an anchor with more than HOT occurrences are spread by a digest of their own bytes.
+    groups.  Windows of an anchor with more than HOT different surroundings are spread by a digest of their own bytes.
     """
     anchors = materialize(_anchor_rows(docs, length), "anchors")
     place = F.xxhash64("tid", F.col("start") + F.col("lead"))
@@ -291,7 +291,7 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     found = materialize(found, "contexts")
     once = found.groupBy("h", "c", "lead", "more", "ctx").agg(F.min(place).alias("x"), F.max(place).alias("y"))
     once = once.withColumn("known", F.expr("x <> y")).drop("x", "y")
-    hot = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot-anchors")
+    hot = materialize(found.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot-anchors")
     calm = once.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     runs = calm.select("h", "c", "more", "known", "ctx").mapInArrow(
         lambda it: _sort_buckets(it, length), "h bigint, c bigint, lo bigint, hi bigint")
