@@ -283,6 +283,7 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     anchors = materialize(_anchor_rows(docs, length), "anchors")
     place = F.xxhash64("tid", F.col("start") + F.col("lead"))
     often = anchors.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
+    often = materialize(often, "often")  # a join of two plain shuffles, which Spark can split at a hot anchor
     hits = anchors.join(often, "h").groupBy("tid").agg(F.collect_set(F.struct("h", "start", "lead", "more")).alias("hits"))
     ids = docs.groupBy(F.col("__tid").alias("tid")).agg(F.min("__id").alias("first_id"))
     hits = hits.join(ids, "tid")
