@@ -1,6 +1,6 @@
 """Loads every query module of the subpackage."""
 
-from . import q_documents  # noqa: F401
+from . import q_documents, q_mixing, q_pages, q_vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

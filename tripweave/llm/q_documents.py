@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash, suffixes
+from . import decontaminate, quality, simhash, suffixes
 from .common import table
 from .registry import query
 
@@ -24,3 +24,8 @@ def op8_quality_classifier(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.cut_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
