@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripweave.llm import quality, simhash, suffixes
+from tripweave.llm import decontaminate, mixing, q_mixing, quality, simhash, suffixes
 from tripweave.llm.common import table
 from tripweave.session import materialize
 
@@ -24,10 +24,22 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return suffixes.clean_texts(docs, 200)
 
 
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, copied or edited."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their number of whole epochs and the tokens taken in the last one."""
+    return mixing.mix(docs, q_mixing.DOMAIN, q_mixing.WEIGHTS, q_mixing.SHARE, q_mixing.EPOCHS, q_mixing.SEED)
+
+
 STAGES = [
     ("quality_classifier", good_documents),
     ("simhash_near_dedup", near_duplicates),
     ("suffix_array_dedup", repeated_strings),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("mixing", mixture),
 ]
 
 # The stages learn a model, link fingerprints and sort suffixes, which SQL cannot express.
