@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, suffixes
+from . import decontaminate, lm, passages, quality, simhash, suffixes
 from .common import table
 from .registry import query
 
@@ -29,3 +29,14 @@ def op10_suffix_dedup(spark, sf_dir):
 @query("op4_decontamination")
 def op4_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_compact_windows")
+def op2_compact_windows(spark, sf_dir):
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.score(table(spark, sf_dir, "documents"), good)
