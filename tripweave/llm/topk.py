@@ -164,7 +164,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", v
     asked = asked.mapInArrow(with_floor, "q_ids binary, q_v binary, q_dist binary, floor binary")
     asked = materialize(asked, "pivot-queries")
     n = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
-    pieces = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n).cast("int"))).cast("bigint"))
+    pieces = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint"))))
     pieces = pieces.repartition(max(1, min(int(asked.count()) * (n + 1), 10_000)), "block", F.xxhash64("q_ids"))
     met = pieces.join(index, "block").mapInArrow(lambda it: _search(it, k, dim, len(pivots)), schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
