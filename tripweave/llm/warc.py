@@ -50,20 +50,28 @@ def record(page_id, url: str | None, payload: bytes | None, size: int, sha: str,
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """Pages with payload size, digest and the page they revisit.
+    """Pages with payload size, digest and the page they revisit: (page_id, url, size, sha, own, refers, payload).
 
-    Of equal payloads the row with the smallest page_id (nulls last; of repeated rows one) is the response.  Rows are
-    numbered in the written table, so that the choice does not change when a task runs again.
+    Of equal payloads the row with the smallest page_id (nulls last) is the response; of rows that repeat this page_id
+    the one with the smallest url, of equal ones any.  The payload moves once, to the page that its digest names.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(
-        {"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint"), "row": F.monotonically_increasing_id()})
-    rows = materialize(rows, "warc-rows")
-    order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("row").alias("r"))
-    owner = materialize(rows.groupBy("sha", "size").agg(F.min(order).alias("first")), "warc-owners")
-    rows = rows.join(owner, ["sha", "size"])
-    own = F.col("row") == F.col("first.r")
-    return rows.select("page_id", "url", "size", "sha", own.alias("own"), F.col("first.p").alias("refers"), F.when(own, F.col("payload")).alias("payload"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
+    same = ["sha", "size"]
+    order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("count").alias("c"))
+    owner = rows.groupBy(*same, "page_id").count().groupBy(*same).agg(F.min(order).alias("first"))
+    owner = materialize(owner, "warc-owners")
+    rows = rows.join(owner, same)
+    first = F.col("page_id").eqNullSafe(F.col("first.p"))
+    out = ["page_id", "url", "size", "sha", "own", "refers", F.when(F.col("own"), F.col("payload")).alias("payload")]
+    plain = rows.where(~first | (F.col("first.c") == 1)).withColumns({"own": first, "refers": F.col("first.p")}).select(*out)
+    if owner.where("first.c > 1").isEmpty():
+        return plain
+    again = rows.where(first & (F.col("first.c") > 1)).groupBy(*same, "page_id", "url").agg(F.count("*").alias("m"), F.min("payload").alias("payload"))
+    low = again.groupBy(*same).agg(F.min(F.struct(F.col("url").isNull(), "url")).alias("low"))
+    again = again.join(low, same).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    own = (F.col("k") == 1) & F.col("url").eqNullSafe(F.col("low.url"))
+    return plain.unionByName(again.withColumns({"own": own, "refers": F.col("page_id")}).select(*out))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
