@@ -14,7 +14,7 @@ SAMPLE = 1024  # rows from which pivots are chosen and first thresholds taken
 PIVOTS = 32
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
-SLAB = 256  # candidates that are evaluated between two tests for the stop
+SLAB = 1024  # candidates that are evaluated between two tests for the stop
 EXACT = 1 << 53  # products below this are exact in doubles
 
 
@@ -101,10 +101,12 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int, pivots: int) ->
             wide = max(int(np.abs(q).max(initial=0)), int(np.abs(x).max(initial=0)))
             exact = wide * wide * dim < EXACT
             xf = x.astype(float) if exact else x
+            dq, dx = dq.astype(np.float32), np.ascontiguousarray(dx.T.astype(np.float32))
             nq, nx = (q.astype(float) ** 2).sum(1), (x.astype(float) ** 2).sum(1)
             out = []
             for j in range(len(qid)):
-                gap = np.abs(dx - dq[j]).max(axis=1)  # lower bound of the distance, the best of all pivots
+                gap = np.abs(dx - dq[j][:, None]).max(axis=0)  # lower bound of the distance, the best of all pivots
+                gap = np.maximum(gap.astype(float) * (1 - 1e-5) - 1e-5 * dq[j].max(), 0)  # what single precision may have added
                 most = (nq[j] + nx - gap * gap) / 2
                 most = np.minimum(most, np.sqrt(nq[j] * nx))
                 most += 1e-9 * (nq[j] + nx) + 1e-6
@@ -116,7 +118,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int, pivots: int) ->
                         break  # nothing behind can reach the k-th score
                     c = may[s:s + SLAB]
                     score = (xf[c] @ q[j].astype(float)).astype(np.int64) if exact else dots(q[j:j + 1], x[c])[0]
-                    got_s, got_i = top_of(np.r_[got_s, score], np.r_[got_i, ids[c]], k)
+                    fit = score >= (got_s[-1] if len(got_s) == k else floor_[j])
+                    got_s, got_i = top_of(np.r_[got_s, score[fit]], np.r_[got_i, ids[c[fit]]], k)
                 out.append((np.full(len(got_s), qid[j]), got_i, got_s))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
