@@ -125,3 +125,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+
+
+MAX_BITS = 1 << 28  # of a Bloom filter: 32 MB, whatever the number of keys
+
+
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each 64-bit key in a filter of ``bits`` bits."""
+    return [mix(h + np.uint64(k + 1) * MULT) & np.uint64(bits - 1) for k in range(4)]
+
+
+def bloom_of(keys: DataFrame, column: str, bits_per_key: int) -> np.ndarray:
+    """Bloom filter of a column of longs as an array of words.
+
+    Its size follows the number of keys up to MAX_BITS; with more keys it passes more, so that an exact join must follow.
+    """
+    n = keys.agg(F.approx_count_distinct(column)).first()[0]
+    bits = 1 << 10
+    while bits < min(MAX_BITS, bits_per_key * n):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(probes(b.column(0).to_numpy().view(np.uint64), bits))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["w", "m"])
+
+    words = keys.select(column).mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for p in probes(h, len(bloom) << 6):
+        ok &= (bloom[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) > 0
+    return ok

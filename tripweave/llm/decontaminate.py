@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import MULT, PrefixHash, as_bytes, chunks, mix, word_bounds
+from .common import MULT, PrefixHash, as_bytes, bloom_of, chunks, may_hold, mix, word_bounds
 
 N = 4  # words of a seed
 STRETCH = 4  # of so many neighbouring seeds of an item the rarest is always used
@@ -17,7 +17,7 @@ RARE = 64  # seeds in so few passages are all used
 MARGIN = 48  # words around the outermost seeds that are aligned too
 FULL = 40  # words of a long item that make a full score
 MATCH, MISMATCH, GAP = 2, -1, -1
-BITS_PER_SEED, MAX_BITS = 64, 1 << 28  # of the filter; at most 32 MB, whatever the number of items
+BITS_PER_SEED = 64  # of the Bloom filter of seeds
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +41,6 @@ def grams(words: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _probes(g: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [((g >> np.uint64(16 * k)) ^ (g * np.uint64(2 * k + 1) >> np.uint64(7))) & np.uint64(bits - 1) for k in range(4)]
-
-
 def _item_rows(items: DataFrame) -> DataFrame:
     """(key, words, seed places and hashes) of every different item text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,24 +56,6 @@ def _item_rows(items: DataFrame) -> DataFrame:
     return rows.where(F.array_size("grams") > 0).withColumn("key", F.xxhash64("words"))
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bloom filter of all seeds; its size follows their number up to MAX_BITS."""
-    n = seeds.agg(F.approx_count_distinct("gram")).first()[0]
-    bits = 1 << 10
-    while bits < min(MAX_BITS, BITS_PER_SEED * n):
-        bits *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(np.concatenate(_probes(b.column(0).to_numpy().view(np.uint64), bits))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).cast(pa.uint64()).view(pa.int64())], ["w", "m"])
-
-    words = seeds.select("gram").mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _passages(docs: DataFrame, filter_words: np.ndarray) -> DataFrame:
     """Stretches of word hashes around places whose N words may be a seed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -91,9 +69,7 @@ def _passages(docs: DataFrame, filter_words: np.ndarray) -> DataFrame:
                 w, row = word_hashes(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 g = grams(w)
                 ok = row[:len(g)] == row[N - 1:] if len(g) else np.zeros(0, bool)
-                for p in _probes(g, len(bloom) << 6):
-                    ok = ok & ((bloom[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) > 0)
-                at = np.flatnonzero(ok)
+                at = np.flatnonzero(ok & may_hold(bloom, g))
                 if not len(at):
                     continue
                 cut = np.flatnonzero(np.r_[True, (row[at[1:]] != row[at[:-1]]) | (np.diff(at) > 2 * MARGIN)])
@@ -155,7 +131,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> Dat
     spark = docs.sparkSession
     listed = materialize(_item_rows(items), "items")
     seeds = listed.select("key", "grams").distinct().select("key", F.posexplode("grams").alias("pos", "gram"))
-    passages = materialize(_passages(docs, _filter(seeds)).withColumn("pid", F.xxhash64("doc_id", "first", "words")), "passages")
+    passages = materialize(_passages(docs, bloom_of(seeds, "gram", BITS_PER_SEED)).withColumn("pid", F.xxhash64("doc_id", "first", "words")), "passages")
     hits = passages.select("pid", F.explode(F.array_distinct("hits")).alias("gram"))
     real = materialize(hits.join(seeds.select("gram").distinct(), "gram"), "seed-hits")
     df = real.groupBy("gram").agg(F.count("*").alias("df"))
