@@ -8,8 +8,12 @@ from . import mixing
 from .common import table
 from .registry import query
 
-# The documents name no domain; sources are put in four groups by their number.
-DOMAIN = F.concat(F.lit("group"), (F.coalesce(F.nullif(F.regexp_extract("source", "[0-9]+", 0), F.lit("")).cast("int"), F.lit(0)) % 4).cast("string"))
+
+def domain():
+    """The documents name no domain; sources are put in four groups by their number."""
+    return F.concat(F.lit("group"), (F.coalesce(F.nullif(F.regexp_extract("source", "[0-9]+", 0), F.lit("")).cast("int"), F.lit(0)) % 4).cast("string"))
+
+
 WEIGHTS = {
     "domain": {"group0": 4, "group1": 3, "group2": 2, "group3": 1},
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
@@ -59,4 +63,4 @@ FROM t WHERE full_epochs > 0 OR greatest(0, least(n_tokens, rest - done)) > 0"""
 @query("op1_mixing", SQL)
 def op1_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return mixing.mix(docs, DOMAIN, WEIGHTS, SHARE, EPOCHS, SEED, keep=["doc_id", "lang", "source"])
+    return mixing.mix(docs, domain(), WEIGHTS, SHARE, EPOCHS, SEED, keep=["doc_id", "lang", "source"])
