@@ -31,7 +31,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture with their number of whole epochs and the tokens taken in the last one."""
-    return mixing.mix(docs, q_mixing.DOMAIN, q_mixing.WEIGHTS, q_mixing.SHARE, q_mixing.EPOCHS, q_mixing.SEED)
+    return mixing.mix(docs, q_mixing.domain(), q_mixing.WEIGHTS, q_mixing.SHARE, q_mixing.EPOCHS, q_mixing.SEED)
 
 
 STAGES = [
