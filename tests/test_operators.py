@@ -339,3 +339,10 @@ def test_empty_tables(spark):
     assert quality.summary_statistics(df).where("n = 0").count() == 6
     assert chartdata.hexbin(df).count() == 0
     assert chartdata.kde_grid(df).count() == 0
+
+
+def test_zscore_passes_over_a_constant_column(spark):
+    from tripweave.operators.clean import remove_outliers_zscore
+
+    df = spark.createDataFrame([(5.0, float(k % 3)) for k in range(50)] + [(5.0, 1000.0)], "a double, b double")
+    assert remove_outliers_zscore(df, ["a", "b"]).count() == 50

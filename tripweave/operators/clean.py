@@ -106,14 +106,16 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str] = ("latitude", "lo
 
 
 def remove_outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 3.0) -> DataFrame:
-    """|x - mean| / population std below the threshold, column by column."""
+    """|x - mean| / population std below the threshold, column by column.
+
+    Rows with a null in a column with spread go; a constant or empty column is passed over.
+    """
     if columns is None:
         columns = [c for c in numeric_columns(df) if c not in CALENDAR_COLUMNS]
     for c in columns:
         s = one_row(df.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")))
         if not s["s"]:
-            df = df.limit(0)  # no spread: every score is undefined
-            continue
+            continue  # a column without spread has no outliers
         df = df.where(F.abs((q(c) - F.lit(s["m"])) / F.lit(s["s"])) < threshold)
     return df
 
