@@ -206,6 +206,22 @@ def test_bins_on_edges(spark):
     assert h.agg(F.sum("n")).first()[0] == 11
     one = chartdata.histogram(df.limit(1), "x", 5).collect()
     assert len(one) == 1 and one[0]["bin"] == 0
+    gap = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 0.0), (None, 1.0)], "g string, x double")
+    assert [r["n"] for r in chartdata.histogram(gap.drop("g"), "x", 5).orderBy("bin").collect()] == [3, 0, 0, 0, 1]
+    assert chartdata.histogram(gap, "x", 5, "g").count() == 15 and chartdata.histogram(gap.where("x > 99"), "x", 5).count() == 0
+
+
+def test_far_groups_give_all_nodes_and_cells(spark):
+    xy = spark.createDataFrame([(40.0 + k % 2 + k * 1e-6, -74.0 + k % 2 + (k % 7) * 1e-6) for k in range(2000)], "latitude double, longitude double")
+    assert chartdata.kde_grid(xy).count() == 10_000
+    cells = chartdata.hist2d(xy, bins=10)
+    assert cells.count() == 100 and cells.agg(F.sum("n")).first()[0] == 2000
+
+
+def test_many_clusters_have_indices(spark):
+    df = spark.range(2400).select((F.col("id") % 600).cast("int").alias("cluster"), (F.col("id") % 600 + F.col("id") / 1e5).alias("a"), F.lit(1.0).alias("b"))
+    got = cluster.quality_indices(df, ["a", "b"]).first()
+    assert got["clusters"] == 600 and got["silhouette"] > 0.9
 
 
 # ---- series --------------------------------------------------------------------------------

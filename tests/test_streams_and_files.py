@@ -1,5 +1,6 @@
 """Streams against their batch twins; file sources with faults."""
 
+import gzip
 import os
 
 import pytest
@@ -91,7 +92,9 @@ def test_csv_with_faults(spark):
     bad = spark.createDataFrame([("when,where\n1,2",)], "value string")
     good.coalesce(1).write.text(f"{root}/trips-raw-a.csv")
     bad.coalesce(1).write.text(f"{root}/trips-raw-b.csv")
-    df = files.read_trip_csv(spark, f"{root}/trips-raw-*.csv")
+    heads = {r["source_file"]: r["good"] for r in files.trip_csv_headers(spark, f"{root}/trips-raw-*.csv").collect()}
+    assert sorted(heads.values()) == [False, True]
+    df = files.read_trip_csv(spark, f"{root}/trips-raw-*.csv", skip_bad_files=True)
     rows = df.orderBy("Lat").collect()
     assert [r["Base"] for r in rows] == ["B02598", "B02512"] and all(r["source_file"] for r in rows)
     with pytest.raises(Exception):
@@ -101,6 +104,16 @@ def test_csv_with_faults(spark):
         files.read_trip_csv(spark, f"{root}/nothing-*.csv")
 
 
+@pytest.mark.parametrize("skip", [False, True])
+def test_half_a_file_fails(spark, tmp_path, skip):
+    whole = gzip.compress(("Date/Time,Lat,Lon,Base\n" + "".join(f"4/1/2014 0:11:00,{k / 7919},-73.9,B{k}\n" for k in range(50_000))).encode())
+    (tmp_path / "a.csv.gz").write_bytes(whole)
+    (tmp_path / "b.csv.gz").write_bytes(whole[:len(whole) // 2])
+    assert files.read_trip_csv(spark, f"{tmp_path}/a*.gz", skip_bad_files=skip).count() == 50_000
+    with pytest.raises(Exception):
+        files.read_trip_csv(spark, f"{tmp_path}/*.gz", skip_bad_files=skip).agg({"Lat": "sum", "Base": "max"}).collect()
+
+
 def test_daily_file_with_other_line_ends(spark):
     root = scratch_path(spark, "daily")
     text = "dispatching_base_number,date,active_vehicles,trips\r\nB1,1/2/2015,190,1132\r\nB2,12/31/2015,225,1765\r"

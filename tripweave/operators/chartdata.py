@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import equal_width_bin
 from ..functions.numbers import r
@@ -18,13 +18,23 @@ from .quantile import exact_quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, group: str | None = None) -> DataFrame:
-    """Equal-width counts over the column's range: bin, left edge, right edge, n."""
+    """Equal-width counts over the column's range: bin, left edge, right edge, n.
+
+    Every bin has a row, empty ones with 0; per group if there is one.  A column without spread has one bin, one
+    without values none.
+    """
     e = one_row(df.agg(F.min(q(column)).cast("double").alias("a"), F.max(q(column)).cast("double").alias("b")))
     d = df.where(q(column).isNotNull())
     keys = [group] if group else []
     g = d.groupBy(*keys, equal_width_bin(q(column).cast("double"), e["a"], e["b"], bins).alias("bin")).agg(F.count("*").alias("n"))
     a, b = e["a"] or 0.0, e["b"] or 0.0
     step = (b - a) / bins
+    if b > a:
+        every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+        spine = g.select(*keys).distinct().select(*keys, every) if keys else df.sparkSession.range(1).select(every)
+        on = [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*keys, "bin"]]
+        g = spine.alias("s").join(g.alias("h"), on, "left").select(
+            *[F.col(f"s.{c}").alias(c) for c in [*keys, "bin"]], F.coalesce("h.n", F.lit(0).cast("long")).alias("n"))
     return g.select(*keys, "bin", r(F.lit(a) + F.col("bin") * F.lit(step)).alias("bin_left"),
                     r(F.lit(a) + (F.col("bin") + 1) * F.lit(step)).alias("bin_right"), "n")
 
@@ -46,12 +56,20 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
     return df.agg(*aggs).select(F.explode(rows).alias("s")).select("s.*")
 
 
+def _all_nodes(df: DataFrame, n: int, cells: DataFrame, value: str, empty: Column) -> DataFrame:
+    """Cells of an n x n grid (iy, ix, value); those without a row get ``empty``."""
+    nodes = df.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("iy"), (F.col("id") % n).cast("int").alias("ix"))
+    return nodes.join(cells, ["iy", "ix"], "left").select("iy", "ix", F.coalesce(value, empty).alias(value))
+
+
 def hist2d(df: DataFrame, y: str = "latitude", x: str = "longitude", bins: int = 50) -> DataFrame:
+    """Counts of all bins x bins cells of the data range; without data no cells."""
     e = one_row(df.agg(*[f(F.col(c)).alias(n) for n, f, c in (
         ("y0", F.min, y), ("y1", F.max, y), ("x0", F.min, x), ("x1", F.max, x))]))
-    return (df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
-            .groupBy(equal_width_bin(F.col(y), e["y0"], e["y1"], bins).alias("iy"),
-                     equal_width_bin(F.col(x), e["x0"], e["x1"], bins).alias("ix")).agg(F.count("*").alias("n")))
+    g = (df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+         .groupBy(equal_width_bin(F.col(y), e["y0"], e["y1"], bins).alias("iy"),
+                  equal_width_bin(F.col(x), e["x0"], e["x1"], bins).alias("ix")).agg(F.count("*").alias("n")))
+    return g if e["y0"] is None or e["x0"] is None else _all_nodes(df, bins, g, "n", F.lit(0).cast("long"))
 
 
 def hexbin(df: DataFrame, y: str = "latitude", x: str = "longitude", gridsize: int = 50) -> DataFrame:
@@ -86,7 +104,9 @@ def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: in
     kernels of its places in NumPy batches and emits one partial grid, so the
     shuffle carries grids, not pairs.  A place touches only the nodes within
     ``reach`` bandwidths: beyond 9 a term is below 1e-17 of the kernel's peak.
-    The bandwidth shrinks as data grow, and with it the work per place.
+    The bandwidth shrinks as data grow, and with it the work per place.  All
+    nodes are returned; one out of every place's reach has density 0, less than
+    1e-17 of a kernel's peak from the truth.
     """
     s = one_row(df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).agg(
         F.count("*").alias("n"), F.var_samp(y).alias("vy"), F.var_samp(x).alias("vx"), F.covar_samp(y, x).alias("c"),
@@ -116,7 +136,8 @@ def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: in
         yield pd.DataFrame({"iy": rows.astype("int32"), "ix": cols.astype("int32"), "k": grid[rows, cols]})
 
     part = spread(distinct_points(df, y, x), "y", "x").mapInPandas(partial, "iy int, ix int, k double")
-    return part.groupBy("iy", "ix").agg(r(F.sum("k") * F.lit(norm)).alias("density"))
+    dense = part.groupBy("iy", "ix").agg(r(F.sum("k") * F.lit(norm)).alias("density"))
+    return _all_nodes(df, nodes, dense, "density", F.lit(0.0))
 
 
 def heat_cells(df: DataFrame, weight: str | None = None, digits: int = 2, y: str = "latitude", x: str = "longitude") -> DataFrame:

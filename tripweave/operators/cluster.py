@@ -16,7 +16,6 @@ from ..session import in_parallel, materialize, one_row, spread_small
 from .common import tidy_stats
 
 SEED = 42
-MAX_CLUSTERS = 500
 
 
 def place_features(df: DataFrame, time: str | None = None, weight: str | None = None,
@@ -123,35 +122,31 @@ def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster")
     sq = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
     sums = materialize(d.groupBy(label).agg(
         F.count("*").alias("n"), F.sum(sq).alias("ss"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]), "cq-sums")
-    table = [row.asDict() for row in sums.orderBy(label).limit(MAX_CLUSTERS + 1).collect()]
-    if len(table) > MAX_CLUSTERS:
-        raise ValueError(f"quality indices compare every point with every cluster; at most {MAX_CLUSTERS} clusters")
+    table = [row.asDict() for row in sums.orderBy(label).collect()]  # a row per cluster
     zero = d.sparkSession.range(1).select(
         F.lit(len(table)).cast("long").alias("clusters"), F.lit(0.0).alias("silhouette"),
         F.lit(0.0).alias("calinski_harabasz"), F.lit(0.0).alias("davies_bouldin"))
     if len(table) < 2:
         return zero
     dims = range(len(cols))
-    def gap(t):
-        """Squared distance of the row to the mean of cluster t."""
-        out = F.lit(0.0)
-        for i, c in enumerate(cols):
-            out = out + (F.col(c) - F.lit(float(t[f"m{i}"]))) * (F.col(c) - F.lit(float(t[f"m{i}"])))
-        return out
-
-    def spread_of(t) -> float:
-        return float(t["ss"] / t["n"] - sum(t[f"m{i}"] ** 2 for i in dims))
-
     # mean squared distance of a point to the rows of t is |x - m|^2 + spread of t
-    is_own = [F.col(label) == F.lit(t[label]) for t in table]
-    other = F.least(*[F.when(~o, gap(t) + spread_of(t)) for o, t in zip(is_own, table)])
-    own_gap = F.coalesce(*[F.when(o, gap(t)) for o, t in zip(is_own, table)])
-    own = F.coalesce(*[F.when(o, (gap(t) + spread_of(t)) * (t["n"] / max(t["n"] - 1.0, 1.0))) for o, t in zip(is_own, table)])
-    alone = [t[label] for t in table if t["n"] <= 1]
-    d = d.select(F.col(label).alias("k"), other.alias("oth"), own.alias("own"), own_gap.alias("w"))
+    inner = F.col("ss") / F.col("n") - sum((F.col(f"m{i}") * F.col(f"m{i}") for i in dims), F.lit(0.0))
+    each = sums.select(F.struct(F.col(label).alias("t"), F.col("n").cast("double").alias("n"), inner.alias("spread"), *[f"m{i}" for i in dims]).alias("c"))
+    unknown = F.lit(None).cast("double")
+
+    def compare(best, t):
+        """Smallest distance to another cluster so far, distance to the own one and its centre."""
+        gap = sum(((F.col(c) - t[f"m{i}"]) * (F.col(c) - t[f"m{i}"]) for i, c in enumerate(cols)), F.lit(0.0))
+        mine = t["t"] == F.col(label)
+        own = F.when(t["n"] > 1, (gap + t["spread"]) * t["n"] / (t["n"] - 1))
+        return F.struct(F.when(mine, best["oth"]).otherwise(F.least(best["oth"], gap + t["spread"])).alias("oth"),
+                        F.when(mine, own).otherwise(best["own"]).alias("own"), F.when(mine, gap).otherwise(best["w"]).alias("w"))
+
+    first = F.struct(unknown.alias("oth"), unknown.alias("own"), unknown.alias("w"))
+    d = d.withColumn("_cs", each.agg(F.sort_array(F.collect_list("c"))).scalar())
+    d = d.select(F.col(label).alias("k"), F.aggregate("_cs", first, compare).alias("f")).select("k", "f.*")
+    # a cluster of one row has no own distance: its silhouette is 0
     s = F.coalesce(F.try_divide(F.col("oth") - F.col("own"), F.greatest("own", "oth")), F.lit(0.0))
-    if alone:
-        s = F.when(F.col("k").isin(alone), F.lit(0.0)).otherwise(s)
     pts = d.select("k", s.alias("s"), "w", F.sqrt("w").alias("dist"))
     per = [row.asDict() for row in pts.groupBy("k").agg(
         F.sum("s").alias("s"), F.sum("w").alias("w"), F.avg("dist").alias("dist"), F.count("*").alias("n")).collect()]

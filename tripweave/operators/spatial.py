@@ -32,17 +32,17 @@ def spread_of(df: DataFrame) -> DataFrame:
                   r(F.stddev_samp("latitude")).alias("lat_std"), r(F.stddev_samp("longitude")).alias("lon_std"))
 
 
-def probe_density(df: DataFrame, radii: dict[str, float], key: str = "event_id", size: int = 1000) -> DataFrame:
-    """Neighbour counts of the first ``size`` rows among all rows: mean, population std, max."""
+def probe_density(df: DataFrame, radii: dict[str, float]) -> DataFrame:
+    """Neighbour counts of all rows among all rows: mean, population std, max.  Equal places are counted once and weighted."""
     pts = materialize(distinct_points(df), "density-points")
-    first = materialize(df.where("latitude is not null and longitude is not null").orderBy(key).limit(size)
-                        .select(F.col("latitude").alias("y"), F.col("longitude").alias("x")), "density-probe")
-    probe = materialize(first.distinct(), "density-probe")
     out = None
     for name, radius in radii.items():
-        c = radius_counts(probe, pts, radius)
-        one = first.join(c, ["y", "x"]).select((F.col("hits") - 1).alias("h")).agg(
-            r(F.avg("h")).alias("mean"), r(F.stddev_pop("h")).alias("std"), F.max("h").alias("max"))
+        c = radius_counts(pts, pts, radius)
+        h, n = F.col("hits") - 1, F.col("n")
+        c = c.join(pts, ["y", "x"]).select(h.alias("h"), n.cast("double").alias("n"))
+        mean = F.sum(F.col("h") * F.col("n")) / F.sum("n")
+        square = F.sum(F.col("h").cast("double") * F.col("h") * F.col("n")) / F.sum("n")
+        one = c.agg(r(mean).alias("mean"), r(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).alias("std"), F.max("h").alias("max"))
         one = one.select(F.lit(name).alias("radius"), "*")
         out = one if out is None else out.unionByName(one)
     return out

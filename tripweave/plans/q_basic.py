@@ -19,7 +19,7 @@ _RAW_SQL = S.T + """SELECT event_id, strftime(datetime, '%-m/%-d/%Y %-H:%M:%S')
   latitude, longitude, base_station FROM trips"""
 
 
-def _raw_copy(spark, sf_dir, tag):
+def raw_copy(spark, sf_dir, tag):
     """A CSV copy of the trips in two folders, in the shape of the raw files."""
     root = scratch_path(spark, tag)
     raw = views.raw_trips(spark, sf_dir).drop("event_id")
@@ -35,7 +35,7 @@ _CSV_SQL = S.T + """SELECT strftime(datetime, '%-m/%-d/%Y %-H:%M:%S') AS time_te
 
 @query("scan_trip_csv", _CSV_SQL)
 def scan_trip_csv(spark, d):
-    root = _raw_copy(spark, d, "scan-csv")
+    root = raw_copy(spark, d, "scan-csv")
     df = files.read_trip_csv(spark, f"{root}/trips-raw-*.csv")
     return df.select(F.col("Date/Time").alias("time_text"), F.col("Lat").alias("lat"), F.col("Lon").alias("lon"),
                      F.col("Base").alias("base"), F.col("source_file").isNotNull().cast("int").alias("has_source"))
@@ -68,10 +68,10 @@ def sink_processed(spark, d):
 
 
 @query("scan_all_sources", S.T + """SELECT 'trips' AS source, count(*) AS n FROM trips
-  UNION ALL SELECT 'other', count(*) FROM trips WHERE value > 50""")
+  UNION ALL SELECT 'other', count(*) FROM trips""")
 def scan_all_sources(spark, d):
-    root = _raw_copy(spark, d, "all-sources")
-    other = views.trips(spark, d).where("value > 50").select("event_id", "base_station")
+    root = raw_copy(spark, d, "all-sources")
+    other = views.trips(spark, d).select("event_id", "base_station")
     files.write_any(other, f"{root}/other-a.csv")
     got = files.load_all_sources(
         spark, {"trips": f"{root}/trips-raw-*.csv", "other": f"{root}/other-*.csv", "fhv": f"{root}/fhv-*.csv"},
@@ -118,7 +118,7 @@ def scan_base_daily(spark, d):
 
 @query("data_catalog")
 def data_catalog(spark, d):
-    root = _raw_copy(spark, d, "catalog")
+    root = raw_copy(spark, d, "catalog")
     files.write_any(views.trips(spark, d), f"{root}/trips.parquet")
     return files.catalog(spark, root)
 

@@ -11,7 +11,9 @@ from ..functions.numbers import r_mean
 from ..operators import common, explore, features, neighbours, series
 from ..schema import CENTER_LAT, CENTER_LON
 from ..session import materialize
+from ..sources import files
 from . import sqltext as S
+from .q_basic import raw_copy
 from .registry import query
 
 _LAGS = (1, 2, 3, 6, 12, 24)
@@ -232,24 +234,23 @@ def join_semi_isin(spark, d):
 
 
 @query("join_range_radius", S.with_views("trips") + """,
-a AS (SELECT DISTINCT latitude AS y, longitude AS x FROM trips WHERE base_station = 'purchase'),
-b AS (SELECT latitude AS y, longitude AS x, count(*) AS n FROM trips WHERE base_station = 'error' GROUP BY 1, 2)
+a AS (SELECT DISTINCT latitude AS y, longitude AS x FROM trips),
+b AS (SELECT latitude AS y, longitude AS x, count(*) AS n FROM trips GROUP BY 1, 2)
 SELECT a.y AS latitude, a.x AS longitude, coalesce(sum(b.n), 0)::BIGINT AS hits
 FROM a LEFT JOIN b ON sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) < 0.02::DOUBLE
   AND b.y BETWEEN a.y - 0.03 AND a.y + 0.03 GROUP BY 1, 2""")
 def join_range_radius(spark, d):
-    t = views.trips(spark, d)
-    probe = materialize(neighbours.distinct_points(t.where("base_station = 'purchase'")), "probe")
-    points = materialize(neighbours.distinct_points(t.where("base_station = 'error'")), "points")
-    return neighbours.radius_counts(probe, points, 0.02).withColumnsRenamed({"y": "latitude", "x": "longitude"})
+    points = materialize(neighbours.distinct_points(views.trips(spark, d)), "points")
+    return neighbours.radius_counts(points, points, 0.02).withColumnsRenamed({"y": "latitude", "x": "longitude"})
 
 
-@query("union_all_files", S.T + """SELECT event_id, base_station FROM trips WHERE value > 20
-  UNION ALL SELECT event_id, base_station FROM trips WHERE wait_time <= 12""")
+@query("union_all_files", S.T + """SELECT strftime(datetime, '%-m/%-d/%Y %-H:%M:%S') AS time_text, latitude AS lat,
+  longitude AS lon, base_station AS base FROM trips""")
 def union_all_files(spark, d):
-    t = views.trips(spark, d)
-    return t.where("value > 20").select("event_id", "base_station").unionByName(
-        t.where("wait_time <= 12").select("base_station", "event_id"))
+    root = raw_copy(spark, d, "union-files")
+    a, b = (files.read_trip_csv(spark, f"{root}/trips-raw-{x}.csv").drop("source_file") for x in "ab")
+    both = a.unionByName(b.select("Base", "Lon", "Lat", "Date/Time"))
+    return both.select(F.col("Date/Time").alias("time_text"), F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), F.col("Base").alias("base"))
 
 
 @query("union_distinct", S.T + """SELECT base_station, vehicle_id, pickup_area FROM trips WHERE value > 50

@@ -99,8 +99,7 @@ def forecast_trend_history(spark, d):
 
 
 @query("short_term_forecast", S.with_views("trips") + """,
-r AS (SELECT * FROM trips ORDER BY datetime DESC, event_id DESC LIMIT 100),
-m AS (SELECT date_trunc('minute', datetime) AS minute, count(*) AS n FROM r GROUP BY 1),
+m AS (SELECT date_trunc('minute', datetime) AS minute, count(*) AS n FROM trips GROUP BY 1),
 a AS (SELECT (SELECT count(*) FROM m) AS k, (SELECT avg(n) FROM (SELECT n FROM m ORDER BY minute DESC LIMIT 5)) AS v)
 SELECT s::INT AS step, round(CASE WHEN k >= 5 THEN greatest(0, v * (1 + 0.1::DOUBLE * s)) ELSE 0 END, 6) AS prediction,
   CASE WHEN k >= 5 THEN 0.8::DOUBLE ELSE 0 END AS confidence, CASE WHEN k >= 5 THEN 'moving_average' ELSE 'insufficient_data' END AS method FROM a, range(5) t(s)""")

@@ -154,8 +154,9 @@ def residuals(spark, d):
 
 
 @query("residual_histogram", S.with_views("predictions") + """, x AS (SELECT y - yhat AS v FROM predictions), e AS (SELECT min(v) a, max(v) b FROM x)
-SELECT bin, round(a + bin * ((b - a) / 30), 6) AS bin_left, round(a + (bin + 1) * ((b - a) / 30), 6) AS bin_right, n FROM e, (
-  SELECT least(floor(round((v - a) / (b - a) * 30, 9)), 29)::INT AS bin, count(*) AS n FROM x, e GROUP BY 1)""")
+SELECT s.bin::INT AS bin, round(a + s.bin * ((b - a) / 30), 6) AS bin_left, round(a + (s.bin + 1) * ((b - a) / 30), 6) AS bin_right, coalesce(n, 0) AS n
+FROM e CROSS JOIN range(30) s(bin) LEFT JOIN (
+  SELECT least(floor(round((v - a) / (b - a) * 30, 9)), 29)::INT AS bin, count(*) AS n FROM x, e GROUP BY 1) h ON h.bin = s.bin""")
 def residual_histogram(spark, d):
     return chartdata.histogram(metrics.residuals(predictions(spark, d)), "residual", 30)
 
@@ -166,8 +167,9 @@ def qq_points(spark, d):
 
 
 @query("prob_histogram", _LAB + """, x AS (SELECT y, score::DOUBLE / (SELECT max(score) FROM t) AS p FROM t), e AS (SELECT min(p) a, max(p) b FROM x)
-SELECT y, bin, round(a + bin * ((b - a) / 30), 6) AS bin_left, round(a + (bin + 1) * ((b - a) / 30), 6) AS bin_right, n FROM e, (
-  SELECT y, least(floor(round((p - a) / (b - a) * 30, 9)), 29)::INT AS bin, count(*) AS n FROM x, e GROUP BY 1, 2)""")
+SELECT g.y, s.bin::INT AS bin, round(a + s.bin * ((b - a) / 30), 6) AS bin_left, round(a + (s.bin + 1) * ((b - a) / 30), 6) AS bin_right, coalesce(n, 0) AS n
+FROM e CROSS JOIN range(30) s(bin) CROSS JOIN (SELECT DISTINCT y FROM x) g LEFT JOIN (
+  SELECT y, least(floor(round((p - a) / (b - a) * 30, 9)), 29)::INT AS bin, count(*) AS n FROM x, e GROUP BY 1, 2) h ON h.bin = s.bin AND h.y = g.y""")
 def prob_histogram(spark, d):
     t = labelled(spark, d)
     top = t.agg(F.max("score")).scalar()

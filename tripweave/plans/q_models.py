@@ -89,7 +89,7 @@ def cluster_quality(spark, d):
 
 @query("optimal_k")
 def optimal_k(spark, d):
-    scan = materialize(cluster.k_scan(_xy(spark, d), _LL, range(2, 9)), "kscan-rows")
+    scan = materialize(cluster.k_scan(_xy(spark, d), _LL, range(2, 21)), "kscan-rows")
     best = {m: cluster.pick_k(scan, m) for m in ("silhouette", "calinski", "davies", "elbow")}
     return scan.withColumns({f"best_{m}": (F.col("k") == k).cast("int") for m, k in best.items()})
 
@@ -97,8 +97,8 @@ def optimal_k(spark, d):
 @query("pivot_cluster_base")
 def pivot_cluster_base(spark, d):
     t = cluster.kmeans(_xy(spark, d), _LL, 8)
-    # Spark lists the bases itself and refuses more than spark.sql.pivotMaxValues of them
-    return t.groupBy("cluster").pivot("base_station").agg(F.count(F.lit(1))).na.fill(0)
+    # one row per cluster and base, so that any number of bases fits
+    return t.groupBy("cluster", "base_station").agg(F.count("*").alias("n"))
 
 
 @query("cluster_centers_mean")
@@ -200,8 +200,8 @@ def _table(spark, d):
     return models.prepare(models.demand_table(views.trips(spark, d), _CAT), ["base_station", "hour_date"])
 
 
-for _n, _model, _kw in (("linear_regression", "linear", {}), ("random_forest", "random_forest", {"numTrees": 30, "maxDepth": 8}),
-                        ("gbt_xgb", "gbt_xgb", {"maxIter": 15, "maxDepth": 5}), ("gbt_lgb", "gbt_lgb", {"maxIter": 15, "maxDepth": 5})):
+for _n, _model, _kw in (("linear_regression", "linear", {}), ("random_forest", "random_forest", {}),
+                        ("gbt_xgb", "gbt_xgb", {}), ("gbt_lgb", "gbt_lgb", {})):
     query(_n)(lambda spark, d, m=_model, kw=_kw: models.train_and_measure(_table(spark, d), m, _CAT, **kw))
 
 

@@ -34,7 +34,7 @@ def geo_spread(spark, d):
 
 
 @query("geo_density", S.with_views("trips") + """,
-a AS (SELECT event_id, latitude, longitude FROM trips ORDER BY event_id LIMIT 1000),
+a AS (SELECT event_id, latitude, longitude FROM trips),
 c AS (SELECT a.event_id, count(*) FILTER (sqrt((a.latitude - b.latitude) * (a.latitude - b.latitude) + (a.longitude - b.longitude) * (a.longitude - b.longitude)) < 0.01::DOUBLE) - 1 AS h1,
     count(*) FILTER (sqrt((a.latitude - b.latitude) * (a.latitude - b.latitude) + (a.longitude - b.longitude) * (a.longitude - b.longitude)) < 0.05::DOUBLE) - 1 AS h5
   FROM a, trips b GROUP BY 1)
@@ -140,9 +140,10 @@ def cluster_profile(spark, d):
 
 
 def _hist_sql(table, col, bins):
-    return f"""WITH e AS (SELECT min({col})::DOUBLE AS a, max({col})::DOUBLE AS b FROM {table})
-SELECT bin, round(a + bin * ((b - a) / {bins}), 6) AS bin_left, round(a + (bin + 1) * ((b - a) / {bins}), 6) AS bin_right, n FROM e,
- (SELECT {_bin(f'{col}::DOUBLE', 'a', 'b', bins)} AS bin, count(*) AS n FROM {table}, e GROUP BY 1)"""
+    return f"""WITH e AS (SELECT min({col})::DOUBLE AS a, max({col})::DOUBLE AS b FROM {table}),
+h AS (SELECT {_bin(f'{col}::DOUBLE', 'a', 'b', bins)} AS bin, count(*) AS n FROM {table}, e GROUP BY 1)
+SELECT s.bin::INT AS bin, round(a + s.bin * ((b - a) / {bins}), 6) AS bin_left, round(a + (s.bin + 1) * ((b - a) / {bins}), 6) AS bin_right,
+  coalesce(n, 0) AS n FROM e CROSS JOIN range({bins}) s(bin) LEFT JOIN h ON h.bin = s.bin"""
 
 
 @query("histogram_bins", _hist_sql("lineitem", "l_extendedprice", 30))
@@ -166,7 +167,8 @@ def boxplot_stats(spark, d):
 
 
 @query("hist2d", S.with_views("trips") + f""", e AS ({_RANGE} FROM trips)
-SELECT {_bin('latitude', 'y0', 'y1', 50)} AS iy, {_bin('longitude', 'x0', 'x1', 50)} AS ix, count(*) AS n FROM trips, e GROUP BY 1, 2""")
+, h AS (SELECT {_bin('latitude', 'y0', 'y1', 50)} AS iy, {_bin('longitude', 'x0', 'x1', 50)} AS ix, count(*) AS n FROM trips, e GROUP BY 1, 2)
+SELECT a.i::INT AS iy, b.i::INT AS ix, coalesce(n, 0) AS n FROM range(50) a(i) CROSS JOIN range(50) b(i) LEFT JOIN h ON h.iy = a.i AND h.ix = b.i""")
 def hist2d(spark, d):
     return chartdata.hist2d(_xy(spark, d))
 

@@ -17,21 +17,46 @@ def file_type(path: str) -> str:
     raise ValueError(f"cannot tell the file type of {path}")
 
 
+def trip_csv_headers(spark: SparkSession, pattern: str, schema: T.StructType = TRIP_RAW) -> DataFrame:
+    """(source_file, path, header, good) of every non-empty file that matches a glob; good: its header names the columns.
+
+    Only the first block of a file is looked at, and of a damaged one what can be read, as the header alone counts here.
+    """
+    lines = (
+        spark.read.option("ignoreCorruptFiles", True).text(pattern)
+        .where(F.col("_metadata.file_block_start") == 0)
+        .select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"),
+                F.monotonically_increasing_id().alias("pos"))
+    )
+    heads = lines.groupBy("source_file", "path").agg(F.min_by("value", "pos").alias("header"))
+    names = F.transform(F.split("header", ","), lambda c: F.lower(F.btrim(F.btrim(c), F.lit('"\ufeff'))))
+    want = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    return heads.select("source_file", path.alias("path"), "header", (names == want).alias("good"))
+
+
 def read_trip_csv(spark: SparkSession, pattern: str, schema: T.StructType = TRIP_RAW,
-                  skip_bad_files: bool = True) -> DataFrame:
+                  skip_bad_files: bool = False) -> DataFrame:
     """All CSV files that match a glob, as one table with ``source_file``.
 
-    Header names are checked per file, blanks around them ignored.  A file with
-    another header is skipped (or fails the read); no match or no row is an error.
+    Header names are checked per file, blanks around them ignored.  A file with another header fails the read or, on
+    request, is left out as a whole; ``trip_csv_headers`` reports which.  A file that is damaged further on always
+    fails the read: it never gives part of its rows.  No match or no row is an error.
     """
+    paths: str | list[str] = pattern
+    if skip_bad_files:
+        good = trip_csv_headers(spark, pattern, schema).where("good").select("path")
+        paths = [row["path"] for row in good.collect()]  # file names, which the driver lists anyway
+        if not paths:
+            raise ValueError(f"no trip file with the wanted header in {pattern}")
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("ignoreCorruptFiles", skip_bad_files)
-        .csv(pattern)
+        .option("ignoreCorruptFiles", False)
+        .csv(paths)
         .withColumn("source_file", F.col("_metadata.file_name"))
     )
     if df.isEmpty():
