@@ -176,7 +176,31 @@ def test_topk_edges(spark):
     assert topk.search(table.limit(0)).count() == 0
 
 
-def test_language_model(docs, none, spark):
+@pytest.mark.parametrize("size", [50_000, 20])
+@pytest.mark.parametrize("hot", [1 << 14, 3, 1 << 40])
+def test_language_model_equals_brute_force(docs, none, spark, size, hot, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", hot)
+    targets = spark.createDataFrame([(0,), (0,), (None,), (77,), (10,)], "doc_id bigint")
+    rows = [(r.doc_id, lm.words_of(r.text)) for r in docs.collect()]
+    seen = collections.Counter(w for _, ws in rows for w in ws)
+    known = set(sorted(seen, key=lambda w: (-seen[w], w))[:size])
+    rows = [(d, [w if w in known else "?" for w in ws]) for d, ws in rows]
+    width = len(known) + 1
+    models = []
+    for chosen in ([ws for d, ws in rows if d in (0, 10)], [ws for _, ws in rows]):
+        models.append((collections.Counter(w for ws in chosen for w in ws) + collections.Counter("" for ws in chosen if ws),
+                       collections.Counter(p for ws in chosen for p in zip(["", *ws], ws)), sum(map(len, chosen))))
+
+    def mean(ws, uni, pairs, total):
+        return np.mean([-np.log2((pairs[a, b] + lm.STRENGTH * (uni[b] + 1) / (total + width)) / (uni[a] + lm.STRENGTH)) for a, b in zip(["", *ws], ws)])
+
+    want = collections.Counter((d, len(ws), *((round(mean(ws, *m), 4) for m in models) if ws else (None, None))) for d, ws in rows)
+    got = lm.score(docs, targets, size).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, *(x if x is None else round(x, 4) for x in (r.target_loss, r.background_loss))) for r in got) == want
+    assert all(r.score is None if not r.n_tokens else r.score == pytest.approx(r.target_loss - r.background_loss) for r in got)
+
+
+def test_language_model_edges(docs, none, spark):
     targets = spark.createDataFrame([(0,), (None,), (77,)], "doc_id bigint")
     got = {r.doc_id: r for r in lm.score(docs, targets).collect()}
     assert got[0].score < got[10].score and got[5].score is None and got[4].n_tokens == 0
