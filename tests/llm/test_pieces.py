@@ -71,6 +71,7 @@ def test_other_models_are_refused():
 
 def test_operator(spark, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 50)
+    monkeypatch.setattr(pieces, "STRETCH", 300)
     rows = [*enumerate(texts(60)), (None, "no id"), (3, None), (3, None)]
     docs = spark.createDataFrame([(d, t, [1], "x") for d, t in rows], "doc_id bigint, text string, ids array<int>, `n.b` string")
     found = pieces.encode(docs, DATA)
@@ -78,6 +79,7 @@ def test_operator(spark, monkeypatch):
     want = sorted((str(d), library.encode(t or "")) for d, t in rows)
     assert sorted((str(r.doc_id), r.ids) for r in found.collect()) == want
     assert sorted((str(r.doc_id), r.decoded) for r in pieces.decode(found, DATA).collect()) == sorted((str(d), library.decode(library.encode(t or ""))) for d, t in rows)
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in pieces.encode(docs, DATA, decoded=True).collect()) == [(d, i, library.decode(i)) for d, i in want]
     assert pieces.decode(pieces.encode(docs.limit(0), DATA), DATA).count() == 0
 
 

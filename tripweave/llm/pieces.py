@@ -23,7 +23,7 @@ from ..operators.common import q
 SPACE = "▁"
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 BPE, CONTROL, UNKNOWN, BYTE = 2, 3, 2, 6  # model type; types of pieces
-CACHE, CACHED_LENGTH = 400_000, 100  # parts that a task remembers, and their longest
+CACHE, CACHED_LENGTH = 200_000, 100  # parts that a task remembers, and their longest
 STRETCH = 1 << 20  # characters of texts that are looked up at a time
 
 
@@ -232,14 +232,18 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _stretches(texts: list[str]) -> Iterator[list[str]]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > STRETCH:
-            yield texts[start:k]
-            start, size = k, 0
-        size += len(t)
-    yield texts[start:]
+def _stretches(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in order, about STRETCH characters at a time, or one longer text; a null is an empty text."""
+    some, size = [], 0
+    for x in column:
+        text = x.as_py() or ""
+        if some and size + len(text) > STRETCH:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -247,25 +251,28 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: bytes) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
     """(doc_id, n_bytes, ids, begins, ends) of every text: piece i stands for the source bytes begins[i] to ends[i].
 
-    A piece that stands for no byte of the source (the space put in front, all but the last byte of a character in bytes) has
-    begin = end.  Null and empty texts have empty lists; repeated rows and null ids are kept; a very long text is one row
-    like any other; an empty table has no rows; columns besides doc_id and text are not read.
+    With ``decoded`` the text that the ids decode to comes along, from the same pass.  A piece that stands for no byte of the
+    source (the space put in front, all but the last byte of a character in bytes) has begin = end.  Null and empty texts
+    have empty lists; repeated rows and null ids are kept; a very long text is one row like any other; an empty table has no
+    rows; columns besides doc_id and text are not read.  Rows leave a task a stretch of texts at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [x for some in _stretches(texts) for x in m.encode(some)]
-            n = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, *[_lists([x[k] for x in got]) for k in range(3)]],
-                                             ["doc_id", "n_bytes", "ids", "begins", "ends"])
+            at = 0
+            for texts in _stretches(b.column(1)):
+                got = list(m.encode(texts))
+                cols = [b.column(0).slice(at, len(texts)), pa.array([len(t.encode()) for t in texts], pa.int64()), *[_lists([x[k] for x in got]) for k in range(3)]]
+                cols += [pa.array([m.decode(x[0]) for x in got], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "ids", "begins", "ends", "decoded"][:len(cols)])
+                at += len(texts)
 
     kind = docs.select(q("doc_id")).dtypes[0][1]
     return docs.select(q("doc_id").alias("doc_id"), q("text").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes bigint, ids array<int>, begins array<int>, ends array<int>")
+        run, f"doc_id {kind}, n_bytes bigint, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

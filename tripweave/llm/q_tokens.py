@@ -21,9 +21,7 @@ def model_path() -> str:
 @query("op12_sentencepiece")
 def op12_sentencepiece(spark, sf_dir):
     model = pieces.model_bytes(model_path())
-    found = pieces.encode(table(spark, sf_dir, "documents"), model)
+    found = pieces.encode(table(spark, sf_dir, "documents"), model, decoded=True)
     tiled = F.concat(F.array(F.lit(0)), "ends") == F.concat("begins", F.array(F.col("n_bytes").cast("int")))
-    digests = found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-                           tiled.alias("spans_tile_text"))
-    back = pieces.decode(digests, model)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "spans_tile_text")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), tiled.alias("spans_tile_text"))
