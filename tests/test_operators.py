@@ -255,6 +255,22 @@ def test_ewma_equals_the_recursion(spark):
     assert got["ewma"] == pytest.approx(e, abs=1e-12) and got["n"] == int((x > 0).sum())
 
 
+def test_ewma_of_one_hot_minute(spark):
+    """A third of a million rows of one key in one minute, dealt over several partitions."""
+    n = 300_000
+    df = spark.range(n).selectExpr("id AS event_id", "timestamp_micros(1704067200000000 + (id * 7919) % 59000000) AS datetime",
+                                   "CAST((id * 31) % 97 AS DOUBLE) AS w", "IF(id % 3 = 0, 'rare', 'hot') AS k")
+    got = {r.k: r for r in series.ewma_final(df.repartition(6), "w", ["k"], ["datetime", "event_id"]).collect()}
+    want, size = {}, {}
+    for i in sorted(range(n), key=lambda i: ((i * 7919) % 59000000, i)):
+        k, x = ("rare" if i % 3 == 0 else "hot"), float((i * 31) % 97)
+        if x > 0:
+            want[k] = x if k not in want else 0.1 * x + 0.9 * want[k]
+            size[k] = size.get(k, 0) + 1
+    assert {k: r.n for k, r in got.items()} == size
+    assert all(got[k].ewma == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 # ---- metrics -----------------------------------------------------------------------------------
 
 

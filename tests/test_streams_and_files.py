@@ -1,7 +1,10 @@
 """Streams against their batch twins; file sources with faults."""
 
+import collections
+import datetime as dt
 import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from tripweave import views
 from tripweave.session import scratch_path
 from tripweave.sources import files
-from tripweave.streaming import alerts, monitor, run, stats
+from tripweave.streaming import alerts, monitor, run, stats, store, waits
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -38,26 +41,123 @@ def test_late_rows_are_dropped_and_restart_continues(spark):
     assert run.run_updates(agg(), ["hour_start"], cp, out).count() == 2
 
 
-@needs_data
-def test_monitor_over_many_batches_equals_one(spark):
-    ev = views.ride_events(spark, SF)
-    one_src, many_src = scratch_path(spark, "one"), scratch_path(spark, "many")
-    add_file(ev, one_src)
-    for lo in (0, 400, 700):  # in order of time
-        hi = {0: 400, 400: 700, 700: 10**9}[lo]
-        add_file(ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)), many_src)
-    kw = {"buffer": 300, "surge_per_minute": 0.001, "demand_limit": 0, "wait_limit": 1}
+def events(n, minutes=30, seed=1):
+    """Plain rows (event_id, second, vehicle, area, wait) spread over some minutes, and their times."""
+    rng = random.Random(seed)
+    return [(k, dt.datetime(2024, 1, 1, 8) + dt.timedelta(microseconds=rng.randrange(minutes * 60_000_000)), rng.randrange(400), f"A{rng.randrange(9)}",
+             rng.choice([0.0, 1.5, 7.25, 30.0])) for k in range(n)]
+
+
+def as_rides(spark, rows):
+    return rides(spark, [(k, str(t), v, a, w) for k, t, v, a, w in rows])
+
+
+def smoothed(rows):
+    e = None
+    for _, _, _, _, w in sorted(rows, key=lambda r: (r[1], r[0])):
+        if w > 0:
+            e = w if e is None else 0.1 * w + 0.9 * e
+    return e
+
+
+def test_monitor_equals_plain_figures(spark):
+    """50 000 events in 30 minutes, over several batches: no figure stops at a buffer."""
+    rows = sorted(events(50_000), key=lambda r: r[1])
+    src = scratch_path(spark, "busy")
+    for k in range(3):
+        add_file(as_rides(spark, rows[k::3]), src)  # each batch holds rows of every minute; the delay is longer than the run
+    m = monitor.RideMonitor(spark, delay="1 hour", every=2, buffer=50)
+    m.run(run.read_rides(spark, src, files_per_trigger=1))
+    assert m.last == 2
+    st = m.table("stats").first()
+    top = rows[-1][1].replace(second=0, microsecond=0)
+    recent = lambda n: [r for r in rows if r[1].replace(second=0, microsecond=0) > top - dt.timedelta(minutes=n)]
+    assert (st.total_orders, st.late_orders, st.recent_10, st.recent_30) == (50_000, 0, len(recent(10)), len(recent(30)))
+    assert st.active_vehicles == len({r[2] for r in recent(30)}) and st.avg_wait_time == pytest.approx(smoothed(rows), abs=1e-6)
+    count = collections.Counter(r[3] for r in rows)
+    assert [(r.pickup_area, r.n) for r in m.table("hotspots").collect()] == sorted(count.items(), key=lambda x: (-x[1], x[0]))[:5]
+    for r in m.table("waits").where("NOT every").collect():
+        assert r.avg_wait == pytest.approx(smoothed([x for x in rows if x[3] == r.pickup_area]))
+    assert {r.event_id for r in m.table("buffer").collect()} == {r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))[-50:]}
+
+
+def test_monitor_restarts_and_drops_late_rows(spark):
+    rows = events(900, minutes=90)
+    src, cp, out = (scratch_path(spark, t) for t in ("again", "again-cp", "again-out"))
+    parts = [[r for r in rows if lo <= (r[1].hour - 8) * 60 + r[1].minute < lo + 30] for lo in (0, 30, 60)]
+    late, parts[0] = parts[0][:7], parts[0][7:]
+    parts[2] += late  # an hour late
     seen = []
-    a = monitor.RideMonitor(spark, **kw).run(run.read_rides(spark, one_src))
-    b = monitor.RideMonitor(spark, callbacks={"stats_update": [lambda df: seen.append(df.count())]}, **kw).run(
-        run.read_rides(spark, many_src, files_per_trigger=1))
-    assert b.last == 2 and seen == [1, 1, 1]
-    for name in ("totals", "stats", "hotspots", "forecast", "anomalies"):
-        assert sorted(map(repr, a.table(name).collect())) == sorted(map(repr, b.table(name).collect())), name
-    wa = {r["pickup_area"]: (r["n"], r["avg_wait"]) for r in a.table("waits").collect()}
-    wb = {r["pickup_area"]: (r["n"], r["avg_wait"]) for r in b.table("waits").collect()}
-    assert wa.keys() == wb.keys() and all(wa[k][0] == wb[k][0] and wa[k][1] == pytest.approx(wb[k][1]) for k in wa)
-    assert {r["event_id"] for r in a.table("buffer").collect()} == {r["event_id"] for r in b.table("buffer").collect()}
+    for k, part in enumerate(parts):  # a new monitor on the same folders each time
+        add_file(as_rides(spark, part), src)
+        m = monitor.RideMonitor(spark, out, every=2, callbacks={"stats_update": [lambda df: seen.append(df.count())]})
+        m.run(run.read_rides(spark, src), cp)
+        assert m.last == k
+    st = m.table("stats").first()
+    kept = [r for r in rows if r not in late]
+    assert (st.total_orders, st.late_orders, seen) == (893, 7, [1, 1, 1]) and st.avg_wait_time == pytest.approx(smoothed(kept), abs=1e-6)
+    m(as_rides(spark, parts[2]), 2)  # a batch that is repeated after its commit
+    assert m.table("stats").first() == st
+
+
+def test_store_after_a_batch_that_died(spark):
+    out = scratch_path(spark, "store")
+    one = lambda n: spark.createDataFrame([("a", n), ("b", 1)], "k string, n bigint")
+    make = lambda: store.Store(spark, out, {"sum": store.add_up("k"), "last": store.keep_last("k"), "now": store.REPLACE}, every=3)
+    want = 0
+    for v in range(8):
+        half = make().begin(v)
+        half.write({"sum": one(1000), "now": one(1000)})  # killed before its marker: never read
+        whole = make().begin(v)
+        assert whole.first == (v == 0)
+        store.add(make(), v, {"sum": one(v), "last": one(v), "now": one(v).limit(0) if v == 7 else one(v)})
+        want += v
+        assert make().begin(v) is None
+        got = {n: {r.k: r.n for r in make().table(n).collect()} for n in ("sum", "last", "now")}
+        assert got == {"sum": {"a": want, "b": v + 1}, "last": {"a": v, "b": 1}, "now": {} if v == 7 else {"a": v, "b": 1}}
+    assert make().version == 7
+
+
+def test_size_on_disk_follows_the_keys(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), {"rows": store.add_up("k")}, every=4)
+    sizes = []
+    for v in range(24):
+        store.add(s, v, {"rows": spark.range(20).selectExpr("id % 5 AS k", "1L AS n")})
+        sizes.append(spark.read.option("recursiveFileLookup", "true").schema("k bigint").parquet(f"{s.out}/rows").count())
+    assert max(sizes) <= 2 * 5 + 4 * 20 and {(r.k, r.n) for r in s.table("rows").collect()} == {(k, 24 * 4) for k in range(5)}
+
+
+def test_waits_of_shuffled_files_equal_the_batch(spark):
+    rows = events(1500, minutes=60)
+    src = scratch_path(spark, "shuffled")
+    order = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=8 * (r[0] % 2)))  # every other row 8 minutes late
+    parts = [order[k * 500:(k + 1) * 500] for k in range(3)]
+    late = [r for r in parts[0] if r[1].minute < 5][:4]
+    parts[0] = [r for r in parts[0] if r not in late]
+    parts[2] += late  # beyond the watermark
+    end = [(10**6, dt.datetime(2024, 1, 2), 1, "~", 1.0)]
+    for part in [*parts, end]:
+        add_file(as_rides(spark, part), src)
+    found, dropped = waits.run_waits(run.read_rides(spark, src, files_per_trigger=1), every=2)
+    got = {r.pickup_area: (r.n, r.avg_wait, r.late) for r in found.collect()}
+    kept = [r for r in rows if r not in late]
+    for a in {r[3] for r in kept}:
+        some = [r for r in kept if r[3] == a]
+        assert got[a][0] == sum(r[4] > 0 for r in some) and got[a][1] == pytest.approx(smoothed(some))
+    assert sum(x[2] for x in got.values()) + dropped == sum(r[4] > 0 for r in late)
+
+
+def test_vehicles_are_counted_once_per_window(spark):
+    rows = events(1200, minutes=90)
+    src = scratch_path(spark, "vehicles")
+    order = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=8 * (r[0] % 2)))
+    for k in range(3):
+        add_file(as_rides(spark, order[k * 400:(k + 1) * 400]), src)
+    out = run.run_merged(stats.first_sightings(run.read_rides(spark, src, files_per_trigger=1)), store.add_up("window_start"), every=2)
+    want = collections.defaultdict(set)
+    for _, t, v, _, _ in rows:
+        want[t.replace(minute=t.minute // 30 * 30, second=0, microsecond=0)].add(v)
+    assert {r.window_start: r.active_vehicles for r in out.collect()} == {k: len(v) for k, v in want.items()}
 
 
 @needs_data

@@ -370,10 +370,14 @@ def compare_forecasts(series: DataFrame, value: str = "y", time: str = "hour", s
 
 def short_term_forecast(df: DataFrame, time: str = "datetime", order: Sequence[str] = ("datetime", "event_id"),
                         last: int | None = None, need: int = 5) -> DataFrame:
-    """Five one-minute steps from the last five minutes with events: m, then m * (1 + 0.1 i); zeros if there are fewer
-    than ``need`` such minutes.  ``last`` looks at the last so many events only."""
+    """``minutes_forecast`` of the minutes with events.  ``last`` looks at the last so many events only."""
     recent = df if last is None else df.orderBy(*[F.desc(c) for c in order]).limit(last)
-    minutes = recent.where(F.col(time).isNotNull()).groupBy(minute_start(time).alias("minute")).agg(F.count("*").alias("n"))
+    return minutes_forecast(recent.where(F.col(time).isNotNull()).groupBy(minute_start(time).alias("minute")).agg(F.count("*").alias("n")), need)
+
+
+def minutes_forecast(minutes: DataFrame, need: int = 5) -> DataFrame:
+    """Five one-minute steps from the last five rows of (minute, n): m, then m * (1 + 0.1 i); zeros if there are fewer
+    than ``need`` minutes."""
     minutes = minutes.orderBy(F.desc("minute")).limit(max(need, 5))
     ranked = minutes.withColumn("back", F.row_number().over(W.orderBy(F.desc("minute"))))
     s = ranked.agg(F.count("*").alias("minutes"), F.avg(F.when(F.col("back") <= 5, F.col("n"))).alias("m"))

@@ -69,30 +69,42 @@ def moving_average(df: DataFrame, n: int = 5, keys: Sequence[str] = (), time: st
     return m.withColumn("moving_avg", F.avg("orders").over(w))
 
 
-def ewma_parts(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], time: str = "datetime",
-               alpha: float = 0.1) -> DataFrame:
+CHUNK, CHAIN = 64, 4096  # rows in a chunk of the smoothing, chunks chained in one group
+
+
+def chain_stretches(stretches: DataFrame, keys: Sequence[str], order: str, alpha: float = 0.1) -> DataFrame:
+    """(keys, n, body, x1): the stretches (n, body, x1) of each key, one after the other by ``order``.
+
+    A stretch turns a former value e into (1-alpha)^n * e + body, so a later stretch maps the body of the earlier ones.
+    """
+    keep = F.lit(1.0 - alpha)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("body"), F.lit(None).cast("double").alias("x1"))
+    add = lambda a, s: F.struct(
+        (a["n"] + s["n"]).alias("n"), (a["body"] * F.pow(keep, s["n"].cast("double")) + s["body"]).alias("body"), F.coalesce(a["x1"], s["x1"]).alias("x1"))
+    each = F.sort_array(F.collect_list(F.struct(order, F.col("n").cast("long").alias("n"), "body", "x1")))
+    return stretches.groupBy(*keys).agg(each.alias("_s")).select(*keys, F.aggregate("_s", start, add).alias("_e")).select(*keys, "_e.*")
+
+
+def ewma_parts(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """(keys, n, body, x1): a stretch of e = alpha*x + (1-alpha)*e per key, ready to be chained.
 
-    The recursion is linear, so n rows turn a former value e into
-    (1-alpha)^n * e + body.  Rows are folded per minute first and the minutes
-    then chained; a hot key is thereby spread over as many groups as it has
-    minutes.  Only values above 0 count.
+    The recursion is linear, so n rows turn a former value e into (1-alpha)^n * e + body.  Rows are dealt by range of key
+    and order, numbered within their partition, and folded per CHUNK of numbers by a sum of weighted values, before they are
+    shuffled again; chunks are then chained by CHAIN of them, by partition and by key.  So one key, or one moment of it, may
+    hold most rows.  Only values above 0 count.
     """
-    keep = 1.0 - alpha
-    x = df.where(F.col(value) > 0).withColumn("_m", minute_start(time))
-    down = W.partitionBy(*keys, "_m").orderBy(*[F.desc(c) for c in order])
-    # age = number of later rows within the minute
-    aged = x.withColumn("_age", (F.row_number().over(down) - 1).cast("double"))
-    parts = aged.groupBy(*keys, "_m").agg(
-        F.count("*").alias("n"),
-        F.sum(F.pow(F.lit(keep), F.col("_age")) * F.col(value)).alias("s"),
-        F.max_by(value, "_age").alias("first_x"))
-    later = W.partitionBy(*keys).orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1)
-    chained = parts.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)).cast("double"))
-    return chained.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        (F.lit(alpha) * F.sum(F.pow(F.lit(keep), F.col("after")) * F.col("s"))).alias("body"),
-        F.min_by("first_x", "_m").alias("x1"))
+    keep = F.lit(1.0 - alpha)
+    x = df.where(F.col(value) > 0).select(*keys, *order, F.col(value).cast("double").alias("_x"))
+    by = [*keys, *order, "_x"]
+    placed = x.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.monotonically_increasing_id())
+    back = (F.lit(CHUNK - 1) - F.col("_p") % CHUNK).cast("double")
+    chunks = placed.withColumns({"_c": F.expr(f"_p div {CHUNK}"), "_w": F.pow(keep, back)}).groupBy(*keys, "_c").agg(
+        F.count("*").alias("n"), F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.max("_w").alias("_last"), F.min_by("_x", "_p").alias("x1"))
+    # weights count from the chunk's end; the last row of the key in the chunk has the largest one
+    out = chunks.select(*keys, "_c", "n", (F.lit(alpha) * F.col("_s") / F.col("_last")).alias("body"), "x1")
+    out = chain_stretches(out.withColumn("_g", F.expr(f"_c div {CHAIN}")), [*keys, "_g"], "_c", alpha)
+    out = chain_stretches(out.withColumn("_q", F.shiftright("_g", 33 - 6 - 12)), [*keys, "_q"], "_g", alpha)
+    return chain_stretches(out, keys, "_q", alpha)
 
 
 def ewma_value(alpha: float = 0.1) -> Column:
@@ -101,13 +113,12 @@ def ewma_value(alpha: float = 0.1) -> Column:
     return F.col("body") + keep * F.pow(keep, (F.col("n") - 1).cast("double")) * F.col("x1")
 
 
-def ewma_final(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], time: str = "datetime",
-               alpha: float = 0.1) -> DataFrame:
+def ewma_final(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], alpha: float = 0.1) -> DataFrame:
     """(keys, n, ewma): the last smoothed value per key; no keys means one series."""
     if not keys:
-        parts = ewma_parts(df.withColumn("_all", F.lit(0)), value, ["_all"], order, time, alpha)
+        parts = ewma_parts(df.withColumn("_all", F.lit(0)), value, ["_all"], order, alpha)
         return parts.select("n", ewma_value(alpha).alias("ewma"))
-    return ewma_parts(df, value, keys, order, time, alpha).select(*keys, "n", ewma_value(alpha).alias("ewma"))
+    return ewma_parts(df, value, keys, order, alpha).select(*keys, "n", ewma_value(alpha).alias("ewma"))
 
 
 def cumulative_days(df: DataFrame, time: str = "datetime") -> DataFrame:

@@ -6,15 +6,33 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..session import scratch_path
-from ..streaming import alerts, monitor, run, stats
+from ..streaming import alerts, monitor, run, stats, waits
+from ..streaming.store import add_up
 from . import sqltext as S
 from .registry import query
 
 
-def _stream(spark, d, **kw):
+PARTS = 3
+# Every 7th event arrives 5 minutes late, within the watermark; with ``late``, every 211th 8 days late, far behind it.
+_US = "unix_micros(timestamp)"
+
+
+def _stream(spark, d, late=False, close=False):
+    """Ride events in PARTS files, one per trigger, by time of arrival.
+
+    ``close`` adds a last file with one event a day after all others, so that the watermark closes every minute before it.
+    """
     path = scratch_path(spark, "rides")
-    views.ride_events(spark, d).write.parquet(path)
-    return run.read_rides(spark, path, **kw)
+    rides = views.ride_events(spark, d)
+    lo, hi = rides.agg(F.min(F.expr(_US)), F.max(F.expr(_US))).first()
+    delay = f"CASE WHEN {'event_id % 211 = 5' if late else 'FALSE'} THEN {8 * 86_400_000_000} WHEN event_id % 7 = 0 THEN {300_000_000} ELSE 0 END"
+    part = F.expr(f"least({PARTS - 1}, ({_US} + {delay} - {lo}L) * {PARTS} div ({hi - lo + 1}L))")
+    for k in range(PARTS):
+        rides.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    if close:
+        rides.orderBy(F.desc("timestamp")).limit(1).withColumns(
+            {"timestamp": F.col("timestamp") + F.expr("INTERVAL 1 DAY"), "pickup_area": F.lit("~"), "wait_time": F.lit(1.0)}).coalesce(1).write.mode("append").parquet(path)
+    return run.read_rides(spark, path, files_per_trigger=1)
 
 
 _LIMITS = {"high_demand": (1.0, "above"), "high_wait_time": (5.0, "above"), "low_vehicle_availability": (0.3, "below")}
@@ -28,18 +46,26 @@ def _total_rule(st):
 
 def _monitor(spark, d, **kw):
     kw = {"surge_per_minute": 0.1, "demand_limit": 1, "wait_limit": 5, "thresholds": _LIMITS} | kw
-    return monitor.RideMonitor(spark, **kw).run(_stream(spark, d))
-
-
-_BUF = S.with_views("trips") + """,
-buf AS (SELECT * FROM trips ORDER BY datetime DESC, event_id DESC LIMIT 1000), nw AS (SELECT max(datetime) AS m FROM buf),
-ew AS (SELECT round(list_reduce(list(wait_time ORDER BY datetime, event_id), lambda e, x: 0.1::DOUBLE * x + 0.9::DOUBLE * e), 6) AS e FROM trips WHERE wait_time > 0),
-st AS (SELECT m AS as_of, count(*) AS buffered, (SELECT count(*) FROM trips) AS total_orders,
-  (SELECT count(*) FROM trips WHERE hour(datetime) IN (7, 8, 9, 17, 18, 19)) AS peak_hour_orders,
+    return monitor.RideMonitor(spark, **kw).run(_stream(spark, d, late=True))
+
+
+# The events by part of arrival, without those whose minute was closed 10 minutes before the newest event of the parts before.
+_KEPT = S.with_views("trips") + f""",
+ends AS (SELECT min(epoch_us(datetime)) AS lo, max(epoch_us(datetime)) AS hi FROM trips),
+arrived AS (SELECT trips.*, least({PARTS - 1}, ((epoch_us(datetime) + CASE WHEN event_id % 211 = 5 THEN {8 * 86_400_000_000} WHEN event_id % 7 = 0 THEN 300000000 ELSE 0 END - lo)
+  * {PARTS}) // (hi - lo + 1)) AS part FROM trips, ends),
+newest AS (SELECT part, max(m) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT part, max(datetime) AS m FROM arrived GROUP BY part)),
+marked AS (SELECT a.*, coalesce(date_trunc('minute', datetime) + INTERVAL 11 MINUTE <= seen, false) AS late FROM arrived a JOIN newest USING (part)),
+kept AS (SELECT *, date_trunc('minute', datetime) AS minute FROM marked WHERE NOT late)"""
+_BUF = _KEPT + """,
+nw AS (SELECT max(datetime) AS m, date_trunc('minute', max(datetime)) AS mm FROM kept), pane AS (SELECT kept.* FROM kept, nw WHERE minute > mm - INTERVAL 24 HOUR),
+ew AS (SELECT round(list_reduce(list(wait_time ORDER BY datetime, event_id), lambda e, x: 0.1::DOUBLE * x + 0.9::DOUBLE * e), 6) AS e FROM kept WHERE wait_time > 0),
+st AS (SELECT m AS as_of, least((SELECT count(*) FROM kept), 1000) AS buffered, (SELECT count(*) FROM kept) AS total_orders,
+  (SELECT count(*) FROM kept WHERE hour(datetime) IN (7, 8, 9, 17, 18, 19)) AS peak_hour_orders, (SELECT count(*) FROM marked WHERE late) AS late_orders,
   count(*) FILTER (date_trunc('hour', datetime) = date_trunc('hour', m)) AS current_hour_orders, (SELECT e FROM ew) AS avg_wait_time,
-  count(DISTINCT vehicle_id) FILTER (datetime > m - INTERVAL 30 MINUTE) AS active_vehicles, count(*) FILTER (datetime > m - INTERVAL 10 MINUTE) AS recent_10,
-  count(*) FILTER (datetime > m - INTERVAL 30 MINUTE) AS recent_30, (count(*) FILTER (datetime > m - INTERVAL 30 MINUTE) / 30.0 > 0.1)::INT AS demand_surge,
-  round(count(DISTINCT vehicle_id) FILTER (datetime > m - INTERVAL 30 MINUTE)::DOUBLE / count(DISTINCT vehicle_id), 6) AS low_vehicle_availability FROM buf, nw GROUP BY m)
+  count(DISTINCT vehicle_id) FILTER (minute > mm - INTERVAL 30 MINUTE) AS active_vehicles, count(*) FILTER (minute > mm - INTERVAL 10 MINUTE) AS recent_10,
+  count(*) FILTER (minute > mm - INTERVAL 30 MINUTE) AS recent_30, (count(*) FILTER (minute > mm - INTERVAL 30 MINUTE) / 30.0 > 0.1)::INT AS demand_surge,
+  round(count(DISTINCT vehicle_id) FILTER (minute > mm - INTERVAL 30 MINUTE)::DOUBLE / count(DISTINCT vehicle_id), 6) AS low_vehicle_availability FROM pane, nw GROUP BY m, mm)
 """
 
 
@@ -49,7 +75,7 @@ def stream_source(spark, d):
     return out.groupBy("pickup_area").agg(F.count("*").alias("n"), F.sum("vehicle_id").alias("vehicle_sum"))
 
 
-@query("stream_last_n", _BUF + "SELECT event_id, datetime AS ts, vehicle_id, pickup_area FROM buf")
+@query("stream_last_n", _BUF + "SELECT event_id, datetime AS ts, vehicle_id, pickup_area FROM kept ORDER BY datetime DESC, event_id DESC LIMIT 1000")
 def stream_last_n(spark, d):
     return _monitor(spark, d).table("buffer").select("event_id", "ts", "vehicle_id", "pickup_area")
 
@@ -69,17 +95,27 @@ def stream_peak_orders(spark, d):
     return run.run_updates(stats.peak_orders(_stream(spark, d)), [])
 
 
-@query("stream_avg_wait", S.T + """SELECT pickup_area, count(*) AS n, round(list_reduce(list(wait_time ORDER BY datetime, event_id),
-  lambda e, x: 0.1::DOUBLE * x + 0.9::DOUBLE * e), 6) AS avg_wait FROM trips WHERE wait_time > 0 GROUP BY 1""")
+@query("stream_avg_wait", _KEPT + """ SELECT pickup_area, count(*) FILTER (NOT late) AS n, (SELECT count(*) FROM marked WHERE late AND wait_time > 0) AS late_rows,
+  round(list_reduce(list(wait_time ORDER BY datetime, event_id) FILTER (NOT late), lambda e, x: 0.1::DOUBLE * x + 0.9::DOUBLE * e), 6) AS avg_wait
+  FROM marked WHERE wait_time > 0 GROUP BY 1""")
 def stream_avg_wait(spark, d):
-    t = _monitor(spark, d).table("waits").where(F.col("pickup_area") != monitor.ALL)
-    return t.select("pickup_area", "n", F.round("avg_wait", 6).alias("avg_wait"))
+    found, dropped = waits.run_waits(_stream(spark, d, late=True, close=True))
+    late = found.agg(F.sum("late")).first()[0] + dropped
+    return found.select("pickup_area", "n", F.lit(late).cast("long").alias("late_rows"), F.round("avg_wait", 6).alias("avg_wait"))
 
 
-@query("stream_active_vehicles", S.T + """SELECT time_bucket(INTERVAL 30 MINUTE, datetime) AS window_start, count(DISTINCT vehicle_id) AS active_vehicles
-  FROM trips GROUP BY 1""")
+_VEHICLES = S.T + """SELECT time_bucket(INTERVAL 30 MINUTE, datetime) AS window_start, count(DISTINCT vehicle_id) AS active_vehicles
+  FROM trips GROUP BY 1"""
+
+
+@query("stream_active_vehicles", _VEHICLES)
 def stream_active_vehicles(spark, d):
-    # exact on a table; on a stream the same function counts approximately
+    out = run.run_merged(stats.first_sightings(_stream(spark, d)), add_up("window_start"))
+    return stats.ntz(out, "window_start")
+
+
+@query("active_vehicles_table", _VEHICLES)
+def active_vehicles_table(spark, d):
     return stats.ntz(stats.active_vehicles(views.ride_events(spark, d)), "window_start")
 
 
@@ -95,13 +131,13 @@ def demand_surge(spark, d):
     return stats.ntz(stats.demand_surge(rates, 0.4), "window_start")
 
 
-@query("stream_hotspots", _BUF + "SELECT pickup_area, count(*) AS n FROM buf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query("stream_hotspots", _BUF + "SELECT pickup_area, count(*) AS n FROM pane GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def stream_hotspots(spark, d):
     return _monitor(spark, d).table("hotspots")
 
 
-@query("stream_forecast", _BUF + """, r AS (SELECT * FROM buf ORDER BY datetime DESC, event_id DESC LIMIT 100),
-m AS (SELECT date_trunc('minute', datetime) AS minute, count(*) AS n FROM r GROUP BY 1),
+@query("stream_forecast", _BUF + """,
+m AS (SELECT minute, count(*) AS n FROM pane GROUP BY 1),
 a AS (SELECT (SELECT count(*) FROM m) AS k, (SELECT avg(n) FROM (SELECT n FROM m ORDER BY minute DESC LIMIT 5)) AS v)
 SELECT s::INT AS step, round(CASE WHEN k >= 5 THEN v * (1 + 0.1::DOUBLE * s) ELSE 0 END, 6) AS prediction,
   CASE WHEN k >= 5 THEN 0.8::DOUBLE ELSE 0 END AS confidence, CASE WHEN k >= 5 THEN 'moving_average' ELSE 'insufficient_data' END AS method FROM a, range(5) t(s)""")

@@ -1,14 +1,15 @@
-"""Stream sources and the two ways results leave a stream."""
+"""Stream sources and the ways results leave a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import RIDE_EVENT
 from ..session import scratch_path
+from .store import Merge, Store, add, keep_last
 
 WATERMARK = "10 minutes"
 
@@ -22,35 +23,35 @@ def read_rides(spark: SparkSession, folder: str, files_per_trigger: int | None =
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None,
-                mode: str = "append") -> None:
+                mode: str = "append") -> int:
     """Process what is available, one ``foreachBatch`` call per micro-batch, then stop.
 
-    With the same checkpoint a later call goes on where the last one ended.
+    With the same checkpoint a later call goes on where the last one ended.  Returns the rows that stateful operators
+    dropped because they came after the watermark.
     """
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "checkpoint")
     q = (stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
 
 
-def run_updates(agg: DataFrame, keys: Sequence[str], checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Run a streaming aggregate in update mode and return the last state of every key.
+def run_merged(stream: DataFrame, merge: Merge, checkpoint: str | None = None, out: str | None = None, mode: str = "append",
+               every: int = 16) -> DataFrame:
+    """Merge every micro-batch into a table that is kept as a base and a few deltas, and return the table.
 
-    Every batch appends its changed rows under its own number, so a repeated
-    batch replaces itself; the watermark bounds the state kept by the stream.
+    ``checkpoint`` and ``out`` belong together: with both of an earlier run the table goes on from there.
     """
-    spark = agg.sparkSession
-    out = out or scratch_path(spark, "updates")
+    store = Store(stream.sparkSession, out or scratch_path(stream.sparkSession, "updates"), {"rows": merge}, every)
+    run_batches(stream, lambda df, k: add(store, k, {"rows": df}), checkpoint, mode)
+    if store.version is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return store.table("rows").select(*stream.columns)
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_batches(agg, write, checkpoint, "update")
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    rest = [c for c in agg.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), "batch").alias("s")
-    g = rows.groupBy(*keys) if keys else rows.groupBy()
-    return g.agg(last).select(*keys, "s.*")
+def run_updates(agg: DataFrame, keys: Sequence[str], checkpoint: str | None = None, out: str | None = None, every: int = 16) -> DataFrame:
+    """Run a streaming aggregate in update mode and return the last state of every key."""
+    return run_merged(agg, keep_last(*keys), checkpoint, out, "update", every)
 
 
 def chain(processors: Sequence[Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], DataFrame]:
@@ -60,7 +61,10 @@ def chain(processors: Sequence[Callable[[DataFrame], DataFrame]]) -> Callable[[D
 
 def micro_batches(stream: DataFrame, processors: Sequence[Callable[[DataFrame], DataFrame]], out: str,
                   checkpoint: str | None = None) -> DataFrame:
-    """Run the chain on every micro-batch and keep its result in a table."""
+    """Run the chain on every micro-batch and keep its result in a table.
+
+    A batch replaces its own folder, so one that is repeated counts once.
+    """
     run = chain(processors)
 
     def handle(df: DataFrame, batch_id: int) -> None:
