@@ -378,3 +378,21 @@ def test_zscore_passes_over_a_constant_column(spark):
 
     df = spark.createDataFrame([(5.0, float(k % 3)) for k in range(50)] + [(5.0, 1000.0)], "a double, b double")
     assert remove_outliers_zscore(df, ["a", "b"]).count() == 50
+
+
+def test_kmeans_starts_beat_a_single_one(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in [(0, 0), (0, 4), (5, 0), (5, 5), (9, 1)]])
+    df = spark.createDataFrame(pd.DataFrame(xy, columns=["a", "b"]))
+    found = cluster.fit_centers(df, [3, 5], passes=30)
+    for k, (centers, cost) in found.items():
+        gaps = ((xy[:, None] - centers) ** 2).sum(2)
+        assert cost == pytest.approx(gaps.min(1).sum(), rel=1e-3)
+        single = KMeans(k=k, seed=1).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)).summary.trainingCost
+        assert cost <= single * (1 + 1e-6)
+    lonely = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    assert [r.cluster for r in cluster.kmeans(lonely, ["a", "b"], 4).orderBy("b").collect()] == [0, None]
+    assert [r.cluster for r in cluster.kmeans(lonely.where("a IS NULL"), ["a", "b"], 4).collect()] == [None]

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import cyclic_pair
 from ..functions.numbers import r, ratio
 from ..session import in_parallel, materialize, one_row, spread_small
-from .common import tidy_stats
+from .common import q, tidy_stats
 
 SEED = 42
 
@@ -40,46 +41,141 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         f"{c}_z": (F.col(c) - F.lit(s[f"m{i}"])) / F.lit(s[f"s{i}"] or 1.0) for i, c in enumerate(cols)})
 
 
-def fit_kmeans(df: DataFrame, cols: Sequence[str], k: int, scaled: bool, seed: int = SEED, algorithm: str = "kmeans"):
-    """Fitted pipeline: assemble, optionally standardise, cluster."""
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="_raw")]
-    if scaled:
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_vec", withMean=True, withStd=True))
-    feat = "_vec" if scaled else "_raw"
-    make = {"kmeans": KMeans, "bisecting": BisectingKMeans}[algorithm]
-    stages.append(make(k=k, seed=seed, featuresCol=feat, predictionCol="_label"))
-    return Pipeline(stages=stages).fit(df)
-
-
-def centers_in_units(model, scaled: bool) -> list[list[float]]:
-    """Cluster centres in the units of the input columns; k rows."""
-    cs = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
+def _seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn with the square of its distance to those drawn before."""
+    out = [rows[rng.integers(len(rows))]]
+    gap = ((rows - out[0]) ** 2).sum(1)
+    while len(out) < k and gap.sum() > 0:
+        out.append(rows[rng.choice(len(rows), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((rows - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _settle(rows: np.ndarray, centers: np.ndarray, turns: int = 40) -> np.ndarray:
+    """The centres after some rounds among a few rows."""
+    shift = rows.mean(0)
+    rows, centers = rows - shift, centers - shift
+    for _ in range(turns):
+        near = ((centers * centers).sum(1) - 2 * rows @ centers.T).argmin(1)
+        n = np.bincount(near, minlength=len(centers))
+        total = np.stack([np.bincount(near, x, len(centers)) for x in rows.T], 1)
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
+        if np.allclose(new, centers, rtol=0, atol=1e-12):
+            break
+        centers = new
+    return centers + shift
+
+
+def _pass(base: DataFrame, jobs: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per job the sizes, sums and cost of its clusters, for all jobs in one scan; a task sends a row per job and cluster."""
+    dims = len(base.columns)
+    every = np.concatenate(list(jobs.values()))
+    shift = every.mean(0)  # squares of small numbers lose fewer digits
+    every = every - shift
+    spans = np.cumsum([0, *[len(c) for c in jobs.values()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {j: np.zeros((len(c), dims + 2)) for j, c in jobs.items()}
+        for b in batches:
+            rows = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(dims)]) - shift
+            gaps = (every * every).sum(1) - 2 * rows @ every.T  # less the row's own square, which is the same for all centres
+            own, at = np.einsum("ij,ij->i", rows, rows), np.arange(len(rows))
+            for j, lo, hi in zip(jobs, spans, spans[1:]):
+                near = gaps[:, lo:hi].argmin(1)
+                gap = np.maximum(gaps[at, lo + near] + own, 0)
+                for i, w in enumerate([None, gap, *(rows + shift).T]):
+                    sums[j][:, i] += np.bincount(near, w, hi - lo)
+        cells = [(j, c, *row) for j, table in sums.items() for c, row in enumerate(table)]
+        cols = list(zip(*cells)) if cells else [[]] * (dims + 4)
+        kinds = [pa.int32(), pa.int32(), *[pa.float64()] * (dims + 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names)
+
+    names = ["job", "c", "n", "cost", *[f"s{i}" for i in range(dims)]]
+    out = base.mapInArrow(run, "job int, c int, " + ", ".join(f"{n} double" for n in names[2:]))
+    out = out.groupBy("job", "c").agg(*[F.sum(n).alias(n) for n in names[2:]]).toPandas()  # a row per job and cluster
+    found = {}
+    for j, g in out.sort_values(["job", "c"]).groupby("job"):
+        found[int(j)] = (g["n"].to_numpy(), g[names[4:]].to_numpy(), float(g["cost"].sum()))
+    return found
+
+
+STARTS, SAMPLE = 10, 4_096  # k-means: starts, and the rows from which first centres are drawn
+
+
+def fit_centers(base: DataFrame, ks: Sequence[int], starts: int = STARTS, seed: int = SEED, passes: int = 100,
+                tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Centres and cost of the best of several starts for every k; ``base`` has the numeric inputs alone.
+
+    All starts of all k move together, one scan a pass; a start is done when its centres move by less than ``tol`` of the
+    mean variance.  First centres are drawn from SAMPLE rows in the order of a hash and settled among these, which spares most
+    passes; from there on every pass and every cost covers all rows.
+    Rows with nulls are left out; without rows there are no centres.
+    """
+    cols = base.columns
+    base = base.dropna().select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    some = base.orderBy(F.xxhash64(*base.columns), *base.columns).limit(SAMPLE).toPandas().to_numpy()
+    if not len(some):
+        return {k: (np.zeros((0, len(cols))), 0.0) for k in ks}
+    rng = np.random.default_rng(seed)
+    jobs = [(k, _settle(some, _seeds(some, k, rng))) for k in ks for _ in range(starts)]
+    limit = tol * float(some.var(0).mean())
+    live, best = {j: c for j, (_, c) in enumerate(jobs)}, {}
+    for turn in range(passes + 1):
+        for j, (n, total, cost) in _pass(base, live).items():
+            old, k = live[j], jobs[j][0]
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
+            if ((new - old) ** 2).sum() <= limit or turn == passes:
+                del live[j]
+                if k not in best or cost < best[k][1]:
+                    best[k] = (old, cost)
+            else:
+                live[j] = new
+        if not live:
+            break
+    return best
+
+
+def nearest(values: Sequence[Column], centers: np.ndarray) -> Column:
+    """Number of the nearest centre, the lower one of two; null where a value is null."""
+    if not len(centers):
+        return F.lit(None).cast("int")
+    gaps = [sum(((v - F.lit(float(x))) * (v - F.lit(float(x))) for v, x in zip(values, c)), F.lit(0.0)) for c in centers]
+    best = F.array_min(F.array(*[F.struct(g.alias("d"), F.lit(i).alias("i")) for i, g in enumerate(gaps)]))["i"]
+    known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    return F.when(known, best)
+
+
+def _scale(df: DataFrame, cols: Sequence[str], scaled: bool) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column, or (0, 1)."""
     if not scaled:
-        return cs
-    sc = model.stages[1]
-    mean, std = [float(x) for x in sc.mean], [float(x) for x in sc.std]
-    return [[v * (std[i] or 1.0) + mean[i] for i, v in enumerate(c)] for c in cs]
+        return {c: (0.0, 1.0) for c in cols}
+    s = one_row(df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]))
+    return {c: (s[f"m{i}"] or 0.0, s[f"s{i}"] or 1.0) for i, c in enumerate(cols)}
 
 
-def ordered_labels(model, df: DataFrame, scaled: bool, name: str) -> DataFrame:
-    """Rows with their cluster, numbered by the order of the centres (south to north)."""
-    centers = centers_in_units(model, scaled)
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    new_of = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    return model.transform(df).withColumn(name, new_of[F.col("_label")]).drop("_raw", "_vec", "_label")
+def _bisecting(df: DataFrame, cols: Sequence[str], k: int, seed: int) -> np.ndarray:
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_vec").fit(VectorAssembler(inputCols=list(cols), outputCol="_vec").transform(df))
+    return np.array([list(c) for c in model.clusterCenters()])
 
 
-def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, scaled: bool = True, seed: int = SEED,
-           name: str = "cluster", algorithm: str = "kmeans") -> DataFrame:
-    return ordered_labels(fit_kmeans(df.select(*cols), cols, k, scaled, seed, algorithm), df, scaled, name)
+def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, scaled: bool = True, seed: int = SEED, name: str = "cluster",
+           algorithm: str = "kmeans", starts: int = STARTS) -> DataFrame:
+    """Rows with their cluster, numbered by the order of the centres (south to north); null where an input is null.
+
+    ``algorithm`` is kmeans (the best of ``starts``) or bisecting.
+    """
+    scale = _scale(df, cols, scaled)
+    z = {c: (q(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scale.items()}
+    base = materialize(spread_small(df.select(*[z[c].alias(f"z{i}") for i, c in enumerate(cols)])), "kmeans")
+    centers = fit_centers(base, [k], starts, seed)[k][0] if algorithm == "kmeans" else _bisecting(base.dropna(), base.columns, k, seed)
+    return df.withColumn(name, nearest([z[c] for c in cols], centers[np.lexsort(centers.T[::-1])]))
 
 
 def cluster_columns(df: DataFrame, sizes: Sequence[int] = (5, 8, 10), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """One k-means label column per size, on raw degrees."""
+    """One k-means label column per size, on raw degrees; all sizes are fitted together."""
     base = materialize(spread_small(df.select(lat, lon)), "cluster-input")
-    for k, model in zip(sizes, in_parallel(lambda k: fit_kmeans(base, [lat, lon], k, False), sizes)):
-        df = ordered_labels(model, df, False, f"cluster_{k}")
-    return df
+    found = fit_centers(base, sizes)
+    return df.withColumns({f"cluster_{k}": nearest([q(lat), q(lon)], c[np.lexsort(c.T[::-1])]) for k, (c, _) in found.items()})
 
 
 def cluster_stats(df: DataFrame, label: str = "cluster", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -172,15 +268,15 @@ def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster")
         F.lit(float(ch)).alias("calinski_harabasz"), F.lit(float(sum(worst) / k)).alias("davies_bouldin"))
 
 
-def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool = True, seed: int = SEED) -> DataFrame:
-    """Per k: inertia and the three indices, over one prepared input."""
+def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool = True, seed: int = SEED, starts: int = STARTS) -> DataFrame:
+    """Per k: inertia of the best of ``starts`` and the three indices, over one prepared input."""
     base = materialize(spread_small(standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols)), "kscan")
-    zcols = base.columns
+    found = fit_centers(base, list(ks), starts, seed)
 
     def one(k: int) -> DataFrame:
-        model = fit_kmeans(base, zcols, k, False, seed)
-        inertia = float(model.stages[-1].summary.trainingCost)
-        return quality_indices(ordered_labels(model, base, False, "cluster"), zcols).select(
+        centers, inertia = found[k]
+        labelled = base.withColumn("cluster", nearest([q(c) for c in base.columns], centers))
+        return quality_indices(labelled, base.columns).select(
             F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "clusters", "silhouette", "calinski_harabasz", "davies_bouldin")
 
     return reduce(DataFrame.unionByName, in_parallel(one, ks))

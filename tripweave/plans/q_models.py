@@ -26,6 +26,21 @@ def kmeans(spark, d):
     return cluster.kmeans(_xy(spark, d).select("event_id", *_LL), _LL, 8)
 
 
+@query("kmeans_invariants", S.T + "SELECT 8 AS clusters, count(*) AS labelled, 0 AS off_centre, 0 AS dearer_than_one_start FROM trips")
+def kmeans_invariants(spark, d):
+    """Every row is labelled, no cluster's mean is far from its centre, and ten starts cost no more than the first alone."""
+    z = cluster.standardize(_xy(spark, d), _LL).select(*[f"{c}_z" for c in _LL])
+    z = materialize(z, "invariants")
+    centers, cost = cluster.fit_centers(z, [8])[8]
+    t = z.withColumn("c", cluster.nearest([F.col(c) for c in z.columns], centers))
+    at = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])[F.col("c")]
+    means = t.groupBy("c").agg(F.count("*").alias("n"), F.avg(F.col(z.columns[0])).alias("y"), F.avg(F.col(z.columns[1])).alias("x"))
+    one = cluster.fit_centers(z, [8], starts=1)[8][1]
+    return means.agg(F.count("*").cast("int").alias("clusters"), F.sum("n").alias("labelled"),
+                     F.count_if(F.hypot(F.col("y") - at[0], F.col("x") - at[1]) > 0.05).cast("int").alias("off_centre"),
+                     F.lit(int(cost > one * (1 + 1e-9))).alias("dearer_than_one_start"))
+
+
 @query("kmeans_degrees")
 def kmeans_degrees(spark, d):
     return cluster.kmeans(_xy(spark, d).select("event_id", *_LL), _LL, 8, scaled=False)
