@@ -396,3 +396,32 @@ def test_kmeans_starts_beat_a_single_one(spark):
     lonely = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
     assert [r.cluster for r in cluster.kmeans(lonely, ["a", "b"], 4).orderBy("b").collect()] == [0, None]
     assert [r.cluster for r in cluster.kmeans(lonely.where("a IS NULL"), ["a", "b"], 4).collect()] == [None]
+
+
+def test_distinct_values_of_every_type(spark):
+    from tripweave.operators import explore
+
+    df = spark.createDataFrame([(1, 10**15, 0.0, "0", True, None), (2, -5, -0.0, "0.0", None, None), (1, 7, float("nan"), None, True, None),
+                                (None, 7, float("nan"), "x", False, None)], "a int, `b.c` bigint, d double, s string, f boolean, z double")
+    got = {r.column_name: r.value for r in explore.distinct_values(df).collect()}
+    assert got == {"a": 2, "b.c": 3, "d": 2, "s": 3, "f": 2, "z": 0}
+    assert {r.value for r in explore.distinct_values(df.limit(0)).collect()} == {0}
+    many = spark.range(-40_000, 60_000).selectExpr("id AS dense", "id * 1000003 AS sparse", "id % 7 AS few")
+    assert {r.column_name: r.value for r in explore.distinct_values(many).collect()} == {"dense": 100_000, "sparse": 100_000, "few": 13}
+
+
+def test_backtest_of_each_key(spark):
+    from tripweave.operators import forecast
+
+    hours = pd.date_range("2024-01-01", periods=24 * 14, freq="h")
+    y = 20 + 10 * np.sin(np.arange(len(hours)) * 2 * np.pi / 24)
+    rows = pd.concat([pd.DataFrame({"k": "wave", "hour": hours, "y": y}), pd.DataFrame({"k": "flat", "hour": hours, "y": 5.0 + np.arange(len(hours)) % 2}),
+                      pd.DataFrame({"k": "short", "hour": hours[:20], "y": 1.0})])
+    s = spark.createDataFrame(rows).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    f = forecast.backtest(s, ["k"])
+    assert {(r.k, r.model): r.n for r in f.groupBy("k", "model").agg(F.count("*").alias("n")).collect()} == {
+        (k, m): 68 for k in ("wave", "flat") for m in ("arima", "additive")}
+    err = {(r.k, r.model): r.rmse for r in forecast.forecast_errors(f, ["k"]).collect()}
+    assert err["wave", "additive"] < 3 < err["wave", "arima"]
+    own = f.toPandas().groupby(["k", "model"])[["y", "yhat"]].apply(lambda g: float(np.sqrt(((g.y - g.yhat) ** 2).mean())))
+    assert all(err[k] == pytest.approx(v, abs=1e-6) for k, v in own.items())

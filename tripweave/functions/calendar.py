@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -67,6 +68,11 @@ def day_part_flags(ts: Column | str) -> dict[str, Column]:
     }
 
 
+def is_derived(name: str) -> bool:
+    """Whether a column of that name is a part or flag of a time, or the label of a place's cluster, and so no measurement."""
+    return name in {*calendar_parts("_"), *day_part_flags("_"), "is_holiday"} or re.fullmatch(r"cluster_\d+", name) is not None
+
+
 def seconds_since_midnight(ts: Column | str) -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 

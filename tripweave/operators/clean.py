@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import calendar as cal
 from ..functions.geo import in_city
-from ..schema import CALENDAR_COLUMNS, RAW_TIME_FORMAT, RAW_TO_CANONICAL
+from ..schema import RAW_TIME_FORMAT, RAW_TO_CANONICAL
 from ..session import materialize, one_row
 from .common import keep_first, modes, numeric_columns, q
 from .quantile import exact_quantiles
@@ -111,7 +111,7 @@ def remove_outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None,
     Rows with a null in a column with spread go; a constant or empty column is passed over.
     """
     if columns is None:
-        columns = [c for c in numeric_columns(df) if c not in CALENDAR_COLUMNS]
+        columns = [c for c in numeric_columns(df) if not cal.is_derived(c)]
     for c in columns:
         s = one_row(df.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")))
         if not s["s"]:

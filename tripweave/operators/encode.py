@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import CALENDAR_COLUMNS
+from ..functions.calendar import is_derived
 from ..session import one_row
 from .common import modes, numeric_columns, q, string_columns
 from .clean import fill_columns
@@ -34,7 +34,7 @@ def encode_categorical(df: DataFrame, columns: Sequence[str] | None = None, one_
 
 def scale(df: DataFrame, columns: Sequence[str] | None = None, method: str = "standard") -> DataFrame:
     """``<col>_scaled``: standard, robust or minmax; a column without spread becomes 0."""
-    columns = [c for c in (columns or numeric_columns(df)) if c not in CALENDAR_COLUMNS]
+    columns = [c for c in (columns or numeric_columns(df)) if not is_derived(c)]
     if method == "robust":
         shift_by = {c: (v[1], (v[2] - v[0]) if v[0] is not None else None)
                     for c, v in exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}).items()}

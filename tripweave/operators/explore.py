@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import calendar as cal
 from ..functions.numbers import r, r_mean, ratio
+from ..session import one_row
 from .common import (long_form, numeric_columns, q, row_groups, string_columns, tidy_stats, top_values,
                      value_counts)
 from .quality import attach_constants, describe
@@ -122,16 +124,43 @@ def peak_rows(counts: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(item, value): rows, columns, repeated rows, distinct values per column (exact)."""
-    vals = value_counts_any(df).groupBy("column_name").agg(F.count("*").alias("value"))
+    vals = distinct_values(df)
     shape = row_groups(df).agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows"),
                                F.lit(len(df.columns)).cast("long").alias("columns"))
     return shape.unpivot([], ["rows", "duplicate_rows", "columns"], "item", "value").unionByName(
         vals.select(F.concat(F.lit("unique:"), "column_name").alias("item"), "value"))
 
 
-def value_counts_any(df: DataFrame) -> DataFrame:
-    """Distinct values of all columns as text; a shuffle of (column, value) with map-side merging."""
-    return long_form(df, df.columns).groupBy("column_name", "v").agg(F.count("*").alias("n"))
+BITS_PER_ROW = 128  # a bitmap is used where its bits are at most so many times the rows
+
+
+def distinct_values(df: DataFrame) -> DataFrame:
+    """(column_name, value): the number of distinct values of every column, nulls left out; exact.
+
+    Whole numbers that lie dense enough set bits in bitmaps, which merge before the shuffle.  All other cells are grouped in
+    their own type, one shuffle per type, so 0.0 and -0.0 are one value, as are all NaN.
+    """
+    kinds: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        kind = {"byte": "bigint", "short": "bigint", "integer": "bigint", "long": "bigint", "float": "double"}.get(
+            f.dataType.typeName(), f.dataType.simpleString())
+        kinds.setdefault(kind, []).append(f.name)
+    whole = kinds.pop("bigint", [])
+    span = one_row(df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(whole) for x in (
+        F.min(q(c)).cast("long").alias(f"a{i}"), F.max(q(c)).cast("long").alias(f"b{i}"))]))
+    low = {c: span[f"a{i}"] for i, c in enumerate(whole)
+           if span[f"a{i}"] is not None and span[f"b{i}"] - span[f"a{i}"] <= BITS_PER_ROW * span["n"]}
+    parts = [df.sparkSession.createDataFrame([(c, 0) for c in df.columns], "column_name string, value bigint")]
+    if low:
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), (q(c).cast("long") - F.lit(a)).alias("v")) for c, a in low.items()])
+        bits = df.select(F.explode(cells).alias("s")).select("s.*").where("v IS NOT NULL")
+        maps = bits.groupBy("column_name", F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m"))
+        parts.append(maps.groupBy("column_name").agg(F.sum(F.bitmap_count("m")).alias("value")))
+    rest = [c for c in whole if c not in low]
+    for kind, cols in (({"bigint": rest} if rest else {}) | kinds).items():
+        seen = long_form(df, cols, kind).groupBy("column_name", "v").agg(F.lit(1).alias("_"))
+        parts.append(seen.groupBy("column_name").agg(F.count("*").alias("value")))
+    return reduce(DataFrame.unionByName, parts).groupBy("column_name").agg(F.sum("value").alias("value"))
 
 
 def missing_table(df: DataFrame) -> DataFrame:
@@ -223,12 +252,22 @@ def quality_ratios(df: DataFrame) -> DataFrame:
     k = len(df.columns)
     gaps = sum((F.when(q(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     one = row_groups(df).agg(F.sum(n).alias("rows"), F.sum(n - 1).alias("dups"), F.sum(gaps * n).alias("gaps"))
-    uniq = value_counts_any(df).agg(F.count("*").alias("u")).scalar()
+    uniq = distinct_values(df).agg(F.sum("value").alias("u")).scalar()
     return one.select(r(F.lit(1.0) - ratio(F.col("gaps"), F.col("rows") * k)).alias("completeness"),
                       r(ratio(uniq, F.col("rows") * k)).alias("uniqueness"),
                       r(F.lit(1.0) - ratio(F.col("dups"), F.col("rows"))).alias("consistency"))
 
 
+def cluster_popularity(df: DataFrame, label: str = "cluster") -> DataFrame:
+    """(cluster, n, pct, kind): rows of each cluster; kind names the most and the least popular one, ties to the lower label."""
+    sizes = df.where(q(label).isNotNull()).groupBy(q(label).alias("cluster")).agg(F.count("*").alias("n"))
+    ends = sizes.agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"))).alias("top"), F.min(F.struct("n", F.col("cluster").alias("c"))).alias("low"),
+                     F.sum("n").alias("rows"))
+    one = ends.select(F.struct("*").alias("e")).scalar()
+    kind = F.when(F.col("cluster") == -one["top"]["c"], "most_popular").when(F.col("cluster") == one["low"]["c"], "least_popular").otherwise("cluster")
+    return sizes.select("cluster", "n", r(F.col("n") * 100.0 / one["rows"]).alias("pct"), kind.alias("kind"))
+
+
 def as_sections(parts: dict[str, DataFrame]) -> DataFrame:
     """Stack tidy tables of any shape as (section, row, item, value)."""
     out = None

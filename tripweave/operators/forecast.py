@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
 from ..functions.numbers import r
 from .metrics import regression_aggregates
 from .series import minute_start
@@ -350,19 +351,55 @@ def chronological_split(series: DataFrame, time: str = "hour", share: float = 0.
     return series.withColumn("is_test", rank > F.floor(size * (1 - share)))
 
 
-def compare_forecasts(series: DataFrame, value: str = "y", time: str = "hour", share: float = 0.2) -> DataFrame:
-    """(model, n, rmse, mae) of ARIMA and the additive model on the last part of a series."""
-    from ..session import materialize
+def fit_additive(t: np.ndarray, y: np.ndarray, at: np.ndarray, changepoints: int = 25, reg: float = 0.05, yearly: int = 10,
+                 weekly: int = 3, daily: int = 4) -> np.ndarray:
+    """Values at the seconds ``at`` of the additive model (trend, hinges, Fourier pairs) fitted by ridge regression to (t, y)."""
+    start, span = t[0], max(t[-1] - t[0], 1.0)
 
-    d = materialize(chronological_split(series.select(time, F.col(value).cast("double").alias("y")), time, share), "forecast-split")
-    test = d.where("is_test")
-    steps = test.count()  # hours
-    train = d.where("not is_test")
-    a = arima_forecast(train.withColumn("k", F.lit("all")), ["k"], "y", time, steps=steps).select(time, "yhat", F.lit("arima").alias("model"))
-    b = additive_forecast(train, "y", time, steps).where("is_future").select(time, "yhat", F.lit("additive").alias("model"))
+    def design(s: np.ndarray) -> np.ndarray:
+        x = (s - start) / span
+        cols = [x, *[np.maximum(x - 0.8 * i / (changepoints + 1), 0) for i in range(1, changepoints + 1)]]
+        for days, order in ((365.25, yearly), (7.0, weekly), (1.0, daily)):
+            for k in range(1, order + 1):
+                angle = s * (2 * math.pi * k / (days * 86400.0))
+                cols += [np.sin(angle), np.cos(angle)]
+        return np.column_stack(cols)
+
+    past = design(t)
+    mean, std = past.mean(0), past.std(0)
+    z = (past - mean) / np.where(std > 0, std, 1.0)
+    w = np.linalg.solve(z.T @ z / len(y) + reg * np.eye(z.shape[1]), z.T @ (y - y.mean()) / len(y))
+    return y.mean() + (design(at) - mean) / np.where(std > 0, std, 1.0) @ w
+
+
+def backtest(series: DataFrame, keys: Sequence[str], value: str = "y", time: str = "hour", share: float = 0.2,
+             order: tuple[int, int, int] = (1, 1, 1), need: int = 30) -> DataFrame:
+    """(keys, time, model, y, yhat): forecasts of the last part of every series from what comes before it.
+
+    The two parts of a key meet in one cogroup, so series are spread over the tasks; a series has a row per hour.  Series with
+    fewer than ``need`` hours to learn from, or without later ones, have no rows.
+    """
+    d = chronological_split(series.select(*keys, time, F.col(value).cast("double").alias("y")), time, share, keys)
+    schema = ", ".join([f"{k} {series.schema[k].dataType.simpleString()}" for k in keys] + [f"{time} timestamp_ntz", "model string", "y double", "yhat double"])
+    names = [*keys, time, "model", "y", "yhat"]
+
+    def solve(past: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+        if len(past) < need or not len(later):
+            return pd.DataFrame(columns=names)
+        past, later = past.sort_values(time), later.sort_values(time)
+        y = past["y"].to_numpy(dtype=float)
+        sec = lambda x: pd.to_datetime(x[time]).to_numpy().astype("datetime64[s]").astype(float)
+        found = {"arima": forecast_arima(y, order, len(later))[0], "additive": fit_additive(sec(past), y, sec(later))}
+        return pd.concat([later.assign(model=m, yhat=v) for m, v in found.items()])[names]
+
+    both = d.where("not is_test").groupBy(*keys).cogroup(d.where("is_test").groupBy(*keys))
+    return materialize(both.applyInPandas(solve, schema), "backtest")  # fitted once, however often the forecasts are read
+
+
+def forecast_errors(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, model, n, rmse, mae) of back-tested forecasts."""
     agg = regression_aggregates("y", "yhat")
-    return a.unionByName(b).join(test.select(time, "y"), time).groupBy("model").agg(
-        agg["n"].alias("n"), r(agg["rmse"]).alias("rmse"), r(agg["mae"]).alias("mae"))
+    return forecasts.groupBy(*keys, "model").agg(agg["n"].alias("n"), r(agg["rmse"]).alias("rmse"), r(agg["mae"]).alias("mae"))
 
 
 # ---- short-term rules ----------------------------------------------------------------------

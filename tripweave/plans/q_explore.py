@@ -182,7 +182,11 @@ def eda_categorical(spark, d):
   UNION ALL SELECT 'days', NULL, floor(epoch(max(datetime) - min(datetime)) / 86400)::BIGINT, NULL FROM trips
   UNION ALL SELECT *, NULL FROM ({_PEAKS}) UNION ALL SELECT 'hour', k, n, NULL FROM h UNION ALL SELECT 'weekday', k, n, NULL FROM w""")
 def eda_temporal(spark, d):
-    t = views.trips(spark, d)
+    return _temporal(views.trips(spark, d))
+
+
+def _temporal(t):
+    """Start, end, days, counts per hour and weekday, and their peaks."""
     e = t.agg(F.min("datetime").alias("a"), F.max("datetime").alias("b"))
     secs = F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))
     no_ts, no_n, no_k = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("long"), F.lit(None).cast("int")
@@ -204,6 +208,16 @@ def eda_spatial(spark, d):
                  r_mean(F.avg("latitude")).alias("lat_center"), r_mean(F.avg("longitude")).alias("lon_center"))
 
 
+@query("eda_spatial_clusters", S.with_views("dirty") + """,
+l AS (SELECT (latitude >= 40.75)::INT * 3 + (longitude >= -74.1)::INT + (longitude >= -73.9)::INT AS cluster FROM dirty),
+c AS (SELECT cluster, count(*) AS n FROM l WHERE cluster IS NOT NULL GROUP BY 1)
+SELECT cluster, n, round(n * 100.0::DOUBLE / (SELECT sum(n) FROM c), 6) AS pct,
+  CASE WHEN cluster = (SELECT cluster FROM c ORDER BY n DESC, cluster LIMIT 1) THEN 'most_popular'
+    WHEN cluster = (SELECT cluster FROM c ORDER BY n, cluster LIMIT 1) THEN 'least_popular' ELSE 'cluster' END AS kind FROM c""")
+def eda_spatial_clusters(spark, d):
+    return explore.cluster_popularity(spatial.grid_labels(views.dirty_trips(spark, d)))
+
+
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS feature1, '{b}' AS feature2, round(corr({a}, {b}), 6) AS correlation FROM lineitem"
                                for i, a in enumerate(_CORR) for b in _CORR[i + 1:])
@@ -257,6 +271,12 @@ def quality_ratios(spark, d):
     return explore.quality_ratios(views.dirty_trips(spark, d))
 
 
+def _clustered(t):
+    from ..operators import cluster
+
+    return cluster.kmeans(t.select("latitude", "longitude"), ["latitude", "longitude"], 8)
+
+
 @query("eda_report")
 def eda_report(spark, d):
     t = materialize(views.dirty_trips(spark, d), "eda-input")
@@ -264,5 +284,7 @@ def eda_report(spark, d):
         "basic": explore.distinct_counts(t), "missing": explore.missing_table(t),
         "types": quality.validate_types(t, {"event_id": "BIGINT", "latitude": "DOUBLE", "base_station": "DOUBLE"}),
         "numeric": explore.numeric_shape(t, _NUM), "categorical": explore.categorical_shape(t, _TXT),
-        "temporal": explore.temporal_counts(t), "spatial": spatial.bounds(t), "correlations": explore.correlations(t, _NUM),
+        "temporal": _temporal(t).withColumns({"k": F.coalesce(F.col("k").cast("string"), F.lit("")), "at": F.col("at").cast("string")}),
+        "months": explore.temporal_counts(t).where("kind in ('month', 'is_peak_hour')").withColumn("k", F.col("k").cast("string")),
+        "spatial": spatial.bounds(t), "clusters": explore.cluster_popularity(_clustered(t)).withColumn("cluster", F.col("cluster").cast("string")), "correlations": explore.correlations(t, _NUM),
         "outliers": explore.outlier_table(t, _NUM), "quality": explore.quality_score(t)})

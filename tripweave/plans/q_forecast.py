@@ -83,7 +83,18 @@ def daily_forecast(spark, d):
 
 @query("forecast_compare")
 def forecast_compare(spark, d):
-    return forecast.compare_forecasts(_hours(spark, d, []))
+    return forecast.forecast_errors(forecast.backtest(_hours(spark, d), _B), _B)
+
+
+@query("forecast_backtest", S.with_views("base_hourly") + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY base_station ORDER BY hour) AS i, count(*) OVER (PARTITION BY base_station) AS n FROM base_hourly)
+SELECT base_station, hour, model, demand::DOUBLE AS y, 0 AS far_off FROM o, (VALUES ('arima'), ('additive')) m(model)
+WHERE i > floor(n * 0.8) AND floor(n * 0.8) >= 30""")
+def forecast_backtest(spark, d):
+    """The forecasts themselves; far_off counts those that are further from the series than ten times its largest value."""
+    f = forecast.backtest(_hours(spark, d), _B)
+    top = f.agg(F.max("y")).scalar()
+    return f.select("base_station", "hour", "model", "y", (~(F.abs("yhat") <= 10 * F.greatest(top, F.lit(1.0)))).cast("int").alias("far_off"))
 
 
 @query("forecast_trend")
@@ -127,5 +138,5 @@ def temporal_report(spark, d):
     return explore.as_sections({
         "span": span.unpivot([], span.columns, "name", "value").select("name", F.col("value").alias("label")).withColumn("x", F.lit(1)),
         "peak": peak, "stationarity": forecast.stationarity(h, _B),
-        "autocorrelation": forecast.autocorrelation(h, _B).where("lag in (1, 24, 48)"),
+        "autocorrelation": forecast.autocorrelation(h, _B), "models": forecast.forecast_errors(forecast.backtest(h, _B), _B),
         "trend": forecast.forecast_trend(forecast.arima_forecast(h, _B), _B)})
