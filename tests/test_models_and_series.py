@@ -135,3 +135,24 @@ def test_one_hot_and_codes(spark):
     assert [(r["c_encoded"], r["c_a"], r["c_b"], r["c_nan"]) for r in got] == [(1, 1, 0, 0), (2, 0, 1, 0), (0, 0, 0, 1)]
     codes = encode.category_codes(df, ["c"]).collect()
     assert sorted(r["c"] for r in codes) == [-1, 0, 1]
+
+
+def test_grid_search_goes_on_where_it_stopped(spark, monkeypatch):
+    from tripweave.session import scratch_path
+
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame({"row_key": [str(k) for k in range(200)], "is_test": False, "hour": rng.integers(0, 24, 200), "day_of_week": 1, "month": 2,
+                       "lat_mean": rng.normal(size=200), "lon_mean": 0.5})
+    df["demand"] = df["hour"] * 2.0 + rng.normal(size=200)
+    table, out, fitted = spark.createDataFrame(df), scratch_path(spark, "grid"), []
+    real = models.regressor
+    monkeypatch.setattr(models, "regressor", lambda name, **kw: fitted.append(kw) or real(name, **kw))
+    one = models.grid_search(table, "linear", {"regParam": [0.0, 100.0]}, folds=3, out=out).collect()
+    assert len(fitted) == 6 and {r.folds for r in one} == {3}
+    two = models.grid_search(table, "linear", {"regParam": [0.0, 100.0, 1000.0]}, folds=3, out=out).collect()
+    assert len(fitted) == 9
+    again = {r.params: r.mse for r in two}
+    assert all(again[r.params] == pytest.approx(r.mse) for r in one)
+    best = min(two, key=lambda r: r.mse)
+    assert best.params == "{'regParam': 0.0}" and best.mse < 3
+    assert len(list(models.FOREST_GRID)) == 4 and all(len(v) == 3 for g in (models.FOREST_GRID, models.BOOST_GRID) for v in g.values())

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import hour_start
 from ..functions.numbers import r
-from ..session import in_parallel, materialize
+from ..session import in_parallel, materialize, scratch_path
 from .encode import hash_share, mark_test
 from .metrics import regression_aggregates
 
@@ -137,6 +138,16 @@ def ensemble(table: DataFrame, specs: dict[str, dict], categorical: Sequence[str
     return weighted_vote(d, [f"p_{n}" for n in specs], weights)
 
 
+def ensemble_of(fitted: Sequence[PipelineModel], df: DataFrame, keep: Sequence[str], numeric: Sequence[str] = NUMERIC) -> DataFrame:
+    """The predictions p0, p1, ... of fitted models side by side, each row scored by all of them in turn."""
+    d = as_double(df, numeric)
+    cols = d.columns
+    for k, m in enumerate(fitted):
+        d = m.transform(d).select(*cols, F.col("prediction").alias(f"p{k}"))
+        cols = d.columns
+    return d.select(*keep, *[f"p{k}" for k in range(len(fitted))])
+
+
 def cross_validate(table: DataFrame, name: str, folds: int = 5, categorical: Sequence[str] = (), **kw) -> DataFrame:
     """Test r2 per fold (folds by key hash) and their mean, population std, min and max."""
     d = as_double(materialize(table.withColumn("fold", F.floor(hash_share(F.col("row_key"), 7) * folds).cast("int")), "folds"))
@@ -152,21 +163,47 @@ def cross_validate(table: DataFrame, name: str, folds: int = 5, categorical: Seq
     return out.select(F.concat(F.lit("fold"), "fold").alias("item"), "r2").unionByName(tail)
 
 
+# The grids of the usual parameter search, 81 combinations each.  MLlib's trees end at depth 30, which stands for
+# no limit, and know no least size of a split, in whose place the share of rows per tree varies.
+FOREST_GRID = {"numTrees": (50, 100, 200), "maxDepth": (10, 20, 30), "minInstancesPerNode": (1, 2, 4), "subsamplingRate": (0.6, 0.8, 1.0)}
+BOOST_GRID = {"maxIter": (100, 200, 300), "maxDepth": (3, 6, 9), "stepSize": (0.01, 0.1, 0.2), "subsamplingRate": (0.8, 0.9, 1.0)}
+
+
 def grid_search(table: DataFrame, name: str, grid: dict[str, Sequence], folds: int = 5, categorical: Sequence[str] = (),
-                parallelism: int = 4, **kw) -> DataFrame:
-    """Mean squared error of every parameter combination over hash folds; a row per combination."""
-    d = as_double(table.withColumn("fold", F.floor(hash_share(F.col("row_key"), 7) * folds).cast("int")))
-    reg = regressor(name, **kw)
-    b = ParamGridBuilder()
-    for k, vs in grid.items():
-        b = b.addGrid(reg.getParam(k), list(vs))
-    maps = b.build()
-    cv = CrossValidator(estimator=pipeline(reg, categorical=categorical), estimatorParamMaps=maps, numFolds=folds, foldCol="fold",
-                        evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mse"), parallelism=parallelism)
-    res = cv.fit(d)
-    rows = F.array(*[F.struct(F.lit(str({p.name: v for p, v in m.items()})).alias("params"), F.lit(float(x)).alias("mse"))
-                     for m, x in zip(maps, res.avgMetrics)])
-    return table.sparkSession.range(1).select(F.explode(rows).alias("s")).select("s.*")
+                parallelism: int = 4, out: str | None = None, **kw) -> DataFrame:
+    """(params, mse, folds): mean squared error of every parameter combination over hash folds.
+
+    A job is one combination and one fold; it writes its error to ``out`` when it is done.  A search that is run again on the
+    same ``out`` fits only the jobs that are missing there.
+    """
+    spark = table.sparkSession
+    out = out or scratch_path(spark, "grid")
+    d = as_double(materialize(table.withColumn("fold", F.floor(hash_share(F.col("row_key"), 7) * folds).cast("int")), "folds"))
+    combos = [dict(zip(grid, vs)) for vs in product(*grid.values())]
+    shape = "params string, fold int, mse double, n bigint"
+
+    def results() -> DataFrame:
+        try:
+            return spark.read.schema(shape).parquet(f"{out}/jobs")
+        except AnalysisException as ex:
+            if ex.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], shape)
+
+    done = {(r["params"], r["fold"]) for r in results().select("params", "fold").collect()}  # a row per job
+    jobs = [(c, k) for c in combos for k in range(folds) if (str(c), k) not in done]
+
+    def one(job: tuple[dict, int]) -> None:
+        params, k = job
+        m = pipeline(regressor(name, **(kw | params)), categorical=categorical).fit(d.where(F.col("fold") != k))
+        gap = F.col(LABEL) - F.col("prediction")
+        err = m.transform(d.where(F.col("fold") == k)).agg(F.avg(gap * gap).alias("mse"), F.count("*").alias("n"))
+        place = f"{out}/jobs/job={hashlib.md5(f'{params} {k}'.encode()).hexdigest()}"
+        err.select(F.lit(str(params)).alias("params"), F.lit(k).alias("fold"), "mse", "n").coalesce(1).write.mode("overwrite").parquet(place)
+
+    in_parallel(one, jobs, parallelism)
+    wanted = results().where(F.col("params").isin([str(c) for c in combos]))
+    return wanted.groupBy("params").agg(F.avg("mse").alias("mse"), F.count_if(F.col("n") > 0).alias("folds"))
 
 
 def save_models(models: dict[str, PipelineModel], path: str) -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import views
 from ..functions.numbers import r
 from ..operators import anomaly, clean, cluster, dbscan, encode, features, models, series, spatial
-from ..session import materialize, scratch_path
+from ..session import in_parallel, materialize, scratch_path
 from . import sqltext as S
 from .registry import query
 
@@ -208,7 +210,7 @@ def hourly_demand_dataset(spark, d):
 
 
 _CAT = ["base_station"]
-_SMALL = {"linear": {}, "random_forest": {"numTrees": 20, "maxDepth": 6}, "gbt_xgb": {"maxIter": 10, "maxDepth": 4}}
+_LEARNERS = {"linear": {}, "random_forest": {}, "gbt_xgb": {}, "gbt_lgb": {}}  # each with its own defaults
 
 
 def _table(spark, d):
@@ -222,7 +224,7 @@ for _n, _model, _kw in (("linear_regression", "linear", {}), ("random_forest", "
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    m = models.fit(_table(spark, d), "random_forest", _CAT, numTrees=20, maxDepth=6)
+    m = models.fit(_table(spark, d), "random_forest", _CAT)
     return models.importances(m, models.NUMERIC, _CAT, spark).orderBy(F.desc("importance"))
 
 
@@ -239,12 +241,12 @@ def score_demand(spark, d):
 
 @query("model_comparison")
 def model_comparison(spark, d):
-    return models.compare(_table(spark, d), _SMALL, _CAT)
+    return models.compare(_table(spark, d), _LEARNERS, _CAT)
 
 
 @query("voting_ensemble")
 def voting_ensemble(spark, d):
-    e = models.ensemble(_table(spark, d), {"linear": {}, "random_forest": _SMALL["random_forest"]}, _CAT, [1.0, 2.0])
+    e = models.ensemble(_table(spark, d), _LEARNERS, _CAT)
     return models.split_metrics(e, "vote")
 
 
@@ -262,7 +264,7 @@ def voting_given_predictions(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    return models.grid_search(_table(spark, d), "random_forest", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3, categorical=_CAT)
+    return models.grid_search(_table(spark, d), "random_forest", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=5, categorical=_CAT)
 
 
 @query("cross_validation")
@@ -270,16 +272,32 @@ def cross_validation(spark, d):
     return models.cross_validate(_table(spark, d), "linear", 5, _CAT)
 
 
-@query("save_models")
-def save_models(spark, d):
+def _saved(spark, d):
+    """All learners, fitted and written; the table they were fitted on and their folder."""
     t = _table(spark, d)
     path = scratch_path(spark, "models")
-    models.save_models({"linear": models.fit(t, "linear", _CAT)}, path)
-    m = models.load_models(path, ["linear"])["linear"]
-    return models.split_metrics(models.score(m, t, ["row_key", "is_test", "demand"]), "linear")
+    models.save_models(dict(zip(_LEARNERS, in_parallel(lambda n: models.fit(t, n, _CAT), _LEARNERS))), path)
+    return t, path
+
 
+@query("save_models")
+def save_models(spark, d):
+    t, path = _saved(spark, d)
+    loaded = models.load_models(path, list(_LEARNERS))
+    return reduce(DataFrame.unionByName, [models.split_metrics(models.score(m, t, ["row_key", "is_test", "demand"]), n) for n, m in loaded.items()])
 
-query("load_models")(lambda spark, d: save_models(spark, d).where("split = 'test'"))
+
+@query("load_models", S.with_views("trips") + """,
+h AS (SELECT base_station, date_trunc('hour', datetime) AS hour_date FROM trips GROUP BY 1, 2)
+SELECT base_station, hour_date, 0 AS differs FROM h""")
+def load_models(spark, d):
+    """Predictions of a model before it was written and after it was read; differs is 1 where they are not equal."""
+    t = _table(spark, d)
+    path, keep = scratch_path(spark, "model"), ["base_station", "hour_date"]
+    m = models.fit(t, "random_forest", _CAT, numTrees=20)
+    models.save_models({"forest": m}, path)
+    both = models.ensemble_of([m, models.load_models(path, ["forest"])["forest"]], t, keep)
+    return both.select(*keep, (F.col("p0") != F.col("p1")).cast("int").alias("differs"))
 
 
 # ---- anomalies ------------------------------------------------------------------------------
