@@ -131,6 +131,32 @@ def test_dbscan_equals_brute_force(spark, limit):
         assert got[i] == (min(reach) if reach else -1)
 
 
+def test_border_of_a_crowded_cell(spark):
+    """Core places crowd in one cell, and the rim around it is decided by splits; equal to the plain search."""
+    rng = np.random.default_rng(11)
+    t = rng.uniform(0, 2 * math.pi, 60)
+    ring = np.column_stack([np.sin(t), np.cos(t)]) * rng.uniform(0.0088, 0.0112, 60)[:, None]
+    xy = np.concatenate([rng.uniform(0, 0.0005, (300, 2)), ring, ring[:5] * 3])
+    core, want, near = brute_dbscan(xy, 0.01, 320)
+    want = np.where(core, want, np.where(near[:, core].any(axis=1), 0, -1))
+    assert 300 <= core.sum() < (want == 0).sum() < len(xy)
+    rows = dbscan.dbscan(points(spark, xy), 0.01, 320, pair_limit=200).orderBy("event_id").collect()
+    assert [r["cluster"] for r in rows] == want.tolist()
+
+
+def test_scaled_dbscan_uses_standardised_distances(spark):
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.normal(0, 0.02, (60, 2)), rng.normal(1, 0.02, (60, 2)), [[5.0, 5.0]]]) * [1.0, 40.0]
+    df = points(spark, xy).unionByName(spark.createDataFrame([(999, None, 1.0)], "event_id long, latitude double, longitude double"))
+    got = {r["event_id"]: r["cluster"] for r in dbscan.dbscan_scaled(df).collect()}
+    known = np.concatenate([xy[:, 1], [1.0]])  # the row without a latitude still counts for its longitude
+    z = np.column_stack([(xy[:, 0] - xy[:, 0].mean()) / xy[:, 0].std(), (xy[:, 1] - known.mean()) / known.std()])
+    want = brute_dbscan(z, 0.1, 5)[1]
+    assert got.pop(999) is None and [got[i] for i in range(len(xy))] == want.tolist() and set(want) == {-1, 0, 1}
+    rep = {r["cluster"]: r for r in dbscan.dbscan_report(dbscan.dbscan_scaled(df), ["latitude"]).collect()}
+    assert rep[0]["n"] == 60 and rep[-1]["latitude_mean"] == 5.0 and sum(r["share_pct"] for r in rep.values()) == pytest.approx(100)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.concat_ws("_", F.col("id"), F.lit(0)).alias("u"), F.concat_ws("_", F.col("id") + 1, F.lit(0)).alias("v"))
     nodes = spark.range(301).select(F.concat_ws("_", F.col("id"), F.lit(0)).alias("node"))
@@ -224,6 +250,19 @@ def test_many_clusters_have_indices(spark):
     assert got["clusters"] == 600 and got["silhouette"] > 0.9
 
 
+def test_quality_indices_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    lab = rng.integers(0, 23, 400)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(lab, 0.4), "b": rng.normal(lab % 5, 0.4), "cluster": lab}))
+    whole = cluster.quality_indices(df, ["a", "b"]).first()
+    monkeypatch.setattr(cluster, "PER_BLOCK", 4)
+    assert cluster.quality_indices(df, ["a", "b"]).first() == pytest.approx(whole, rel=1e-9)
+    dist = {k: np.sqrt(((g[["a", "b"]] - g[["a", "b"]].mean()) ** 2).sum(axis=1)).mean() for k, g in df.toPandas().groupby("cluster")}
+    mid = {k: g[["a", "b"]].mean().to_numpy() for k, g in df.toPandas().groupby("cluster")}
+    worst = [max((dist[i] + dist[j]) / np.linalg.norm(mid[i] - mid[j]) for j in mid if j != i) for i in mid]
+    assert whole["davies_bouldin"] == pytest.approx(np.mean(worst))
+
+
 # ---- series --------------------------------------------------------------------------------
 
 

@@ -97,6 +97,9 @@ def hexbin(df: DataFrame, y: str = "latitude", x: str = "longitude", gridsize: i
                     r(F.lit(e["y0"]) + (F.col("iy") + half) * F.lit(sy)).alias("center_y"), "n")
 
 
+KDE_CELLS = 1 << 19  # kernel terms that a task computes as one array
+
+
 def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: int = 100, reach: float = 9.0) -> DataFrame:
     """Gaussian kernel density on a grid of nodes: Scott bandwidth, full covariance.
 
@@ -123,15 +126,27 @@ def kde_grid(df: DataFrame, y: str = "latitude", x: str = "longitude", nodes: in
     gy, gx = np.linspace(s["y0"], s["y1"], nodes), np.linspace(s["x0"], s["x1"], nodes)
     ry, rx = reach * math.sqrt(vy), reach * math.sqrt(vx)
 
+    sy, sx = gy[1] - gy[0], gx[1] - gx[0]
+    # a place's window: as many nodes as its reach can cover, in a grid with a margin for windows that stick out
+    my, mx = (min(nodes, int(2 * w / step) + 2) for w, step in ((ry, sy), (rx, sx)))
+    step = max(1, KDE_CELLS // (my * mx))
+
     def partial(batches):
-        grid = np.zeros((nodes, nodes))
+        wide = np.zeros((nodes + 2 * my) * (nodes + 2 * mx))
         for pdf in batches:
-            for py, px, w in zip(pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["n"].to_numpy()):
-                a, b = np.searchsorted(gy, [py - ry, py + ry])
-                p, q_ = np.searchsorted(gx, [px - rx, px + rx])
-                ey, ex = gy[a:b] - py, gx[p:q_] - px
-                e = (ey * ey * iy)[:, None] + (ex * ex * ix)[None, :] + 2 * ic * ey[:, None] * ex[None, :]
-                grid[a:b, p:q_] += w * np.exp(-0.5 * e)
+            for i in range(0, len(pdf), step):
+                py, px, w = (pdf[c].to_numpy()[i:i + step] for c in ("y", "x", "n"))
+                a = np.clip(np.ceil((py - ry - gy[0]) / sy), 1 - my, nodes).astype(np.int64)[:, None] + np.arange(my)
+                b = np.clip(np.ceil((px - rx - gx[0]) / sx), 1 - mx, nodes).astype(np.int64)[:, None] + np.arange(mx)
+                if my == nodes:
+                    a = np.broadcast_to(np.arange(nodes), a.shape)
+                if mx == nodes:
+                    b = np.broadcast_to(np.arange(nodes), b.shape)
+                ey, ex = gy[0] + a * sy - py[:, None], gx[0] + b * sx - px[:, None]
+                e = (ey * ey * iy)[:, :, None] + (ex * ex * ix)[:, None, :] + (2 * ic * ey)[:, :, None] * ex[:, None, :]
+                at = ((a + my) * (nodes + 2 * mx))[:, :, None] + (b + mx)[:, None, :]
+                wide += np.bincount(at.ravel(), (w[:, None, None] * np.exp(-0.5 * e)).ravel(), len(wide))
+        grid = wide.reshape(nodes + 2 * my, nodes + 2 * mx)[my:my + nodes, mx:mx + nodes]
         rows, cols = np.nonzero(grid)
         yield pd.DataFrame({"iy": rows.astype("int32"), "ix": cols.astype("int32"), "k": grid[rows, cols]})
 

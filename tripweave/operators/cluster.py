@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import cyclic_pair
 from ..functions.numbers import r, ratio
-from ..session import in_parallel, materialize, one_row, spread_small
+from ..session import in_parallel, materialize, one_row, small_side, spread_small
 from .common import q, tidy_stats
 
 SEED = 42
@@ -206,66 +206,85 @@ def cluster_profile(df: DataFrame, label: str = "cluster", weight: str | None =
     return df.where(F.col(label) != -1).groupBy(label).agg(*aggs)
 
 
+PER_BLOCK = 1_024  # clusters whose figures one row of a block table holds
+
+
+def _in_blocks(figures: DataFrame, fields: Sequence[Column], clusters: int) -> tuple[DataFrame, int]:
+    """Figures per cluster ``k`` gathered in blocks of about PER_BLOCK: (block, cs), and the number of blocks."""
+    n = -(-clusters // PER_BLOCK)
+    block = F.pmod(F.xxhash64("k"), F.lit(n)).alias("block")
+    packed = figures.select(block, F.struct(F.col("k").alias("t"), *fields).alias("c")).groupBy("block")
+    return materialize(packed.agg(F.sort_array(F.collect_list("c")).alias("cs")), "cq-blocks"), n
+
+
+def _meet(rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """Every row with every block of clusters; a few blocks are broadcast, more are joined by shuffle."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    return rows.withColumn("block", F.explode(every)).join(small_side(blocks, 256), "block")
+
+
 def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster") -> DataFrame:
     """One row: clusters, silhouette (squared distance), Calinski-Harabasz, Davies-Bouldin.
 
     Noise is left out.  The silhouette of squared distances and the other two
-    indices follow from per-cluster counts and sums, so the work is linear in the
-    rows; a point is compared with cluster sums, never with other points.
-    Fewer than two clusters give zeros.
+    indices follow from per-cluster counts and sums: a point is compared with
+    cluster sums, never with other points.  The sums are dealt in blocks of bounded
+    size that rows meet in a join, so neither the driver nor a row ever holds all
+    clusters.  Fewer than two clusters give zeros.
     """
-    d = df.where(F.col(label) >= 0).select(label, *cols)
-    sq = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
-    sums = materialize(d.groupBy(label).agg(
-        F.count("*").alias("n"), F.sum(sq).alias("ss"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]), "cq-sums")
-    table = [row.asDict() for row in sums.orderBy(label).collect()]  # a row per cluster
-    zero = d.sparkSession.range(1).select(
-        F.lit(len(table)).cast("long").alias("clusters"), F.lit(0.0).alias("silhouette"),
-        F.lit(0.0).alias("calinski_harabasz"), F.lit(0.0).alias("davies_bouldin"))
-    if len(table) < 2:
-        return zero
     dims = range(len(cols))
+    x = [f"x{i}" for i in dims]
+    d = df.where(q(label) >= 0).select(q(label).alias("k"), *[q(c).cast("double").alias(n) for c, n in zip(cols, x)])
+
+    def total(parts) -> Column:
+        return sum(parts, F.lit(0.0))
+
+    sums = materialize(d.groupBy("k").agg(
+        F.count("*").cast("double").alias("n"), F.sum(total(F.col(c) * F.col(c) for c in x)).alias("ss"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]), "cq-sums")
+    clusters = sums.count()
+    spark = d.sparkSession
+    if clusters < 2:
+        return spark.range(1).select(F.lit(clusters).cast("long").alias("clusters"), F.lit(0.0).alias("silhouette"),
+                                     F.lit(0.0).alias("calinski_harabasz"), F.lit(0.0).alias("davies_bouldin"))
+    mids = [F.col(f"m{i}") for i in dims]
     # mean squared distance of a point to the rows of t is |x - m|^2 + spread of t
-    inner = F.col("ss") / F.col("n") - sum((F.col(f"m{i}") * F.col(f"m{i}") for i in dims), F.lit(0.0))
-    each = sums.select(F.struct(F.col(label).alias("t"), F.col("n").cast("double").alias("n"), inner.alias("spread"), *[f"m{i}" for i in dims]).alias("c"))
+    blocks, n = _in_blocks(sums, [F.col("n"), (F.col("ss") / F.col("n") - total(m * m for m in mids)).alias("spread"), *mids], clusters)
     unknown = F.lit(None).cast("double")
 
     def compare(best, t):
         """Smallest distance to another cluster so far, distance to the own one and its centre."""
-        gap = sum(((F.col(c) - t[f"m{i}"]) * (F.col(c) - t[f"m{i}"]) for i, c in enumerate(cols)), F.lit(0.0))
-        mine = t["t"] == F.col(label)
+        gap = total((F.col(c) - t[f"m{i}"]) * (F.col(c) - t[f"m{i}"]) for i, c in enumerate(x))
+        mine = t["t"] == F.col("k")
         own = F.when(t["n"] > 1, (gap + t["spread"]) * t["n"] / (t["n"] - 1))
         return F.struct(F.when(mine, best["oth"]).otherwise(F.least(best["oth"], gap + t["spread"])).alias("oth"),
                         F.when(mine, own).otherwise(best["own"]).alias("own"), F.when(mine, gap).otherwise(best["w"]).alias("w"))
 
     first = F.struct(unknown.alias("oth"), unknown.alias("own"), unknown.alias("w"))
-    d = d.withColumn("_cs", each.agg(F.sort_array(F.collect_list("c"))).scalar())
-    d = d.select(F.col(label).alias("k"), F.aggregate("_cs", first, compare).alias("f")).select("k", "f.*")
+    if n == 1:
+        pts = _meet(d, blocks, n).select("k", F.aggregate("cs", first, compare).alias("f")).select("k", "f.*")
+    else:
+        named = materialize(d.withColumn("id", F.monotonically_increasing_id()), "cq-rows")  # written: the numbers stand
+        pts = _meet(named, blocks, n).select("id", "k", F.aggregate("cs", first, compare).alias("f")).groupBy("id", "k").agg(
+            F.min("f.oth").alias("oth"), F.max("f.own").alias("own"), F.max("f.w").alias("w"))
     # a cluster of one row has no own distance: its silhouette is 0
     s = F.coalesce(F.try_divide(F.col("oth") - F.col("own"), F.greatest("own", "oth")), F.lit(0.0))
-    pts = d.select("k", s.alias("s"), "w", F.sqrt("w").alias("dist"))
-    per = [row.asDict() for row in pts.groupBy("k").agg(
-        F.sum("s").alias("s"), F.sum("w").alias("w"), F.avg("dist").alias("dist"), F.count("*").alias("n")).collect()]
-    n = sum(p["n"] for p in per)
-    k = len(per)
-    mean = [sum(t["n"] * t[f"m{i}"] for t in table) / n for i in dims]
-    between = sum(t["n"] * sum((t[f"m{i}"] - mean[i]) ** 2 for i in dims) for t in table)
-    within = sum(p["w"] for p in per)
-    spread = {p["k"]: p["dist"] for p in per}
-    mid = {t[label]: [t[f"m{i}"] for i in dims] for t in table}
-    worst = []
-    for a in mid:
-        best = 0.0
-        for b in mid:
-            if a != b:
-                gap_ab = sum((x - y) ** 2 for x, y in zip(mid[a], mid[b])) ** 0.5
-                if gap_ab:
-                    best = max(best, (spread[a] + spread[b]) / gap_ab)
-        worst.append(best)
-    ch = (between / (k - 1)) / (within / (n - k)) if within and n > k else 1.0
-    return d.sparkSession.range(1).select(
-        F.lit(k).cast("long").alias("clusters"), F.lit(float(sum(p["s"] for p in per) / n)).alias("silhouette"),
-        F.lit(float(ch)).alias("calinski_harabasz"), F.lit(float(sum(worst) / k)).alias("davies_bouldin"))
+    per = pts.select("k", s.alias("s"), "w").groupBy("k").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.avg(F.sqrt("w")).alias("dist"))
+    per = materialize(per.join(sums, "k"), "cq-per")
+    blocks, n = _in_blocks(per, [F.col("dist"), *mids], clusters)
+
+    def worse(best, t):
+        gap = F.sqrt(total((m - t[f"m{i}"]) * (m - t[f"m{i}"]) for i, m in enumerate(mids)))
+        return F.greatest(best, F.when((t["t"] != F.col("k")) & (gap > 0), (F.col("dist") + t["dist"]) / gap).otherwise(F.lit(0.0)))
+
+    worst = (_meet(per.select("k", "dist", *mids), blocks, n).select("k", F.aggregate("cs", F.lit(0.0), worse).alias("v"))
+             .groupBy("k").agg(F.max("v").alias("v")).agg(F.avg("v")).scalar())
+    mean = one_row(per.agg(*[(F.sum(F.col("n") * m) / F.sum("n")).alias(f"g{i}") for i, m in enumerate(mids)]))
+    between = F.sum(F.col("n") * total((m - F.lit(mean[f"g{i}"])) * (m - F.lit(mean[f"g{i}"])) for i, m in enumerate(mids)))
+    rows, k = F.sum("n"), F.lit(float(clusters))
+    ch = F.when((F.sum("w") > 0) & (rows > k), (between / (k - 1)) / (F.sum("w") / (rows - k))).otherwise(F.lit(1.0))
+    return per.agg(F.lit(clusters).cast("long").alias("clusters"), (F.sum("s") / rows).alias("silhouette"),
+                   ch.alias("calinski_harabasz")).withColumn("davies_bouldin", worst)
 
 
 def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool = True, seed: int = SEED, starts: int = STARTS) -> DataFrame:

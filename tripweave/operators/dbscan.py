@@ -8,12 +8,15 @@ where possible, by points only where few are involved.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, one_row, small_side
-from .common import row_index
-from .neighbours import (PAIR_LIMIT, SPLIT, _cells, around, cell_pairs, distinct_points, near, place_in_pairs,
+from ..session import materialize, one_row
+from .common import q, row_index
+from .neighbours import (PAIR_LIMIT, SPLIT, _cells, cell_pairs, distinct_points, place_in_pairs, point_span,
                          point_tests, radius_counts, split_pairs)
 
 NOISE = -1
@@ -111,6 +114,36 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     raise RuntimeError("component search did not settle")
 
 
+def _border(rim: DataFrame, core: DataFrame, owner: DataFrame, eps: float, pair_limit: int) -> DataFrame:
+    """(y, x, cluster): the lowest-numbered cluster in reach of each place of ``rim`` that has one.
+
+    Decided like a radius count, with a cell's cluster in place of its size: a pair of cells that lies wholly in reach
+    labels the whole rim cell, a core cell wholly in reach of a place labels that place, and only what the circle cuts
+    comes to point tests.  Crowded pairs are split, so no key holds all core places of a crowded cell.
+    """
+    reach, size = 2.0, eps / 2.0
+    probe, points = rim.select("y", "x"), core.select("y", "x", F.lit(1).cast("long").alias("n"))
+    owner = owner.withColumnsRenamed({"cy": "by", "cx": "bx"})
+    pairs = cell_pairs(probe, points, size, reach).join(owner, ["by", "bx"])
+    parts: list[DataFrame] = []
+    for _ in range(16):
+        pairs = materialize(pairs, "db-rim")
+        whole = pairs.where("inside").groupBy("ay", "ax").agg(F.min("cluster").alias("cluster"))
+        parts.append(_cells(probe, size, "a").join(whole, ["ay", "ax"]).select("y", "x", "cluster"))
+        cut = pairs.where("not inside")
+        crowded = F.col("na") * F.col("nb") > pair_limit
+        placed = place_in_pairs(cut.where(~crowded).select("ay", "ax", "by", "bx", "cluster"), probe, size)
+        p_in, p_out = point_span(size, eps)
+        tests = placed.where(~p_in & ~p_out).select("py", "px", "by", "bx", "cluster")
+        for found in (placed.where(p_in), point_tests(tests, points, size, eps, True)):
+            parts.append(found.groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.min("cluster").alias("cluster")))
+        if cut.where(crowded).isEmpty():
+            return reduce(DataFrame.unionByName, parts).groupBy("y", "x").agg(F.min("cluster").alias("cluster"))
+        pairs = split_pairs(cut.where(crowded), probe, points, size, reach, ("cluster",))
+        size, reach = size / SPLIT, reach * SPLIT
+    raise RuntimeError("points could not be separated; coordinates must be finite")
+
+
 def dbscan_places(df: DataFrame, eps: float, min_samples: int, lat: str = "latitude", lon: str = "longitude",
                   pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(y, x, n, is_core, cluster) per distinct place; noise is -1.
@@ -131,13 +164,8 @@ def dbscan_places(df: DataFrame, eps: float, min_samples: int, lat: str = "latit
     first = named.groupBy("root").agg(F.min(F.struct("cy", "cx")).alias("s")).select("root", "s.cy", "s.cx")
     number = row_index(first, ["cy", "cx"], "cluster").select("root", "cluster")
     cell_cluster = materialize(named.join(number, "root").select("cy", "cx", "cluster"), "db-cell-cluster")
-    core = materialize(core.join(cell_cluster, ["cy", "cx"]), "db-core-cluster")
-    # border places: at most min_samples - 1 of them share a cell, so the pairs stay linear
-    rim = around(_cells(flagged.where("not is_core").select(F.col("y").alias("py"), F.col("x").alias("px"), "y", "x"),
-                        eps / 2.0, "e").select("py", "px", "ey", "ex"), "ey", "ex", "cy", "cx", 2.0)
-    border = (rim.join(small_side(core), ["cy", "cx"])
-              .where(near(F.col("py"), F.col("px"), F.col("y"), F.col("x"), eps, True))
-              .groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.min("cluster").alias("cluster")))
+    core = core.join(cell_cluster, ["cy", "cx"])
+    border = _border(flagged.where("not is_core"), flagged.where("is_core"), cell_cluster, eps, pair_limit)
     labels = core.select("y", "x", "cluster").unionByName(border)
     return flagged.join(labels, ["y", "x"], "left").select(
         "y", "x", "n", "is_core", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
@@ -149,3 +177,25 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, lat: str = "latitude", l
     places = dbscan_places(df, eps, min_samples, lat, lon, pair_limit)
     per = materialize(places.select(F.col("y").alias(lat), F.col("x").alias(lon), "cluster"), "db-labels")
     return df.join(per, [lat, lon], "left").select(*df.columns, "cluster")
+
+
+def dbscan_scaled(df: DataFrame, columns: Sequence[str] = ("latitude", "longitude"), eps: float = 0.1,
+                  min_samples: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Rows with their ``cluster`` by the distance of two standardised columns (mean 0, population deviation 1).
+
+    Rows with a null in a column get NULL.  A column without spread is only shifted.
+    """
+    from .cluster import _scale
+
+    a, b = ((q(c) - F.lit(m)) / F.lit(s) for c, (m, s) in _scale(df, columns, True).items())
+    z = df.withColumns({"_zy": a, "_zx": b})
+    return dbscan(z, eps, min_samples, "_zy", "_zx", pair_limit).drop("_zy", "_zx")
+
+
+def dbscan_report(labelled: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+    """Per cluster, noise (-1) included: rows, share, mean and deviation of the columns; rows without a label are left out."""
+    per = [x for c in columns for x in (F.avg(q(c)).alias(f"{c}_mean"), F.stddev_samp(q(c)).alias(f"{c}_std"))]
+    known = labelled.where(q(label).isNotNull())
+    stats = known.groupBy(label).agg(F.count("*").alias("n"), *per)
+    share = F.col("n") * F.lit(100.0) / known.agg(F.count("*")).scalar()
+    return stats.withColumn("share_pct", share)

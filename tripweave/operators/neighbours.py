@@ -84,7 +84,7 @@ def place_in_pairs(pairs: DataFrame, probe: DataFrame, size: float) -> DataFrame
     return pairs.join(a, ["ay", "ax"])
 
 
-def _point_span(size: float, radius: float) -> tuple[Column, Column]:
+def point_span(size: float, radius: float) -> tuple[Column, Column]:
     """(wholly inside, wholly outside) for the cell by, bx seen from the point py, px."""
     def ends(p: str, c: str) -> tuple[Column, Column]:
         lo = F.col(c).cast("double") * F.lit(size)
@@ -135,7 +135,7 @@ def radius_counts(probe: DataFrame, points: DataFrame, radius: float, inclusive:
         crowded = F.col("na") * F.col("nb") > pair_limit
         # seen from a single point, most of the cut cells are wholly in or out
         placed = place_in_pairs(cut.where(~crowded).select("ay", "ax", "by", "bx", "wb"), probe, size)
-        p_in, p_out = _point_span(size, radius)
+        p_in, p_out = point_span(size, radius)
         hit = point_tests(placed.where(~p_in & ~p_out).select("py", "px", "by", "bx"), points, size, radius, inclusive)
         for found, w in ((placed.where(p_in), "wb"), (hit, "n")):
             parts.append(found.groupBy(F.col("py").alias("y"), F.col("px").alias("x")).agg(F.sum(w).alias("hits")))

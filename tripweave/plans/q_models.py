@@ -63,19 +63,67 @@ def prepare_features(spark, d):
     return features.rounded(cluster.standardize(t, cols).select("event_id", *[f"{c}_z" for c in cols]), 5)
 
 
-@query("dbscan")
+def _dbscan_sql(points: str, eps: float, least: int, last: str) -> str:
+    """Density clusters in SQL over ``pts(event_id, y, x)``: core places, cells of half the radius, their components, borders."""
+    return S.with_views("trips", recursive=True) + f""",
+pts AS ({points}),
+p AS (SELECT y, x, count(*) AS n, floor(y / {eps})::BIGINT AS gy, floor(x / {eps})::BIGINT AS gx FROM pts
+  WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY y, x),
+nb AS MATERIALIZED (SELECT a.y AS ay, a.x AS ax, b.y AS y, b.x AS x, b.n FROM (SELECT *, unnest([gy - 1, gy, gy + 1]) AS ty FROM p) a
+  JOIN p b ON b.gy = a.ty AND b.gx BETWEEN a.gx - 1 AND a.gx + 1
+  WHERE sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) <= {eps}),
+core AS MATERIALIZED (SELECT ay AS y, ax AS x, floor(ay / {eps / 2})::BIGINT AS cy, floor(ax / {eps / 2})::BIGINT AS cx FROM nb GROUP BY ay, ax HAVING sum(n) >= {least}),
+node AS MATERIALIZED (SELECT cy, cx, row_number() OVER (ORDER BY cy, cx) AS id FROM (SELECT DISTINCT cy, cx FROM core)),
+held AS MATERIALIZED (SELECT core.y, core.x, id FROM core JOIN node USING (cy, cx)),
+edge AS MATERIALIZED (SELECT DISTINCT a.id AS u, b.id AS v FROM nb JOIN held a ON a.y = nb.ay AND a.x = nb.ax JOIN held b ON b.y = nb.y AND b.x = nb.x),
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM node UNION
+  SELECT e.v, min(cc.root) FROM cc JOIN edge e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.v WHERE cc.root < r.root GROUP BY e.v),
+num AS (SELECT id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS k FROM cc),
+lab AS (SELECT y, x, k FROM held JOIN num USING (id) UNION ALL
+  SELECT nb.ay, nb.ax, min(k) FROM nb JOIN held b ON b.y = nb.y AND b.x = nb.x JOIN num USING (id)
+  WHERE (nb.ay, nb.ax) NOT IN (SELECT (y, x) FROM core) GROUP BY 1, 2),
+place AS (SELECT p.y, p.x, p.n, core.y IS NOT NULL AS is_core, coalesce(k, -1)::INT AS cluster
+  FROM p LEFT JOIN core ON core.y = p.y AND core.x = p.x LEFT JOIN lab ON lab.y = p.y AND lab.x = p.x)
+{last}"""
+
+
+_RAW = "SELECT event_id, latitude AS y, longitude AS x FROM trips"
+_STD = """SELECT event_id, (latitude - m1) / s1 AS y, (longitude - m2) / s2 AS x FROM trips,
+  (SELECT avg(latitude) AS m1, stddev_pop(latitude) AS s1, avg(longitude) AS m2, stddev_pop(longitude) AS s2 FROM trips)"""
+
+
+@query("dbscan", _dbscan_sql(_RAW, 0.01, 50, """SELECT event_id, latitude, longitude, cluster FROM trips
+LEFT JOIN place ON place.y = latitude AND place.x = longitude"""))
 def dbscan_query(spark, d):
     t = _xy(spark, d).select("event_id", *_LL)
     return dbscan.dbscan(t, 0.01, 50)
 
 
-@query("dbscan_summary")
+@query("dbscan_summary", _dbscan_sql(_RAW, 0.02, 20, """SELECT cluster, sum(n)::BIGINT AS rows, count(*) AS places,
+  count(*) FILTER (is_core) AS core_places FROM place GROUP BY 1"""))
 def dbscan_summary(spark, d):
     places = dbscan.dbscan_places(_xy(spark, d), 0.02, 20)
     return places.groupBy("cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("places"),
                                          F.count_if("is_core").alias("core_places"))
 
 
+@query("dbscan_scaled", _dbscan_sql(_STD, 0.1, 5, """SELECT cluster, count(*) AS n, round(avg(latitude), 6) AS latitude_mean,
+  round(stddev_samp(latitude), 6) AS latitude_std, round(avg(longitude), 6) AS longitude_mean, round(stddev_samp(longitude), 6) AS longitude_std,
+  round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM pts), 6) AS share_pct
+FROM pts JOIN place USING (y, x) JOIN trips USING (event_id) GROUP BY 1"""))
+def dbscan_scaled(spark, d):
+    t = dbscan.dbscan_scaled(_xy(spark, d).select("event_id", *_LL))
+    return features.rounded(dbscan.dbscan_report(materialize(t, "db-scaled"), _LL), 6)
+
+
+@query("dbscan_quality")
+def dbscan_quality(spark, d):
+    """Clusters, noise rows and the three indices of the standardised clustering."""
+    t = materialize(cluster.standardize(dbscan.dbscan_scaled(_xy(spark, d).select("event_id", *_LL)), _LL), "db-scaled")
+    noise = t.where(F.col("cluster") == dbscan.NOISE).agg(F.count("*")).scalar()
+    return cluster.quality_indices(t, [f"{c}_z" for c in _LL]).withColumn("noise_rows", noise)
+
+
 @query("hierarchical")
 def hierarchical(spark, d):
     return cluster.kmeans(_xy(spark, d).select("event_id", *_LL), _LL, 8, algorithm="bisecting")
