@@ -189,6 +189,23 @@ def test_fill_by_mode_and_median(spark):
     assert sorted(r["value"] for r in got) == [1.0, 3.0, 5.5, 8.0, 10.0]
 
 
+def test_first_rows_are_found_on_narrow_columns(spark):
+    rows = [(1.0, None, "b", 5, "x"), (1.0, None, "a", 9, "y"), (1.0, None, "a", 9, "y"), (1.0, 2.0, "c", 1, "z"), (None, None, None, 3, "p"),
+            (None, None, "q", 1, "p"), (-0.0, 1.0, "m", 2, "r"), (0.0, 1.0, "m", 1, "r"), (float("nan"), 1.0, "n", 7, None), (float("nan"), 1.0, "n", 8, "v")]
+    df = spark.createDataFrame(rows, "`k.1` double, k2 double, base string, id int, _w string")
+    got = common.keep_first(df, ["k.1", "k2"], ["base", "id"])
+    assert sorted((r["id"], r["_w"]) for r in got.collect()) == [(1, "r"), (1, "z"), (3, "p"), (7, None), (9, "y")]
+    assert got.columns == df.columns and common.keep_first(df.limit(0), ["k2"], ["id"]).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_modes_keep_their_types(spark):
+    df = spark.createDataFrame([(10, "b", 1.5), (9, "b", None), (10, "a", None), (9, "a", None), (None, None, None)], "i long, s string, d double")
+    assert clean._typed_modes(df, ["i", "s", "d"]) == {"i": 9, "s": "a", "d": 1.5}
+    assert clean._typed_modes(df.where("s IS NULL"), ["i", "s"]) == {"i": None, "s": None}
+
+
 def test_dedupe_is_idempotent(spark):
     rows = [("x", 1.0, 2.0, "b", 2), ("x", 1.0, 2.0, "a", 3), ("x", 1.0, 2.0, "a", 3), ("y", 1.0, 2.0, "c", 1)]
     df = spark.createDataFrame(rows, "datetime string, latitude double, longitude double, base_station string, event_id int")

@@ -85,12 +85,8 @@ def fill_columns(df: DataFrame, fill: dict) -> DataFrame:
 
 def remove_duplicates(df: DataFrame, keys: Sequence[str] = ("datetime", "latitude", "longitude"),
                       order: Sequence[str] = ("base_station", "event_id")) -> DataFrame:
-    """Full-row copies go, then all but the first row per (time, place).
-
-    One aggregate serves both steps: equal rows tie on every order column.
-    """
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    return keep_first(df, list(keys), [c for c in order if c in df.columns] + rest)
+    """Full-row copies go, then all but the first row per (time, place); one search serves both steps."""
+    return keep_first(df, list(keys), [c for c in order if c in df.columns])
 
 
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str] = ("latitude", "longitude"),
@@ -144,13 +140,20 @@ def clean_generic(df: DataFrame, dedupe: bool = True, missing: str = "drop") ->
 
 
 def _typed_modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Mode of each column in its own type, so that ties compare as values."""
-    out = {}
-    for c in columns:
-        top = (df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
-               .orderBy(F.desc("n"), F.asc("v")).limit(1).first())
-        out[c] = top["v"] if top else None
-    return out
+    """Mode of each column in its own type, so that ties compare as values; all columns in one job.
+
+    Every column is a grouping set with one count per value; the largest count, then the least value, wins.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    cells = df.select(*[q(c).alias(n) for c, n in zip(columns, names)])
+    counts = cells.groupingSets([[n] for n in names], *names).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    best = counts.where(F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()).groupBy("g").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), *names)).alias("b"))
+    found = {c: None for c in columns}
+    for row in best.collect():  # a row per column
+        i = next(i for i, n in enumerate(names) if row["b"][n] is not None)
+        found[columns[i]] = row["b"][names[i]]
+    return found
 
 
 def clean_all(df: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import materialize, one_row
+from ..session import materialize, one_row, small_side
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -24,6 +25,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_prefix(names: Sequence[str]) -> str:
+    """A prefix that no name has, for helper columns."""
+    p = "_"
+    while any(n.lower().startswith(p) for n in names):
+        p += "_"
+    return p
+
+
 def tidy_stats(df: DataFrame, columns: Sequence[str], stats: dict, label: str = "column_name") -> DataFrame:
     """One aggregate pass over many columns, returned as one row per column.
 
@@ -58,14 +67,23 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the least one by ``order``.
+    """One row per key, the least one by ``order``; ties go by a hash of the other columns, equal rows count once.
 
-    An aggregate rather than a row-number window: partial aggregation shrinks a
-    hot key before the shuffle, a window would sort all of it in one task.
+    The winner is found on narrow rows (keys, order, hashes), in an aggregate that shrinks a hot key before its shuffle,
+    and only for keys with several rows.  Whole rows then meet that written table: it is broadcast while small, else joined
+    by a shuffled hash, so whole rows are never sorted, and those of a single key stay where they are.
     """
-    rest = [c for c in df.columns if c not in keys]
-    least = F.min_by(F.struct(*[q(c) for c in rest]), F.struct(*[q(c) for c in order])).alias("_r")
-    return df.groupBy(*keys).agg(least).select(*keys, "_r.*").select(*df.columns)
+    names = df.columns
+    rest = [q(c) for c in names if c not in keys and c not in order]
+    mark = F.struct(*[q(c) for c in order], *([F.xxhash64(*rest), F.hash(*rest)] if rest else []), F.lit(0))
+    p = free_prefix(names)
+    found = df.groupBy(*[q(c).alias(f"{p}{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias(p + "n"), F.min(mark).alias(p + "w"))
+    found = materialize(found.where(F.col(p + "n") > 1).drop(p + "n"), "first")
+    same = reduce(lambda x, y: x & y, [q(c).eqNullSafe(F.col(f"{p}{i}")) for i, c in enumerate(keys)])
+    met, first = df.join(small_side(found), same, "left"), F.col(p + "w")
+    alone, several = met.where(first.isNull()), met.where(first.isNotNull()).where(mark == first)
+    columns = [q(c) for c in names]
+    return alone.select(*columns).unionByName(several.select(*columns).distinct())
 
 
 def row_groups(df: DataFrame) -> DataFrame:
