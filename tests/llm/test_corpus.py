@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import os
 
 import numpy as np
@@ -176,6 +177,26 @@ def test_topk_edges(spark):
     assert topk.search(table.limit(0)).count() == 0
 
 
+def test_topk_of_large_short_and_empty_vectors(spark, monkeypatch):
+    """Every finite vector takes part: products beyond doubles, beyond a long, ties, few rows and empty vectors."""
+    monkeypatch.setattr(topk, "SLAB", 2)
+    rows = [(0, [1e17, 3.0]), (1, [2e17, -5.0]), (2, [0.5, 0.25]), (3, [0.5, 0.25]), (4, []), (5, [1e300, -1e300]), (6, [-3e5 - 1 / 64]),
+            (7, [123456789.015625, 987654321.0]), (8, [1.7e308, 0.0]), (20, [3.0, 1e9]), (40, [0.0, -7e4]), (60, [1e160, 2e160])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v = {k: [math.floor(64 * c) for c in x] for k, x in rows if k != 8}  # 64 times row 8 is no finite double
+    want = {}
+    for q in (0, 20, 40, 60):
+        near = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[c])))), c) for c in v if c != q)
+        want.update({(q, r + 1): (c, -n) for r, (n, c) in enumerate(near)})
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(table, every=20, k=20).collect()}
+    assert got == want
+    few = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(table, every=20, k=3).collect()}
+    assert few == {k: x for k, x in want.items() if k[1] <= 3}
+    empty = spark.createDataFrame([(k, []) for k in range(22)], "vec_id bigint, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(empty).collect())
+    assert got == sorted((q, r + 1, c, 0) for q in (0, 20) for r, c in enumerate([c for c in range(22) if c != q][:20]))
+
+
 @pytest.mark.parametrize("size", [50_000, 20])
 @pytest.mark.parametrize("hot", [1 << 14, 3, 1 << 40])
 def test_language_model_equals_brute_force(docs, none, spark, size, hot, monkeypatch):
