@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns other than ``used`` named by their position, so that no name can clash or need quotes.
+
+    ``toDF(*docs.columns)`` on the columns in their old order gives the names back.
+    """
+    return docs.toDF(*(c if c in used else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def as_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and n + 1 offsets; a null counts as an empty text."""
     col = pc.fill_null(col, "").cast(pa.large_binary())

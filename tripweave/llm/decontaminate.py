@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import MULT, PrefixHash, as_bytes, bloom_of, chunks, may_hold, mix, word_bounds
+from .common import MULT, PrefixHash, as_bytes, bloom_of, chunks, may_hold, mix, numbered, word_bounds
 
 N = 4  # words of a seed
 STRETCH = 4  # of so many neighbouring seeds of an item the rarest is always used
@@ -151,6 +151,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> Dat
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """The documents without a test item, with their columns.  Rows with a null doc_id are judged together."""
-    bad = materialize(find_leaks(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "leaking")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents without a test item, with their columns, whatever their names.
+
+    A document is judged by its own text alone, as rows of equal text share their leaks: ids may be null or repeated.
+    """
+    rows = numbered(docs, "doc_id", "text")
+    digest = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+    texts = rows.select(digest.alias("doc_id"), "text")
+    bad = materialize(find_leaks(texts, items, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "leaking")
+    return rows.join(bad, digest == F.col("__bad"), "left_anti").toDF(*docs.columns)

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .common import numbered
 
 NEW = {"domain": "__domain", "n_tokens": "__tokens", "full_epochs": "__full", "last_tokens": "__last"}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,12 +80,16 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], sha
     The budget is ``share`` of all tokens (words).  Each leaf's documents are put in an order of their own in each epoch,
     by MD5 of seed, epoch and doc_id; the leaf takes whole epochs and then a prefix of the next one, whose last document
     may be cut: ``last_tokens`` of it count.  Rows that give no token are left out: empty and null texts, documents
-    behind the prefix.  Null names are the node '' of their level; rows are counted one by one, repeated or not.  No
+    behind the prefix.  Null names are the node '' of their level; a column of ``docs`` named like a new one gives way to it; rows are counted one by one, repeated or not.  No
     window spans a leaf: prefix sums go over 4096 slices of the order and within the slice that the budget cuts.
     """
-    rows = docs.withColumns({"__domain": F.coalesce(domain, F.lit("")), "__lang": F.coalesce("lang", F.lit("")),
-                             "__source": F.coalesce("source", F.lit("")), "__tokens": token_count()})
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in NEW]
+    given = [c for c in (docs.columns if keep is None else keep) if c.lower() not in NEW]
+    plain = numbered(docs, "doc_id", "lang", "source", "text").columns
+    names = dict(zip(docs.columns, plain))
+    kept = [names[c] for c in given]
+    every = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(*every, F.coalesce(domain, F.lit(""))).toDF(*plain, "__domain").withColumns(
+        {"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__tokens": token_count()})
     rows = materialize(rows.select(*dict.fromkeys([*kept, "doc_id", "__domain", "__lang", "__source", "__tokens"])), "tokens")
     leaf = ["__domain", "__lang", "__source"]
     supply = rows.groupBy(*(F.col(c).alias(c[2:]) for c in leaf)).agg(F.sum("__tokens").alias("supply"))
@@ -105,4 +110,5 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], sha
     part = placed.where(cut).withColumn("__done", F.col("__before") + F.coalesce(F.sum("__tokens").over(order), F.lit(0)))
     part = part.withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - F.col("__done")))).drop("__done")
     both = whole.unionByName(part).where("__full > 0 OR __last > 0")
-    return both.select(*(F.col(f"`{c}`") for c in kept), *(F.col(v).cast("string" if k == "domain" else "bigint").alias(k) for k, v in NEW.items()))
+    new = [F.col(v).cast("string" if k == "domain" else "bigint") for k, v in NEW.items()]
+    return both.select(*kept, *new).toDF(*given, *NEW)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import components, groups
+from .common import components, groups, numbered
 
 SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)  # widths of the parts of a fingerprint; at radius 3 two of five parts agree
@@ -193,18 +193,19 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, with its columns.
 
     Documents that share that doc_id and component are repeated rows; one of them stays.  The same holds for
-    components in which every doc_id is null.
+    components in which every doc_id is null.  Other columns may have any name.
     """
+    names, docs = docs.columns, numbered(docs, "doc_id", "text")
     found = materialize(near_duplicates(docs, width, radius), "near")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
         F.count("*").alias("__n"))
     keep = materialize(keep, "near-keep")
     kept = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "inner").drop("__id")
     if keep.where("__n > 1").isEmpty():
-        return kept.drop("__n")
+        return kept.drop("__n").toDF(*names)
     single = kept.where("__n = 1").drop("__n")
     again = kept.where("__n > 1").drop("__n")
-    marked = fingerprints(again.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), width, key="__row")
+    marked = fingerprints(again.withColumn("__row", F.struct(*docs.columns)), width, key="__row")
     comp = found.select("fp", F.col("component_id").alias("__c")).distinct()
     marked = marked.join(comp, "fp").where(F.col("__row.doc_id").eqNullSafe(F.col("__c")))
-    return single.unionByName(marked.groupBy("__c").agg(F.min_by("__row", F.xxhash64("__row")).alias("r")).select("r.*"))
+    return single.unionByName(marked.groupBy("__c").agg(F.min_by("__row", F.xxhash64("__row")).alias("r")).select("r.*")).toDF(*names)

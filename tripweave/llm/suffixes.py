@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import as_bytes, chunks, groups, mix
+from .common import as_bytes, chunks, groups, mix, numbered
 
 GRAM = 40  # bytes of an anchor
 PERIOD = 31  # of the difference cover
@@ -363,16 +363,12 @@ def cut_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) ->
 def clean_texts(docs: DataFrame, length: int = 200) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` and ``n_chars``, if there, counted anew.
 
-    A null text stays null.  A text that is nothing but repeats becomes empty.
+    A null text stays null.  A text that is nothing but repeats becomes empty.  Other columns may have any name.
     """
-    cut = cut_repeats(docs.withColumn("__null", F.col("text").isNull()), length, with_text=True)
-    text = F.when(~F.col("__null"), F.col("kept_text")).alias("text")
-    out = []
-    for c in docs.columns:
-        if c == "text":
-            out.append(text)
-        elif c == "n_chars":
-            out.append(F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return cut.select(*out)
+    rows = numbered(docs, "doc_id", "text", "n_chars")
+    cut = cut_repeats(rows.withColumn("is_null", F.col("text").isNull()), length, with_text=True)
+    out = {"text": F.when(~F.col("is_null"), F.col("kept_text")),
+           "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = out["n_chars"].cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(out[c].alias(c) if c in out else F.col(c) for c in rows.columns)).toDF(*docs.columns)
