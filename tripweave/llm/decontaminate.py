@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialize
 from .common import MULT, PrefixHash, as_bytes, bloom_of, chunks, may_hold, mix, numbered, word_bounds
 
-N = 4  # words of a seed
+N = 3  # words of a seed; an item of 9 words or more with a score of 0.6 by replaced words alone has such a run left
 STRETCH = 4  # of so many neighbouring seeds of an item the rarest is always used
-RARE = 64  # seeds in so few passages are all used
+RARE = 256  # seeds in so few passages are all used
 MARGIN = 48  # words around the outermost seeds that are aligned too
 FULL = 40  # words of a long item that make a full score
 MATCH, MISMATCH, GAP = 2, -1, -1
