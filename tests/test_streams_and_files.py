@@ -147,6 +147,28 @@ def test_waits_of_shuffled_files_equal_the_batch(spark):
     assert sum(x[2] for x in got.values()) + dropped == sum(r[4] > 0 for r in late)
 
 
+def test_waits_need_no_state_store_and_count_every_late_row(spark):
+    rows = events(300, minutes=40) + [(10**5 + k, dt.datetime(2024, 1, 1, 8, 50, 0, k), 1, None, 2.0) for k in range(3)]
+    first = [r for r in rows if r[1].minute < 30 or r[3] is None]
+    last = [r for r in rows if r not in first] + [first[0]] * 3  # of a closed minute, one and the same row three times
+    src, old = scratch_path(spark, "plain"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in (first, last, [(10**6, dt.datetime(2024, 1, 2), 1, "~", 1.0)]):
+        add_file(as_rides(spark, part), src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        found, dropped = waits.run_waits(run.read_rides(spark, src, files_per_trigger=1))
+        got = {r.pickup_area: (r.n, r.avg_wait, r.late) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    top = max(r[1] for r in first)
+    gone = [r for r in last if r[1].replace(second=0, microsecond=0) + dt.timedelta(minutes=11) <= top]
+    kept = [r for r in rows if r not in gone or r in first]
+    assert sum(x[2] for x in got.values()) + dropped == sum(r[4] > 0 for r in gone) and len(gone) >= 3
+    for a in {r[3] for r in kept if r[4] > 0}:
+        some = [r for r in kept if r[3] == a]
+        assert got[a][0] == sum(r[4] > 0 for r in some) and got[a][1] == pytest.approx(smoothed(some))
+
+
 def test_vehicles_are_counted_once_per_window(spark):
     rows = events(1200, minutes=90)
     src = scratch_path(spark, "vehicles")
