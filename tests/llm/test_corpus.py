@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from tripweave.llm import decontaminate, lm, mixing, passages, q_mixing, quality, simhash, suffixes, topk, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +134,18 @@ def test_quality(spark, docs, none):
     assert [r.score for r in quality.classify(docs, labels.limit(0)).select("score").distinct().collect()] == [pytest.approx(0.3)]
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    n = 30_000
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"))
+    rare = rows.where("doc_id % 3 = 0").orderBy(F.desc(h)).first().doc_id  # the only row with feature 5, last in the order of the hash
+    labelled = rows.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"), F.array(*[
+        (F.col("doc_id") == rare).cast("double") if k == 5 else F.rand(k) for k in range(len(quality.FEATURES))]).alias("__features"))
+    m = quality.fit(labelled)
+    assert m.weights[5] > 0
+    assert quality.fit(labelled) == m
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/b\r\nc", "x" * 100_000), (3, None, "same"), (4, "u", "same"), (4, "t", "same"), (9, "u", None), (7, "u", ""), (None, "u", "same"),
             (3, "z", "same"), (3, "z", "same"), (12, "u", "WARC/1.1 \x1f\u00e9")]

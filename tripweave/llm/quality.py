@@ -9,9 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..operators.common import row_index
 from ..session import materialize
 from .common import PrefixHash, as_bytes, chunks, numbered, word_bounds
 
@@ -85,30 +87,29 @@ class Model:
         return 1 / (1 + F.exp(-(raw - F.lit(self.threshold) + F.lit(math.log(CUT / (1 - CUT))))))
 
 
-def fit(labelled: DataFrame, label: str = "quality", key: str = "doc_id", max_rows: int = 10_000, pairs_per_row: int = 8) -> Model:
-    """Learn scores from preferences: each document of label 1 is preferred to ``pairs_per_row`` of label 0.
+DIRECT = 1_000_000  # scores whose quantiles are interpolated in one map; of more, order statistics of a sketch over all rows
 
-    ``labelled`` has ``__features``, ``key`` and ``label``; rows with a null are left out.  At most about ``max_rows``
-    rows are used, the ones with the smallest hash of their key.  The logistic loss on feature differences is minimised
-    by Spark's logistic regression without intercept.  The threshold is the score quantile, among 400 levels, with the
-    fewest wrong labels; between levels that are equally good the middle is taken.  Without both labels all
-    weights are 0 and every document gets CUT.
+
+def fit(labelled: DataFrame, label: str = "quality", key: str = "doc_id", pairs_per_row: int = 8) -> Model:
+    """Learn scores from preferences: each document of the more frequent label is paired with ``pairs_per_row`` of the other.
+
+    ``labelled`` has ``__features``, ``key`` and ``label``; rows with a null are left out, all others are used.  Rows of
+    either label are numbered in the order of a hash of their key, and pairs meet in a join on these numbers.  The logistic
+    loss on feature differences is minimised by Spark's logistic regression without intercept.  The threshold is the score
+    quantile, among 400 levels, with the fewest wrong labels of all rows; between levels that are equally good the middle is
+    taken.  Without both labels all weights are 0 and every document gets CUT.
     """
     rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).alias("y"), "__features")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = materialize(rows, "labelled")
+    rows = materialize(rows.withColumn("__h", F.xxhash64(key)), "labelled")
     by_label = dict(rows.groupBy("y").count().collect())
     good, bad = by_label.get(1, 0), by_label.get(0, 0)
     if not good or not bad:
         return Model((0.0,) * len(FEATURES), 0.0)
-    at = Window.partitionBy("y").orderBy(F.xxhash64(key), key)
-    ranked = materialize(rows.withColumn("i", F.row_number().over(at) - 1), "ranked")  # at most max_rows rows
     few, many, n_few = (0, 1, bad) if bad < good else (1, 0, good)
-    left = ranked.where(F.col("y") == many).select(F.col("__features").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(pairs_per_row - 1))).alias("s"), "i")
+    left, right = (row_index(rows.where(F.col("y") == y), ["__h", key, "__features"], "i", small=50_000) for y in (many, few))
+    left = left.select(F.col("__features").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(pairs_per_row - 1))).alias("s"), "i")
     left = left.withColumn("j", F.pmod(F.col("i") * pairs_per_row + F.col("s") * 7919, F.lit(n_few)))
-    right = ranked.where(F.col("y") == few).select(F.col("__features").alias("g"), F.col("i").alias("j"))
+    right = right.select(F.col("__features").alias("g"), F.col("i").alias("j"))
     better, worse = ("f", "g") if many == 1 else ("g", "f")
     sign = F.when(F.pmod(F.col("i") + F.col("s"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     pairs = left.join(right, "j").withColumn("sign", sign).select(
@@ -117,10 +118,11 @@ def fit(labelled: DataFrame, label: str = "quality", key: str = "doc_id", max_ro
     lr = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=60, standardization=True)
     w = tuple(float(x) for x in lr.fit(pairs).coefficients)
     scored = rows.select("y", sum((F.get("__features", F.lit(k)) * F.lit(x) for k, x in enumerate(w)), F.lit(0.0)).alias("r"))
-    levels = [k / 400 for k in range(401)]
-    cuts = sorted(set(scored.agg(F.percentile("r", F.lit(levels))).first()[0]))
-    side = F.array_size(F.filter(F.lit(cuts), lambda c: c <= F.col("r")))
-    seen = {(r["y"], r["k"]): r["n"] for r in scored.groupBy("y", side.alias("k")).agg(F.count("*").alias("n")).collect()}
+    levels = F.lit([k / 400 for k in range(401)])
+    cuts = F.percentile("r", levels) if good + bad <= DIRECT else F.percentile_approx("r", levels, 100_000)
+    cuts = sorted(set(scored.agg(cuts).first()[0]))
+    side = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="r", outputCol="k").transform(scored)  # cuts not above r
+    seen = {(r["y"], int(r["k"])): r["n"] for r in side.groupBy("y", "k").agg(F.count("*").alias("n")).collect()}
     wrong, errors = bad, []  # cut k rejects the rows below it
     for k in range(len(cuts)):
         wrong += seen.get((1, k), 0) - seen.get((0, k), 0)
@@ -136,26 +138,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Labels of held-out documents, null labels and labels without a document are not used.  Repeated documents are
     scored each; a repeated label counts once when it agrees.  Null and empty texts have the features of an empty text.
     Other columns of ``docs`` play no part.
     """
-    scored, model = _scored(docs.select("doc_id", "text"), labels, ["doc_id"], max_rows)
+    scored, model = _scored(docs.select("doc_id", "text"), labels, ["doc_id"])
     out = scored.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], max_rows: int) -> tuple[DataFrame, Model]:
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> tuple[DataFrame, Model]:
     feats = materialize(with_features(docs, keep), "features")
     used = labels.select("doc_id", "quality").where(~held_out()).distinct()
-    return feats, fit(feats.select("doc_id", "__features").join(used, "doc_id"), max_rows=max_rows)
+    return feats, fit(feats.select("doc_id", "__features").join(used, "doc_id"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their columns, whatever their names; each is scored where it lies."""
-    _, model = _scored(docs.select("doc_id", "text"), labels, ["doc_id"], max_rows)
+    _, model = _scored(docs.select("doc_id", "text"), labels, ["doc_id"])
     rows = numbered(docs, "doc_id", "text")
     return with_features(rows, rows.columns).where(model.score() >= CUT).drop("__features").toDF(*docs.columns)
