@@ -12,6 +12,7 @@ from tripweave.functions.geo import equal_width_bin, in_city
 from tripweave.functions.numbers import human_number, normal_quantile
 from tripweave.operators import chartdata, clean, cluster, common, dbscan, encode, explore, metrics, neighbours, quality, series
 from tripweave.operators.quantile import exact_quantiles
+from tripweave import session
 from tripweave.session import materialize
 from tripweave.sources import sampling
 
@@ -454,6 +455,33 @@ def test_kmeans_starts_beat_a_single_one(spark):
     assert [r.cluster for r in cluster.kmeans(lonely.where("a IS NULL"), ["a", "b"], 4).collect()] == [None]
 
 
+def test_k_scan_equals_the_indices_of_its_labels(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(c, s, (200, 2)) for c, s in [((40, -74), 0.3), ((43, -74), 1), ((45, -70), 0.1)]])
+    df = spark.createDataFrame(pd.DataFrame(xy, columns=["a", "b"])).unionByName(spark.createDataFrame([(None, 1.0), (60.0, 60.0)], "a double, b double"))
+    got = {r.k: r for r in cluster.k_scan(df, ["a", "b"], [2, 4, 7], scaled=False).collect()}
+    found = cluster.fit_centers(df, [2, 4, 7])
+    for k, (centers, cost) in found.items():
+        want = cluster.quality_indices(df.withColumn("cluster", cluster.nearest([F.col("a"), F.col("b")], centers)), ["a", "b"]).first()
+        assert got[k].inertia == pytest.approx(cost) and tuple(got[k])[2:] == pytest.approx(tuple(want))
+    one = cluster.k_scan(df.where("a IS NULL"), ["a", "b"], [2], scaled=False).first()
+    assert tuple(one) == (2, 0.0, 0, 0.0, 0.0, 0.0)
+
+
+def test_k_means_moves_over_all_rows_in_few_scans(spark, monkeypatch):
+    df = spark.range(60_000).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    calls, plain = [], cluster._pass
+    monkeypatch.setattr(cluster, "_pass", lambda base, jobs: calls.append(len(jobs)) or plain(base, jobs))
+    cluster.fit_centers(df, [12])
+    assert len(calls) <= 4 and cluster.kmeans(df, ["a", "b"], 3).select("cluster").distinct().count() == 3
+
+
+def test_tasks_hold_few_rows_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    sizes = [r.n for r in session.spread_rows(spark.range(0, 5_000, 1, 1)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= 110
+
+
 def test_distinct_values_of_every_type(spark):
     from tripweave.operators import explore
 

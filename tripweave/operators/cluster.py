@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import cyclic_pair
 from ..functions.numbers import r, ratio
-from ..session import in_parallel, materialize, one_row, small_side, spread_small
+from ..session import materialize, one_row, small_side, spread_rows
 from .common import q, tidy_stats
 
 SEED = 42
@@ -51,23 +51,63 @@ def _seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out)
 
 
-def _settle(rows: np.ndarray, centers: np.ndarray, turns: int = 40) -> np.ndarray:
-    """The centres after some rounds among a few rows."""
-    shift = rows.mean(0)
+def _settle(rows: np.ndarray, weight: np.ndarray, centers: np.ndarray, limit: float, turns: int) -> np.ndarray:
+    """The centres after some rounds among a few weighted rows."""
+    shift = np.average(rows, 0, weight)
     rows, centers = rows - shift, centers - shift
     for _ in range(turns):
         near = ((centers * centers).sum(1) - 2 * rows @ centers.T).argmin(1)
-        n = np.bincount(near, minlength=len(centers))
-        total = np.stack([np.bincount(near, x, len(centers)) for x in rows.T], 1)
-        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
-        if np.allclose(new, centers, rtol=0, atol=1e-12):
+        n = np.bincount(near, weight, len(centers))
+        total = np.stack([np.bincount(near, x * weight, len(centers)) for x in rows.T], 1)
+        new = np.where(n[:, None] > 0, total / np.where(n > 0, n, 1)[:, None], centers)
+        moved, centers = ((new - centers) ** 2).sum(), new
+        if moved <= limit:
             break
-        centers = new
     return centers + shift
 
 
-def _pass(base: DataFrame, jobs: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Per job the sizes, sums and cost of its clusters, for all jobs in one scan; a task sends a row per job and cluster."""
+def _cells(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and number of the rows of each cell of a grid of at most CELLS cells over all rows."""
+    cols = base.columns
+    bins = max(int(CELLS ** (1 / len(cols)) + 1e-9), 1)
+    ends = one_row(base.agg(*[f(c).alias(f"{n}{c}") for c in cols for n, f in (("lo_", F.min), ("hi_", F.max))]))
+    at = [F.least(F.floor((F.col(c) - ends[f"lo_{c}"]) / ((ends[f"hi_{c}"] - ends[f"lo_{c}"]) / bins or 1.0)), F.lit(bins - 1)).alias(f"c_{c}") for c in cols]
+    found = base.groupBy(*at).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols]).toPandas()  # at most CELLS rows
+    return found[cols].to_numpy(), found["n"].to_numpy(float)
+
+
+def _settled(base: DataFrame, some: np.ndarray, jobs: list[tuple[int, np.ndarray]], limit: float) -> dict[int, np.ndarray]:
+    """Centres of every start, settled among some rows and then among the cells of all rows, a start to a task.
+
+    Starts of one k that end within ``limit`` of each other have found the same centres, and one of them goes on.
+    """
+    sc = base.sparkSession.sparkContext
+    shared = sc.broadcast((some, *_cells(base), jobs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, cells, weight, jobs = shared.value
+        for b in batches:
+            for j in b.column(0).to_pylist():
+                c = _settle(some, np.ones(len(some)), jobs[j][1], limit / 100, 40)
+                c = _settle(cells, weight, c, limit / 100, 200)
+                c = c[np.lexsort(c.T[::-1])]
+                yield pa.RecordBatch.from_arrays([pa.array([j]), pa.array([c.ravel().tolist()], pa.list_(pa.float64()))], ["j", "c"])
+
+    found = base.sparkSession.range(len(jobs), numPartitions=min(len(jobs), 2 * sc.defaultParallelism)).mapInArrow(run, "j bigint, c array<double>").collect()  # a row per start
+    out: dict[int, np.ndarray] = {}
+    for j, c in sorted((x["j"], np.array(x["c"]).reshape(-1, some.shape[1])) for x in found):
+        if not any(jobs[i][0] == jobs[j][0] and d.shape == c.shape and ((d - c) ** 2).sum() <= limit for i, d in out.items()):
+            out[j] = c
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that their distances to all centres stay small."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def _pass(base: DataFrame, jobs: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per job the sizes, sums and costs of its clusters, for all jobs in one scan; a task sends a row per job and cluster."""
     dims = len(base.columns)
     every = np.concatenate(list(jobs.values()))
     shift = every.mean(0)  # squares of small numbers lose fewer digits
@@ -76,7 +116,7 @@ def _pass(base: DataFrame, jobs: dict[int, np.ndarray]) -> dict[int, tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {j: np.zeros((len(c), dims + 2)) for j, c in jobs.items()}
-        for b in batches:
+        for b in _slices(batches):
             rows = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(dims)]) - shift
             gaps = (every * every).sum(1) - 2 * rows @ every.T  # less the row's own square, which is the same for all centres
             own, at = np.einsum("ij,ij->i", rows, rows), np.arange(len(rows))
@@ -95,11 +135,12 @@ def _pass(base: DataFrame, jobs: dict[int, np.ndarray]) -> dict[int, tuple[np.nd
     out = out.groupBy("job", "c").agg(*[F.sum(n).alias(n) for n in names[2:]]).toPandas()  # a row per job and cluster
     found = {}
     for j, g in out.sort_values(["job", "c"]).groupby("job"):
-        found[int(j)] = (g["n"].to_numpy(), g[names[4:]].to_numpy(), float(g["cost"].sum()))
+        found[int(j)] = (g["n"].to_numpy(), g[names[4:]].to_numpy(), g["cost"].to_numpy())
     return found
 
 
 STARTS, SAMPLE = 10, 4_096  # k-means: starts, and the rows from which first centres are drawn
+CELLS = 1 << 14  # cells of the grid that stands for all rows until centres have settled
 
 
 def fit_centers(base: DataFrame, ks: Sequence[int], starts: int = STARTS, seed: int = SEED, passes: int = 100,
@@ -107,8 +148,8 @@ def fit_centers(base: DataFrame, ks: Sequence[int], starts: int = STARTS, seed:
     """Centres and cost of the best of several starts for every k; ``base`` has the numeric inputs alone.
 
     All starts of all k move together, one scan a pass; a start is done when its centres move by less than ``tol`` of the
-    mean variance.  First centres are drawn from SAMPLE rows in the order of a hash and settled among these, which spares most
-    passes; from there on every pass and every cost covers all rows.
+    mean variance.  First centres are drawn from SAMPLE rows in the order of a hash and settled among these and then among the
+    means of at most CELLS cells of all rows, which spares most passes; from there on every pass and every cost covers all rows.
     Rows with nulls are left out; without rows there are no centres.
     """
     cols = base.columns
@@ -117,12 +158,12 @@ def fit_centers(base: DataFrame, ks: Sequence[int], starts: int = STARTS, seed:
     if not len(some):
         return {k: (np.zeros((0, len(cols))), 0.0) for k in ks}
     rng = np.random.default_rng(seed)
-    jobs = [(k, _settle(some, _seeds(some, k, rng))) for k in ks for _ in range(starts)]
+    jobs = [(k, _seeds(some, k, rng)) for k in ks for _ in range(starts)]
     limit = tol * float(some.var(0).mean())
-    live, best = {j: c for j, (_, c) in enumerate(jobs)}, {}
+    live, best = _settled(base, some, jobs, limit), {}
     for turn in range(passes + 1):
-        for j, (n, total, cost) in _pass(base, live).items():
-            old, k = live[j], jobs[j][0]
+        for j, (n, total, costs) in _pass(base, live).items():
+            old, k, cost = live[j], jobs[j][0], float(costs.sum())
             new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
             if ((new - old) ** 2).sum() <= limit or turn == passes:
                 del live[j]
@@ -166,14 +207,14 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 8, scaled: bool = True,
     """
     scale = _scale(df, cols, scaled)
     z = {c: (q(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scale.items()}
-    base = materialize(spread_small(df.select(*[z[c].alias(f"z{i}") for i, c in enumerate(cols)])), "kmeans")
+    base = materialize(spread_rows(df.select(*[z[c].alias(f"z{i}") for i, c in enumerate(cols)])), "kmeans")
     centers = fit_centers(base, [k], starts, seed)[k][0] if algorithm == "kmeans" else _bisecting(base.dropna(), base.columns, k, seed)
     return df.withColumn(name, nearest([z[c] for c in cols], centers[np.lexsort(centers.T[::-1])]))
 
 
 def cluster_columns(df: DataFrame, sizes: Sequence[int] = (5, 8, 10), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """One k-means label column per size, on raw degrees; all sizes are fitted together."""
-    base = materialize(spread_small(df.select(lat, lon)), "cluster-input")
+    base = materialize(spread_rows(df.select(lat, lon)), "cluster-input")
     found = fit_centers(base, sizes)
     return df.withColumns({f"cluster_{k}": nearest([q(lat), q(lon)], c[np.lexsort(c.T[::-1])]) for k, (c, _) in found.items()})
 
@@ -287,18 +328,81 @@ def quality_indices(df: DataFrame, cols: Sequence[str], label: str = "cluster")
                    ch.alias("calinski_harabasz")).withColumn("davies_bouldin", worst)
 
 
+def _silhouettes(base: DataFrame, jobs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Per job a table (sum of silhouettes, of squared distances, of distances to the own mean), a row per cluster.
+
+    ``jobs`` has the centres that deal out the rows, and the means and spreads of the clusters; one scan for all jobs.
+    """
+    dims = len(base.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {j: np.zeros((len(c), 3)) for j, (c, *_) in jobs.items()}
+        for b in _slices(batches):
+            rows, at = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(dims)]), np.arange(b.num_rows)
+            for j, (centers, size, mids, spread) in jobs.items():
+                shift = centers.mean(0)
+                x, c, m = rows - shift, centers - shift, mids - shift
+                near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+                gap = np.maximum((m * m).sum(1) - 2 * x @ m.T + np.einsum("ij,ij->i", x, x)[:, None], 0)
+                w, far = gap[at, near], gap + spread
+                n = size[near]
+                own = far[at, near] * n / np.maximum(n - 1, 1)
+                far[:, size == 0] = np.inf
+                far[at, near] = np.inf
+                other = far.min(1)
+                top = np.maximum(own, other)
+                s = np.where((n > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0.0)
+                for i, v in enumerate((s, w, np.sqrt(w))):
+                    sums[j][:, i] += np.bincount(near, v, len(centers))
+        cells = [(j, c, *row) for j, table in sums.items() for c, row in enumerate(table)]
+        cols = list(zip(*cells)) if cells else [[]] * 5
+        kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], ["job", "c", "s", "w", "d"])
+
+    out = base.mapInArrow(run, "job int, c int, s double, w double, d double").groupBy("job", "c").agg(
+        F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("d").alias("d")).toPandas()  # a row per job and cluster
+    return {int(j): g[["s", "w", "d"]].to_numpy() for j, g in out.sort_values(["job", "c"]).groupby("job")}
+
+
+def indices_of_centers(base: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[int, float, float, float]]:
+    """(clusters, silhouette, Calinski-Harabasz, Davies-Bouldin) of several clusterings of ``base`` by nearest centre.
+
+    The figures of ``quality_indices``, for all clusterings together in two scans; few clusters each, numeric columns alone.
+    """
+    base = base.dropna()
+    out = {j: (0, 0.0, 0.0, 0.0) for j in centers}
+    first = {j: x for j, x in _pass(base, {j: c for j, c in centers.items() if len(c)}).items()} if any(map(len, centers.values())) else {}
+    jobs = {}
+    for j, (n, total, cost) in first.items():
+        size = np.where(n > 0, n, 1)
+        mids = np.where(n[:, None] > 0, total / size[:, None], centers[j])
+        spread = np.where(n > 0, np.maximum(cost / size - ((mids - centers[j]) ** 2).sum(1), 0), 0)
+        out[j] = (int((n > 0).sum()), 0.0, 0.0, 0.0)
+        if out[j][0] > 1:
+            jobs[j] = (centers[j], n, mids, spread)
+    for j, table in (_silhouettes(base, jobs) if jobs else {}).items():
+        _, n, mids, _ = jobs[j]
+        keep = n > 0
+        n, mids, (s, w, d) = n[keep], mids[keep], table[keep].T
+        rows, k = n.sum(), len(n)
+        between = (n * ((mids - np.average(mids, 0, n)) ** 2).sum(1)).sum()
+        ch = (between / (k - 1)) / (w.sum() / (rows - k)) if w.sum() > 0 and rows > k else 1.0
+        gap = np.sqrt(((mids[:, None] - mids) ** 2).sum(2))
+        near = d / n
+        db = np.where(gap > 0, (near[:, None] + near) / np.where(gap > 0, gap, 1), 0.0).max(1).mean()
+        out[j] = (k, float(s.sum() / rows), float(ch), float(db))
+    return out
+
+
 def k_scan(df: DataFrame, cols: Sequence[str], ks: Sequence[int], scaled: bool = True, seed: int = SEED, starts: int = STARTS) -> DataFrame:
     """Per k: inertia of the best of ``starts`` and the three indices, over one prepared input."""
-    base = materialize(spread_small(standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols)), "kscan")
+    base = standardize(df, cols).select(*[f"{c}_z" for c in cols]) if scaled else df.select(*cols)
+    base = base.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(base.columns)])
+    base = materialize(spread_rows(base), "kscan")
     found = fit_centers(base, list(ks), starts, seed)
-
-    def one(k: int) -> DataFrame:
-        centers, inertia = found[k]
-        labelled = base.withColumn("cluster", nearest([q(c) for c in base.columns], centers))
-        return quality_indices(labelled, base.columns).select(
-            F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "clusters", "silhouette", "calinski_harabasz", "davies_bouldin")
-
-    return reduce(DataFrame.unionByName, in_parallel(one, ks))
+    figures = indices_of_centers(base, {k: c for k, (c, _) in found.items()})
+    rows = [(k, found[k][1], *figures[k]) for k in ks]
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, clusters bigint, silhouette double, calinski_harabasz double, davies_bouldin double")
 
 
 def pick_k(scan: DataFrame, method: str) -> int:
