@@ -482,6 +482,24 @@ def test_tasks_hold_few_rows_of_a_large_table(spark, monkeypatch):
     assert sum(sizes) == 5_000 and max(sizes) <= 110
 
 
+def test_bisecting_keeps_few_rows_a_task(spark, monkeypatch):
+    seen, plain = [], cluster.BisectingKMeans
+
+    class Watched:
+        def __init__(self, **kw):
+            self.inner = plain(**kw)
+
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return self.inner.fit(df)
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    monkeypatch.setattr(cluster, "BisectingKMeans", Watched)
+    df = materialize(spark.range(4_000).select(F.rand(1).alias("a"), F.rand(2).alias("b")), "bisecting")
+    found = cluster._bisecting(df, ["a", "b"], 3, 42)
+    assert seen == [40] and len(found) == 3 and len({tuple(c) for c in found}) == 3
+
+
 def test_distinct_values_of_every_type(spark):
     from tripweave.operators import explore
 

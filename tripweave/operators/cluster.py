@@ -195,7 +195,8 @@ def _scale(df: DataFrame, cols: Sequence[str], scaled: bool) -> dict[str, tuple[
 
 
 def _bisecting(df: DataFrame, cols: Sequence[str], k: int, seed: int) -> np.ndarray:
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_vec").fit(VectorAssembler(inputCols=list(cols), outputCol="_vec").transform(df))
+    rows = spread_rows(df.select(*cols))  # kept in memory by tasks, whatever the files were packed to
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_vec").fit(VectorAssembler(inputCols=list(cols), outputCol="_vec").transform(rows))
     return np.array([list(c) for c in model.clusterCenters()])
 
 
