@@ -192,6 +192,23 @@ def test_stream_equals_batch(spark):
         assert s == sorted(map(repr, fn(batch).collect()))
 
 
+@needs_data
+def test_large_parts_are_several_files_and_one_batch(spark, monkeypatch):
+    from tripweave.plans import q_stream
+
+    monkeypatch.setattr(q_stream, "FILE_ROWS", 60, raising=False)
+    seen = []
+
+    def handle(df, k):
+        row = df.withColumn("file", F.input_file_name()).agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.countDistinct("file").alias("files")).first()
+        seen.append((row.n, row.files, row.lo, row.hi))
+
+    run.run_batches(q_stream._stream(spark, SF), handle)
+    rides = views.ride_events(spark, SF)
+    assert len(seen) == q_stream.PARTS and sum(x[0] for x in seen) == rides.count() and min(x[1] for x in seen) > 1
+    assert all(a[3] <= b[2] + dt.timedelta(minutes=10) for a, b in zip(seen, seen[1:]))
+
+
 def test_alert_rules(spark):
     st = spark.createDataFrame([("2024-01-02 00:00:00", 80, 9.0, 0.1)], "t string, high_demand long, high_wait_time double, low_vehicle_availability double")
     st = st.withColumn("as_of", F.expr("cast(t as timestamp_ntz)"))
