@@ -156,3 +156,17 @@ def test_grid_search_goes_on_where_it_stopped(spark, monkeypatch):
     best = min(two, key=lambda r: r.mse)
     assert best.params == "{'regParam': 0.0}" and best.mse < 3
     assert len(list(models.FOREST_GRID)) == 4 and all(len(v) == 3 for g in (models.FOREST_GRID, models.BOOST_GRID) for v in g.values())
+
+
+def test_ensemble_fits_at_a_time_on_a_table_of_many_files(spark, monkeypatch):
+    import threading
+
+    trips = spark.range(2000).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id % 7919) AS datetime", "id % 7 / 10.0D AS latitude",
+                                         "id % 11 / 10.0D AS longitude", "concat('b', id % 3) AS base_station")
+    table = models.prepare(models.demand_table(trips, ["base_station"]), ["base_station", "hour_date"])
+    assert table.select(F.input_file_name().alias("f")).distinct().count() > 1
+    met, real = threading.Barrier(2), models.fit
+    monkeypatch.setattr(models, "fit", lambda *a, **kw: (met.wait(60), real(*a, **kw))[1])
+    out = models.ensemble(table, {"linear": {}, "random_forest": {"numTrees": 2, "maxDepth": 2}}, ["base_station"]).collect()
+    assert len(out) == table.count()
+    assert all(r["prediction"] == pytest.approx((r["p_linear"] + r["p_random_forest"]) / 2) for r in out)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import hour_start
 from ..functions.numbers import r
-from ..session import in_parallel, materialize, scratch_path
+from ..session import in_parallel, materialize, scratch_path, spread
 from .encode import hash_share, mark_test
 from .metrics import regression_aggregates
 
@@ -36,9 +36,12 @@ def row_key(keys: Sequence[str]) -> Column:
 
 
 def prepare(df: DataFrame, keys: Sequence[str], share: float = 0.2) -> DataFrame:
-    """Written once: model table with a row key and a fixed train/test mark."""
-    d = df.withColumn("row_key", row_key(keys))
-    return materialize(mark_test(d, F.col("row_key"), share), "model-table")
+    """Written once: model table with a row key and a fixed train/test mark.
+
+    It is dealt by row key to files for all cores: learners scan it thousands of times, and one file is read by one task.
+    """
+    d = mark_test(df.withColumn("row_key", row_key(keys)), F.col("row_key"), share)
+    return materialize(spread(d, "row_key").sortWithinPartitions("row_key"), "model-table")
 
 
 def regressor(name: str, **kw):
@@ -129,11 +132,12 @@ def weighted_vote(df: DataFrame, columns: Sequence[str], weights: Sequence[float
 
 
 def ensemble(table: DataFrame, specs: dict[str, dict], categorical: Sequence[str] = (), weights: Sequence[float] | None = None) -> DataFrame:
-    """Every model scores the same rows in turn, so no join of outputs is needed."""
+    """All models are fitted at a time; each scores the same rows in turn, so no join of outputs is needed."""
+    fitted = in_parallel(lambda spec: fit(table, spec[0], categorical, **spec[1]), specs.items())
     d = as_double(table)
     keep = d.columns
-    for name, kw in specs.items():
-        d = fit(table, name, categorical, **kw).transform(d).select(*keep, F.col("prediction").alias(f"p_{name}"))
+    for name, m in zip(specs, fitted):
+        d = m.transform(d).select(*keep, F.col("prediction").alias(f"p_{name}"))
         keep = d.columns
     return weighted_vote(d, [f"p_{n}" for n in specs], weights)
 
