@@ -527,3 +527,15 @@ def test_backtest_of_each_key(spark):
     assert err["wave", "additive"] < 3 < err["wave", "arima"]
     own = f.toPandas().groupby(["k", "model"])[["y", "yhat"]].apply(lambda g: float(np.sqrt(((g.y - g.yhat) ** 2).mean())))
     assert all(err[k] == pytest.approx(v, abs=1e-6) for k, v in own.items())
+
+
+def test_quantiles_of_one_column_share_a_sketch(spark, monkeypatch):
+    from tripweave.operators import quantile
+
+    df = spark.range(4000).selectExpr("(id * 7919 % 4000) / 8.0D AS x", "CASE WHEN id % 3 > 0 THEN CAST(id % 5 AS DOUBLE) END AS y")
+    made, real = [], F.percentile_approx
+    monkeypatch.setattr(quantile.F, "percentile_approx", lambda *a: made.append(a) or real(*a))
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = exact_quantiles(df, {"x": probs, "y": probs}, direct_limit=100)
+    assert len(made) == 2  # one round settles both columns; a sketch a column, not one a figure
+    assert got == {c: pytest.approx(v) for c, v in exact_quantiles(df, {"x": probs, "y": probs}).items()}

@@ -54,13 +54,18 @@ def _bracketed(src, cols, wanted, sizes, limit):
         open_marks = [m for m in marks if m["inside"] > limit and m["lo"] < m["hi"]]
         if not open_marks:
             break
+        shared: dict[tuple, list[dict]] = {}  # marks of one column and bracket ask one sketch
+        for m in open_marks:
+            shared.setdefault((m["col"], m["lo"], m["hi"]), []).append(m)
         aggs = []
-        for j, m in enumerate(open_marks):
-            q = (m["k"] - m["below"]) / max(m["inside"] - 1, 1)
-            ends = [max(0.0, q - 2.0 / _ACCURACY), min(1.0, q + 2.0 / _ACCURACY)]
-            aggs.append(F.percentile_approx(_inside(m), ends, _ACCURACY).alias(f"e{j}"))
+        for j, ms in enumerate(shared.values()):
+            at = [(m["k"] - m["below"]) / max(m["inside"] - 1, 1) for m in ms]
+            ends = [x for q in at for x in (max(0.0, q - 2.0 / _ACCURACY), min(1.0, q + 2.0 / _ACCURACY))]
+            aggs.append(F.percentile_approx(_inside(ms[0]), ends, _ACCURACY).alias(f"e{j}"))
         found = one_row(src.agg(*aggs))
-        tries = [dict(m, lo=found[f"e{j}"][0], hi=found[f"e{j}"][1]) for j, m in enumerate(open_marks)]
+        open_marks = [m for ms in shared.values() for m in ms]
+        ends = [found[f"e{j}"][2 * i:2 * i + 2] for j, ms in enumerate(shared.values()) for i in range(len(ms))]
+        tries = [dict(m, lo=lo, hi=hi) for m, (lo, hi) in zip(open_marks, ends)]
         checks = one_row(src.agg(*[x for j, t in enumerate(tries) for x in (
             F.count_if(F.col(f"q{t['col']}") < F.lit(t["lo"])).alias(f"b{j}"),
             F.count_if(F.col(f"q{t['col']}").between(t["lo"], t["hi"])).alias(f"i{j}"))]))
@@ -70,8 +75,9 @@ def _bracketed(src, cols, wanted, sizes, limit):
             if b <= m["k"] < b + n:
                 m.update(lo=t["lo"], hi=t["hi"], below=b, inside=n)
     # rank what is left inside the brackets; equal values are merged first
-    pieces = F.array(*[F.struct(F.lit(j).alias("m"), _inside(m).alias("v")) for j, m in enumerate(marks)])
-    merged = (src.select(F.explode(pieces).alias("s")).select("s.m", "s.v").where("v is not null")
+    pieces = F.array_compact(F.array(*[F.when(_inside(m).isNotNull(), F.struct(F.lit(j).alias("m"), _inside(m).alias("v")))
+                                       for j, m in enumerate(marks)]))
+    merged = (src.select(F.explode(pieces).alias("s")).select("s.m", "s.v")
               .groupBy("m", "v").agg(F.count("*").alias("n")))
     ks = F.create_map(*[x for j, m in enumerate(marks) for x in (F.lit(j), F.lit(m["k"] - m["below"]))])
     ranked = merged.withColumn("upto", F.sum("n").over(
