@@ -274,3 +274,62 @@ def test_query_equals_sql(spark, name):
 def test_pipeline_runs(spark):
     got = entry.queries()["pipeline"](spark, SF)
     assert {"doc_id", "text", "full_epochs", "last_tokens"} <= set(got.columns) and got.count() > 0
+
+
+def _roots(n, x, y):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(x, y):
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("sizes", [(12, 1, 40, 3), (90, 20)])
+def test_passage_links_connect_what_all_pairs_connect(sizes):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    size = 2 * passages.LEAST + 1
+    near = []
+    for n in sizes:  # walks: neighbours agree, rows further apart do not, in mixed order
+        rows = [rng.integers(0, 256, size, dtype=np.uint8)]
+        while len(rows) < n:
+            row = rows[rng.integers(max(len(rows) - 3, 0), len(rows))].copy()
+            at = rng.integers(0, size - 5)
+            row[at:at + rng.integers(3, 7)] = rng.integers(0, 256)
+            rows.append(row)
+        near += [rows[i] for i in rng.permutation(n)]
+    g, n = np.repeat(np.arange(len(sizes)), sizes), sum(sizes)
+    near, mask = np.array(near), np.ones((n, size), bool)
+    cols = [pa.array(g), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(list(map(bytes, near)), pa.binary()),
+            pa.array(list(map(bytes, np.packbits(mask, axis=1))), pa.binary())]
+    batch = pa.RecordBatch.from_arrays(cols, ["g", "t", "place", "near", "mask"])
+    got = pa.Table.from_batches(passages._link(iter([batch]))).to_pydict()
+    x, y = np.triu_indices(n, 1)
+    x, y = x[g[x] == g[y]], y[g[x] == g[y]]
+    ok = passages.agree(near[x], mask[x], near[y], mask[y])
+    want = _roots(n, x[ok], y[ok])
+    assert len(sizes) < len(set(want)) + 2 < n  # neither all apart nor all one
+    assert _roots(n, got["a"], got["b"]) == want
+
+
+@pytest.mark.parametrize("words,edit", [(60, lambda p: p[:30] + ["x", "y"] + p[30:]), (60, lambda p: p[:28] + p[31:]),
+                                        (100, lambda p: p[:33] + ["x", "y"] + p[33:66] + ["u", "v"] + p[66:])])
+def test_passages_with_inserted_and_missing_words(spark, words, edit):
+    rng = np.random.default_rng(5)
+
+    def some(k):
+        return [f"w{x}" for x in rng.integers(0, 10**6, k)]
+
+    rows = []
+    for i in range(20):
+        p = some(words)
+        rows += [(2 * i, " ".join(some(50) + p + some(50))), (2 * i + 1, " ".join(some(50) + edit(p) + some(50)))]
+    got = {r.doc_id: r.class_id for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(20)) >= 18
+    assert all(c in (d, d - 1) for d, c in got.items())

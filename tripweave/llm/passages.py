@@ -16,7 +16,9 @@ SHORTEST = 50  # words of a passage
 LEAST = SHORTEST - WIDTH + 1  # shingles of a passage
 HASHES = 4
 SIMILAR = 0.8
+SHIFT = 3  # words that may be inserted or missing in a passage of LEAST shingles
 BLOCK = 1 << 20
+PAIRS = 1 << 14  # surroundings compared at once
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,16 +116,8 @@ def _rows(docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
     return docs.select("t", "text").mapInArrow(run, kinds)
 
 
-def agree(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray) -> np.ndarray:
-    """Whether two surroundings of one shingle hold passages of LEAST shingles around it that are alike to SIMILAR.
-
-    A place agrees if its shingle is at the same place of the other side, or one word on or back (an inserted or missing
-    word).  Of LEAST places as many must agree as a Jaccard similarity of SIMILAR takes.
-    """
-    hit = (a == b) & am & bm
-    for s in (1, -1):
-        x, y = (slice(s, None), slice(None, -s)) if s > 0 else (slice(None, s), slice(-s, None))
-        hit[:, x] |= (a[:, x] == b[:, y]) & am[:, x] & bm[:, y]
+def _enough(hit: np.ndarray) -> np.ndarray:
+    """Whether LEAST places around the centre hold as many hits as a Jaccard similarity of SIMILAR takes."""
     run = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
     np.cumsum(hit, axis=1, out=run[:, 1:])
     need = int(np.ceil(2 * SIMILAR / (1 + SIMILAR) * LEAST))
@@ -131,10 +125,84 @@ def agree(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray) -> np.nd
     return ((run[:, starts + LEAST] - run[:, starts]) >= need).any(axis=1)
 
 
+def _hits(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each side whose shingle is on the other side, at most ``shift`` words off."""
+    hit = (a == b) & am & bm
+    there = hit.copy()
+    for s in [s for k in range(1, shift + 1) for s in (k, -k)]:
+        x, y = (slice(s, None), slice(None, -s)) if s > 0 else (slice(None, s), slice(-s, None))
+        same = (a[:, x] == b[:, y]) & am[:, x] & bm[:, y]
+        hit[:, x] |= same
+        there[:, y] |= same
+    return hit, there
+
+
+def agree(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray) -> np.ndarray:
+    """Whether two surroundings of one shingle hold passages of LEAST shingles around it that are alike to SIMILAR.
+
+    A place agrees if its shingle is on the other side, up to SHIFT words on or back (inserted or missing words).  Of LEAST
+    places of either side as many must agree as a Jaccard similarity of SIMILAR takes.
+    """
+    ok = _enough(_hits(a, am, b, bm, 1)[0])
+    rest = np.flatnonzero(~ok)
+    if len(rest):
+        ok[rest] = np.logical_or(*map(_enough, _hits(a[rest], am[rest], b[rest], bm[rest], SHIFT)))
+    return ok
+
+
+def _across(group: np.ndarray, cls: np.ndarray, near: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the classes of one group: a link for every two classes with members that agree.
+
+    ``cls`` is the first member of each row's class; rows that were compared with it then are not compared again.  Small
+    groups are compared pair by pair, many at a time; in large ones classes that have met are one and are not compared again.
+    """
+    n = len(group)
+    head = np.r_[True, group[1:] != group[:-1]]
+    gid, start = np.cumsum(head) - 1, np.flatnonzero(head)
+    size = np.diff(np.r_[start, n])
+    kinds = np.bincount(gid, cls == np.arange(n)).astype(np.int64)
+    mixed = np.flatnonzero((kinds > 1) & (kinds < size))
+    out = [(np.zeros(0, np.int64),) * 2]
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *[agree(near[x[s:s + PAIRS]], mask[x[s:s + PAIRS]], near[y[s:s + PAIRS]], mask[y[s:s + PAIRS]])
+                                                    for s in range(0, len(x), PAIRS)]])
+
+    def fresh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (cls[x] != cls[y]) & ~((cls[x] == x) & (cls[y] >= x))
+
+    few = mixed[size[mixed] <= 64]
+    ends = np.cumsum(size[few] ** 2)
+    for part in np.split(few, np.searchsorted(ends, np.arange(4 * PAIRS, ends[-1], 4 * PAIRS)) if len(few) else []):
+        m = size[part]
+        at = np.arange((m * m).sum()) - np.repeat(np.cumsum(m * m) - m * m, m * m)
+        m, first = np.repeat(m, m * m), np.repeat(start[part], m * m)
+        x, y = first + at // np.maximum(m, 1), first + at % np.maximum(m, 1)
+        keep = x < y
+        x, y = x[keep], y[keep]
+        keep = fresh(x, y)
+        x, y = x[keep], y[keep]
+        ok = test(x, y)
+        x, y = x[ok], y[ok]
+        once = np.unique(cls[x] * n + cls[y], return_index=True)[1]
+        out.append((x[once], y[once]))
+    for i in mixed[size[mixed] > 64]:
+        rows = np.arange(start[i], start[i] + size[i])
+        joined = cls[rows].copy()
+        for j, y in enumerate(rows):
+            at = np.flatnonzero((joined[:j] != joined[j]) & fresh(rows[:j], y))
+            at = at[test(rows[at], np.full(len(at), y))]
+            at = at[np.unique(joined[at], return_index=True)[1]]
+            out.append((rows[at], np.full(len(at), y)))
+            joined[np.isin(joined, joined[at])] = joined[j]
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within whole signature groups, for many groups at once.
 
-    Within a group all are compared with its first member; those that do not agree form the group of the next round.
+    Within a group all are compared with its first member; those that do not agree form the group of the next round.  The
+    classes made so are then compared member by member.
     """
     size = 2 * LEAST + 1
 
@@ -142,18 +210,20 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, who, place = (t[c].to_numpy() for c in ("g", "t", "place"))
         near = np.frombuffer(b"".join(t["near"].to_pylist()), np.uint8).reshape(-1, size)
         mask = np.unpackbits(np.frombuffer(b"".join(t["mask"].to_pylist()), np.uint8).reshape(len(g), -1), axis=1)[:, :size].astype(bool)
-        left = np.arange(len(g))
+        left, cls = np.arange(len(g)), np.arange(len(g))
         out = []
         while len(left) > 1:
             head = np.r_[True, g[left][1:] != g[left][:-1]]
             rep = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
             rest, rep = left[~head], rep[~head]
             ok = np.zeros(len(rest), bool)
-            for s in range(0, len(rest), 1 << 14):
-                x, y = rest[s:s + (1 << 14)], rep[s:s + (1 << 14)]
-                ok[s:s + (1 << 14)] = agree(near[x], mask[x], near[y], mask[y])
+            for s in range(0, len(rest), PAIRS):
+                x, y = rest[s:s + PAIRS], rep[s:s + PAIRS]
+                ok[s:s + PAIRS] = agree(near[x], mask[x], near[y], mask[y])
             out.append((rest[ok], rep[ok]))
+            cls[rest[ok]] = rep[ok]
             left = rest[~ok]
+        out.append(_across(g, cls, near, mask))
         x, y = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         differ = who[x] != who[y]
         x, y = x[differ], y[differ]
