@@ -333,3 +333,35 @@ def test_passages_with_inserted_and_missing_words(spark, words, edit):
     got = {r.doc_id: r.class_id for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(20)) >= 18
     assert all(c in (d, d - 1) for d, c in got.items())
+
+
+def test_passages_met_by_their_left_side_are_not_compared_again(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, size = 300, 2 * passages.LEAST + 1
+    left, right = rng.integers(0, 256, 8), rng.integers(0, 256, 8)
+    near = np.repeat(rng.integers(0, 256, (n // 3, size), dtype=np.uint8), 3, axis=0)  # three alike each
+    near[:, passages.LEAST + 1:passages.LEAST + 9] = right
+    near[21:, passages.LEAST - 8:passages.LEAST] = left  # the others have left sides of their own
+    near[0:21:3, passages.LEAST - 8:passages.LEAST - 4] += 1  # alike, and only the right side is the same
+    mask = np.ones((n, size), bool)
+    where = {}
+    for i in range(n):
+        where.setdefault((False, near[i, passages.LEAST - 8:passages.LEAST].tobytes()), []).append(i)
+        where.setdefault((True, near[i, passages.LEAST + 1:passages.LEAST + 9].tobytes()), []).append(i)
+    rows = [(k, i, again) for k, ((again, _), members) in enumerate(where.items()) for i in members]
+    k, i, again = (np.array(c) for c in zip(*rows))
+    cols = [pa.array(k), pa.array(i), pa.array(np.zeros(len(i), np.int64)), pa.array(list(map(bytes, near[i])), pa.binary()),
+            pa.array(list(map(bytes, np.packbits(mask, axis=1)[i])), pa.binary()), pa.array(again)]
+    compared, alike = [], passages._alike
+    monkeypatch.setattr(passages, "_alike", lambda x, *y: compared.append(x.shape[1]) or alike(x, *y))
+    names = ["g", "t", "place", "near", "mask", "again"]
+    got = pa.Table.from_batches(passages._link(iter([pa.RecordBatch.from_arrays(cols, names)]))).to_pydict()
+    assert sum(compared) < 0.8 * n * n  # both groups in full: n * (n - 1)
+    pairs = [(a, b) for members in where.values() for a in members for b in members if a < b]
+    x, y = (np.array(c) for c in zip(*pairs))
+    ok = passages.agree(near[x], mask[x], near[y], mask[y])
+    want = _roots(n, x[ok], y[ok])
+    assert 1 < len(set(want)) < n
+    assert _roots(n, got["a"], got["b"]) == want

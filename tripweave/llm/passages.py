@@ -18,7 +18,9 @@ HASHES = 4
 SIMILAR = 0.8
 SHIFT = 3  # words that may be inserted or missing in a passage of LEAST shingles
 BLOCK = 1 << 20
-PAIRS = 1 << 14  # surroundings compared at once
+PAIRS = 1 << 11  # surroundings compared at once
+OUTSIDE = 256  # stands for the bytes of places outside
+FEW = 64  # rows of a group compared pair by pair
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +86,18 @@ def _centres(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return c, left, right
 
 
+def _binaries(table: np.ndarray) -> pa.Array:
+    """The rows of a table of bytes as a binary column."""
+    off = np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The table of bytes of a binary column whose values are all as long."""
+    data, off = as_bytes(column.combine_chunks())
+    return data[off[0]:off[-1]].reshape(len(column), -1)
+
+
 def _rows(docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
     """Signatures of the windows: (g, t); with a filter of signatures those that pass it, with place and the bytes around
     the centre."""
@@ -109,32 +123,65 @@ def _rows(docs: DataFrame, bloom: np.ndarray | None = None) -> DataFrame:
                     inside = (at >= left[:, None]) & (at <= right[:, None])
                     near = np.where(inside, g[np.clip(at, 0, len(g) - 1)] >> np.uint64(56), 0).astype(np.uint8)
                     mask = np.packbits(inside, axis=1)
-                    cols += [pa.array(c - o[row]), pa.array(list(map(bytes, near)), pa.binary()), pa.array(list(map(bytes, mask)), pa.binary())]
+                    cols += [pa.array(c - o[row]), _binaries(near), _binaries(mask)]
                 yield pa.RecordBatch.from_arrays(cols, ["g", "t", "place", "near", "mask"][:len(cols)])
 
     kinds = "g bigint, t bigint" + (", place bigint, near binary, mask binary" if full else "")
     return docs.select("t", "text").mapInArrow(run, kinds)
 
 
-def _enough(hit: np.ndarray) -> np.ndarray:
-    """Whether LEAST places around the centre hold as many hits as a Jaccard similarity of SIMILAR takes."""
-    run = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
-    np.cumsum(hit, axis=1, out=run[:, 1:])
-    need = int(np.ceil(2 * SIMILAR / (1 + SIMILAR) * LEAST))
-    starts = np.arange(1, LEAST + 1)  # the windows that hold the centre
-    return ((run[:, starts + LEAST] - run[:, starts]) >= need).any(axis=1)
+def _places(near: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Surroundings place by place (a row a place, a column a surrounding): the byte, and two values for places outside.
+
+    Places that lie together for all pairs make every comparison of two places one run over memory.  A column of the first
+    table is compared with one of the second: outside agrees with nothing.
+    """
+    byte = near.astype(np.uint16)
+    return tuple(np.ascontiguousarray(np.where(mask, byte, np.uint16(outside)).T) for outside in (OUTSIDE, OUTSIDE + 1))
+
+
+def _span(y: np.ndarray) -> tuple[int, int]:
+    """The places that can agree with columns of the second table; outside of them no window holds more hits."""
+    inside = np.flatnonzero((y != OUTSIDE + 1).any(axis=1))
+    lo, hi = (max(inside[0] - SHIFT, 0), min(inside[-1] + 1 + SHIFT, len(y))) if len(inside) else (0, len(y))
+    return (int(lo), int(hi)) if hi - LEAST >= max(lo, 1) else (0, len(y))
+
 
+def _enough(hit: np.ndarray, lo: int) -> np.ndarray:
+    """Whether LEAST places around the centre hold as many hits as a Jaccard similarity of SIMILAR takes; the first is ``lo``."""
+    first = max(lo, 1)  # windows that hold the centre start from 1 to LEAST
+    n, at = min(LEAST, lo + len(hit) - LEAST) - first + 1, first - lo
+    part, width, total = hit.view(np.uint8), 1, np.uint8(0)
+    while width <= LEAST:  # sums over 1, 2, 4, ... places make those over LEAST; 2 * LEAST + 1 at most
+        if LEAST & width:
+            total = total + part[at:at + n]
+            at += width
+        part, width = part[:-width] + part[width:], 2 * width
+    return total.max(axis=0) >= int(np.ceil(2 * SIMILAR / (1 + SIMILAR) * LEAST))
 
-def _hits(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of each side whose shingle is on the other side, at most ``shift`` words off."""
-    hit = (a == b) & am & bm
+
+def _alike(x: np.ndarray, y: np.ndarray, lo: int = 0) -> np.ndarray:
+    """``agree`` for columns of the two tables, from place ``lo`` on; ``y`` may be one column for all of ``x``."""
+    hit = x == y
     there = hit.copy()
-    for s in [s for k in range(1, shift + 1) for s in (k, -k)]:
-        x, y = (slice(s, None), slice(None, -s)) if s > 0 else (slice(None, s), slice(-s, None))
-        same = (a[:, x] == b[:, y]) & am[:, x] & bm[:, y]
-        hit[:, x] |= same
-        there[:, y] |= same
-    return hit, there
+    for s in range(1, SHIFT + 1):
+        same = x[s:] == y[:-s]
+        hit[s:] |= same
+        there[:-s] |= same
+        same = x[:-s] == y[s:]
+        hit[:-s] |= same
+        there[s:] |= same
+    return _enough(hit, lo) | _enough(there, lo)
+
+
+def _test(places: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    """Whether the surroundings with these numbers agree; ``y`` may be one for all of ``x``."""
+    ok = np.zeros(len(x), bool)
+    for s in range(0, len(x), PAIRS):
+        b = places[1][:, y:y + 1] if np.ndim(y) == 0 else places[1].take(y[s:s + PAIRS], 1)
+        lo, hi = _span(b)
+        ok[s:s + PAIRS] = _alike(places[0][lo:hi].take(x[s:s + PAIRS], 1), b[lo:hi], lo)
+    return ok
 
 
 def agree(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray) -> np.ndarray:
@@ -143,35 +190,42 @@ def agree(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray) -> np.nd
     A place agrees if its shingle is on the other side, up to SHIFT words on or back (inserted or missing words).  Of LEAST
     places of either side as many must agree as a Jaccard similarity of SIMILAR takes.
     """
-    ok = _enough(_hits(a, am, b, bm, 1)[0])
-    rest = np.flatnonzero(~ok)
-    if len(rest):
-        ok[rest] = np.logical_or(*map(_enough, _hits(a[rest], am[rest], b[rest], bm[rest], SHIFT)))
-    return ok
+    return _alike(_places(a, am)[0], _places(b, bm)[1])
+
+
+def _met(group: np.ndarray, near: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Rows of large ``again`` groups that hold the left side most of their group holds: they meet in a group of that side."""
+    gid = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
+    size = np.bincount(gid)
+    rows = np.flatnonzero(again & (size[gid] > FEW))
+    side = np.ascontiguousarray(near[rows, LEAST - 8:LEAST]).view(np.int64).ravel()
+    order = np.lexsort((side, gid[rows]))
+    rows, side = rows[order], side[order]
+    run = np.cumsum(np.r_[True, (side[1:] != side[:-1]) | (gid[rows[1:]] != gid[rows[:-1]])]) - 1
+    out = np.zeros(len(group), bool)
+    out[rows] = 2 * np.bincount(run, minlength=1)[run] > size[gid[rows]] if len(rows) else False
+    return out
 
 
-def _across(group: np.ndarray, cls: np.ndarray, near: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _across(group: np.ndarray, cls: np.ndarray, places: tuple[np.ndarray, np.ndarray], met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between the classes of one group: a link for every two classes with members that agree.
 
     ``cls`` is the first member of each row's class; rows that were compared with it then are not compared again.  Small
     groups are compared pair by pair, many at a time; in large ones classes that have met are one and are not compared again.
+    Rows that are ``met`` are compared with the others of their group, not with each other.
     """
     n = len(group)
     head = np.r_[True, group[1:] != group[:-1]]
     gid, start = np.cumsum(head) - 1, np.flatnonzero(head)
     size = np.diff(np.r_[start, n])
     kinds = np.bincount(gid, cls == np.arange(n)).astype(np.int64)
-    mixed = np.flatnonzero((kinds > 1) & (kinds < size))
+    mixed = np.flatnonzero((kinds > 1) & (kinds < size) | (np.bincount(gid, met) > 0))
     out = [(np.zeros(0, np.int64),) * 2]
 
-    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, bool), *[agree(near[x[s:s + PAIRS]], mask[x[s:s + PAIRS]], near[y[s:s + PAIRS]], mask[y[s:s + PAIRS]])
-                                                    for s in range(0, len(x), PAIRS)]])
-
     def fresh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (cls[x] != cls[y]) & ~((cls[x] == x) & (cls[y] >= x))
 
-    few = mixed[size[mixed] <= 64]
+    few = mixed[size[mixed] <= FEW]
     ends = np.cumsum(size[few] ** 2)
     for part in np.split(few, np.searchsorted(ends, np.arange(4 * PAIRS, ends[-1], 4 * PAIRS)) if len(few) else []):
         m = size[part]
@@ -182,19 +236,32 @@ def _across(group: np.ndarray, cls: np.ndarray, near: np.ndarray, mask: np.ndarr
         x, y = x[keep], y[keep]
         keep = fresh(x, y)
         x, y = x[keep], y[keep]
-        ok = test(x, y)
+        ok = _test(places, x, y)
         x, y = x[ok], y[ok]
         once = np.unique(cls[x] * n + cls[y], return_index=True)[1]
         out.append((x[once], y[once]))
-    for i in mixed[size[mixed] > 64]:
+    for i in mixed[size[mixed] > FEW]:
         rows = np.arange(start[i], start[i] + size[i])
-        joined = cls[rows].copy()
-        for j, y in enumerate(rows):
-            at = np.flatnonzero((joined[:j] != joined[j]) & fresh(rows[:j], y))
-            at = at[test(rows[at], np.full(len(at), y))]
-            at = at[np.unique(joined[at], return_index=True)[1]]
-            out.append((rows[at], np.full(len(at), y)))
-            joined[np.isin(joined, joined[at])] = joined[j]
+        own = tuple(np.ascontiguousarray(p[:, rows[0]:rows[-1] + 1]) for p in places)
+        known, first = met[rows], cls[rows] - rows[0]
+        joined, rep = first.astype(np.int32), first == np.arange(len(rows))
+        often = np.flatnonzero(known)
+        for j in np.flatnonzero(~known):
+            apart = joined[:j] != joined[j]
+            apart[:first[j] + 1] &= ~rep[:j][:first[j] + 1]
+            if len(often):
+                apart[often[:np.searchsorted(often, j)]] = False
+                at = np.r_[np.flatnonzero(apart), often[joined[often] != joined[j]]]
+            else:
+                at = np.flatnonzero(apart)
+            if not len(at):
+                continue
+            at = at[_test(own, at, j)]
+            if len(at):
+                at = at[np.unique(joined[at], return_index=True)[1]]
+                out.append((rows[at], np.full(len(at), rows[j])))
+                for c in joined[at]:
+                    joined[joined == c] = joined[j]
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
@@ -202,28 +269,27 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within whole signature groups, for many groups at once.
 
     Within a group all are compared with its first member; those that do not agree form the group of the next round.  The
-    classes made so are then compared member by member.
+    classes made so are then compared member by member.  ``again`` marks the groups of a right side: rows that also share
+    their left side meet in the group of that one as well.
     """
     size = 2 * LEAST + 1
 
     def block(t: pa.Table) -> pa.RecordBatch:
         g, who, place = (t[c].to_numpy() for c in ("g", "t", "place"))
-        near = np.frombuffer(b"".join(t["near"].to_pylist()), np.uint8).reshape(-1, size)
-        mask = np.unpackbits(np.frombuffer(b"".join(t["mask"].to_pylist()), np.uint8).reshape(len(g), -1), axis=1)[:, :size].astype(bool)
-        left, cls = np.arange(len(g)), np.arange(len(g))
+        near, mask = _bytes_of(t["near"]), np.unpackbits(_bytes_of(t["mask"]), axis=1)[:, :size].view(bool)
+        places = _places(near, mask)
+        met = _met(g, near, t["again"].to_numpy()) if "again" in t.column_names else np.zeros(len(g), bool)
+        left, cls = np.flatnonzero(~met), np.arange(len(g))
         out = []
         while len(left) > 1:
             head = np.r_[True, g[left][1:] != g[left][:-1]]
             rep = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
             rest, rep = left[~head], rep[~head]
-            ok = np.zeros(len(rest), bool)
-            for s in range(0, len(rest), PAIRS):
-                x, y = rest[s:s + PAIRS], rep[s:s + PAIRS]
-                ok[s:s + PAIRS] = agree(near[x], mask[x], near[y], mask[y])
+            ok = _test(places, rest, rep)
             out.append((rest[ok], rep[ok]))
             cls[rest[ok]] = rep[ok]
             left = rest[~ok]
-        out.append(_across(g, cls, near, mask))
+        out.append(_across(g, cls, places, met))
         x, y = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         differ = who[x] != who[y]
         x, y = x[differ], y[differ]
@@ -251,7 +317,8 @@ def passage_links(docs: DataFrame) -> DataFrame:
     once = materialize(once, "distinct-windows")
     part = F.pmod(F.xxhash64(F.substring("near", LEAST - 7, 8)), F.lit(1 << 16))
     part2 = F.pmod(F.xxhash64(F.substring("near", LEAST + 2, 8)), F.lit(1 << 16))
-    sides = once.withColumn("side", F.explode(F.array(part, part2 + (1 << 16)))).withColumn("g", F.xxhash64("g", "side")).drop("side")
+    sides = once.withColumn("side", F.explode(F.array(part, part2 + (1 << 16))))
+    sides = sides.select(F.xxhash64("g", "side").alias("g"), "t", "place", "near", "mask", (F.col("side") >= 1 << 16).alias("again"))
     sides = sides.repartition("g").sortWithinPartitions("g", "t", "place")
     links = sides.mapInArrow(_link, "a bigint, b bigint, a_place bigint, b_place bigint")
     same = rows.join(once.select("g", "near", "mask", F.col("t").alias("b"), F.col("place").alias("b_place")), ["g", "near", "mask"]).where("t <> b")
@@ -268,7 +335,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     texts have no passage.  Repeated rows share their text with each other only if their doc_ids differ.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64(text, F.reverse(text)))
+    rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64(text))
     word, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
     long_enough = F.col("text").rlike(rf"\A{space}*+(?:{word}++{space}++){{{SHORTEST - 1}}}{word}")  # stops at the last word needed
     copies = materialize(rows.groupBy("t").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(long_enough).alias("long")), "texts")
