@@ -99,10 +99,18 @@ def peak_label(hour: Column) -> Column:
     )
 
 
+def _month_day(day: Column) -> Column:
+    """704 for July 4."""
+    return F.month(day) * 100 + F.dayofmonth(day)
+
+
 def _fixed_holiday(day: Column) -> Column:
-    hit = F.lit(False)
+    days: dict[int, list[int]] = {}
     for month, dom, since in FIXED_HOLIDAYS:
-        hit = hit | ((F.month(day) == month) & (F.dayofmonth(day) == dom) & (F.year(day) >= since))
+        days.setdefault(since, []).append(month * 100 + dom)
+    hit = F.lit(False)
+    for since, found in days.items():
+        hit = hit | (_month_day(day).isin(*found) & (F.year(day) >= since))
     return hit
 
 
@@ -111,11 +119,15 @@ def is_us_holiday(day: Column) -> Column:
 
     A pure expression: no holiday table is built or joined.  A fixed holiday
     that falls on Saturday is also observed on the Friday before, one on Sunday
-    on the Monday after.
+    on the Monday after.  Days are looked up in lists, which keeps the generated
+    code short.
     """
     wd = F.weekday(day)
     hit = _fixed_holiday(day)
+    days: dict[int, list[int]] = {}
     for month, weekday, first, last in FLOATING_HOLIDAYS:
-        hit = hit | ((F.month(day) == month) & (wd == weekday) & F.dayofmonth(day).between(first, last))
-    hit = hit | ((wd == 4) & _fixed_holiday(F.date_add(day, 1)))
-    return hit | ((wd == 0) & _fixed_holiday(F.date_sub(day, 1)))
+        days.setdefault(weekday, []).extend(range(month * 100 + first, month * 100 + last + 1))
+    for weekday, found in days.items():
+        hit = hit | ((wd == weekday) & _month_day(day).isin(*found))
+    # the day that is observed on this one: tomorrow on a Friday, yesterday on a Monday
+    return hit | (wd.isin(0, 4) & _fixed_holiday(F.date_add(day, F.when(wd == 4, 1).otherwise(-1))))

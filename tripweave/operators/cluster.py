@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +179,9 @@ def nearest(values: Sequence[Column], centers: np.ndarray) -> Column:
     """Number of the nearest centre, the lower one of two; null where a value is null."""
     if not len(centers):
         return F.lit(None).cast("int")
-    gaps = [sum(((v - F.lit(float(x))) * (v - F.lit(float(x))) for v, x in zip(values, c)), F.lit(0.0)) for c in centers]
-    best = F.array_min(F.array(*[F.struct(g.alias("d"), F.lit(i).alias("i")) for i, g in enumerate(gaps)]))["i"]
-    known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
-    return F.when(known, best)
+    gaps = F.array(*[sum(((v - F.lit(float(x))) * (v - F.lit(float(x))) for v, x in zip(values, c)), F.lit(0.0)) for c in centers])
+    # without a value all gaps are null, and so is the number
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
 
 def _scale(df: DataFrame, cols: Sequence[str], scaled: bool) -> dict[str, tuple[float, float]]:

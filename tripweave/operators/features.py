@@ -10,7 +10,7 @@ from ..functions import calendar as cal
 from ..functions.geo import grid_index, haversine_km
 from ..functions.numbers import r
 from ..schema import CENTER_LAT, CENTER_LON, LAT_MIN, LON_MIN
-from ..session import materialize
+from ..session import materialize, own_code
 from .common import attach, numeric_columns, q, row_index, string_columns, tidy_stats
 from .neighbours import density_features
 from .series import add_lags, add_rolling, hourly_counts
@@ -115,7 +115,7 @@ def all_features(df: DataFrame, cluster_sizes: Sequence[int] = (5, 8, 10)) -> Da
     from .cluster import cluster_columns
 
     d = df.where(F.col("datetime").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    d = d.withColumns(time_feature_columns()).withColumns(spatial_feature_columns())
+    d = own_code(d.withColumns(time_feature_columns())).withColumns(spatial_feature_columns())
     d = cluster_columns(d, cluster_sizes)
     d = density_features(d, {"density_1km": 0.01, "density_5km": 0.05})
     d = materialize(d, "features-spatial")
