@@ -365,3 +365,28 @@ def test_passages_met_by_their_left_side_are_not_compared_again(monkeypatch):
     want = _roots(n, x[ok], y[ok])
     assert 1 < len(set(want)) < n
     assert _roots(n, got["a"], got["b"]) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 500_000])
+def test_filter_reaches_the_driver_as_bytes(spark, n):
+    import tracemalloc
+
+    from tripweave.llm.common import bloom_of, may_hold, probes
+
+    keys = spark.range(n).select(F.xxhash64("id").alias("g"))
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")
+    tracemalloc.start()
+    try:
+        got = bloom_of(keys, "g", 16)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, before)
+    assert peak < 4 * got.nbytes + (1 << 20)  # not a row a word
+    h = np.array([r.g for r in keys.collect()], np.int64).view(np.uint64)
+    want = np.zeros(got.nbytes * 8, bool)
+    for p in probes(h, len(want)):
+        want[p.astype(np.int64)] = True
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little").view(bool) == want).all() and may_hold(got, h).all()

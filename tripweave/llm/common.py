@@ -136,6 +136,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 MAX_BITS = 1 << 28  # of a Bloom filter: 32 MB, whatever the number of keys
+SLICE_BITS = 1 << 20  # of a filter are set by one task and reach the driver as one value
 
 
 def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -147,20 +148,42 @@ def bloom_of(keys: DataFrame, column: str, bits_per_key: int) -> np.ndarray:
     """Bloom filter of a column of longs as an array of words.
 
     Its size follows the number of keys up to MAX_BITS; with more keys it passes more, so that an exact join must follow.
+    Tasks set the bits, a slice each; the driver gets the slices as bytes, file by file, and holds little more than the filter.
     """
     n = keys.agg(F.approx_count_distinct(column)).first()[0]
     bits = 1 << 10
     while bits < min(MAX_BITS, bits_per_key * n):
         bits *= 2
+    size = min(bits, SLICE_BITS)
+    shift, inside = np.uint64(size.bit_length() - 1), np.uint64(size - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.concatenate(probes(b.column(0).to_numpy().view(np.uint64), bits))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["w", "m"])
-
-    words = keys.select(column).mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+            if not b.num_rows:
+                continue
+            at = np.unique(np.concatenate(probes(b.column(0).to_numpy().view(np.uint64), bits)))
+            part = (at >> shift).astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            off = (4 * np.r_[cut, len(at)]).astype(np.int32)
+            held = pa.py_buffer((at & inside).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(off), held])], ["part", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1)):
+                at = np.frombuffer(x.as_buffer(), np.uint32)
+                if part not in out:
+                    out[part] = np.zeros(size >> 6, np.uint64)
+                np.bitwise_or.at(out[part], at >> np.uint32(6), np.uint64(1) << (at & np.uint32(63)).astype(np.uint64))
+        for part, words in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["part", "words"])
+
+    slices = keys.select(column).mapInArrow(places, "part int, at binary").repartition("part").mapInArrow(fill, "part int, words binary")
     out = np.zeros(bits >> 6, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    for row in materialize(slices, "filter").toLocalIterator():
+        first = row["part"] * (size >> 6)
+        out[first:first + (size >> 6)] = np.frombuffer(row["words"], np.uint64)
     return out
 
 
